@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import Lazy, blocks, new_path, utf8
+from .common import Lazy, blocks, mapped, new_path, utf8
 from .tokens import Encoder
 
 #: Ids that the rolling hash sees.
@@ -145,8 +145,8 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 2) -> Store:
     """Encode ``docs`` (doc_id, text) with the tokenizer file and store the ids."""
     spark = docs.sparkSession
     path = new_path(spark, "ids")
-    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_objects(Lazy(Encoder, tokenizer), end_id), OBJECTS)
-    made.repartition(F.col("key")).mapInArrow(_once, OBJECTS).write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/objects")
+    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).transform(mapped, _objects(Lazy(Encoder, tokenizer), end_id), OBJECTS)
+    made.repartition(F.col("key")).transform(mapped, _once, OBJECTS).write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/objects")
     recipes = spark.read.schema(OBJECTS).parquet(f"{path}/objects").where("kind = 1").select("doc_id", "n", "chunks", "lengths", "root")
     (
         recipes.repartitionByRange(F.col("doc_id").asc_nulls_first())
@@ -199,11 +199,11 @@ def read_digests(store: Store) -> DataFrame:
     Chunks are read once where they lie; a document's CRC-32 is put together
     from its chunks' in the order of the recipe, so payloads aren't shuffled.
     """
-    chunks = store.chunks().mapInArrow(_read_chunks, "key binary, crc long, ids long, sound boolean")
+    chunks = store.chunks().transform(mapped, _read_chunks, "key binary, crc long, ids long, sound boolean")
     wanted = store.recipes().select("doc_id", "start", "root", F.posexplode("chunks").alias("pos", "key"))
     met = wanted.join(chunks, "key")
     whole = met.groupBy("doc_id", "start", "root").agg(F.collect_list(F.struct("pos", "key", "crc", "ids", "sound")).alias("pieces"))
-    return whole.mapInArrow(_read_documents, "doc_id long, start long, n_tokens long, ids_crc32 long, n_chunks long, verified boolean")
+    return whole.transform(mapped, _read_documents, "doc_id long, start long, n_tokens long, ids_crc32 long, n_chunks long, verified boolean")
 
 
 def read_ids(store: Store, doc_ids: DataFrame) -> DataFrame:
@@ -216,4 +216,4 @@ def read_ids(store: Store, doc_ids: DataFrame) -> DataFrame:
 
     wanted = store.recipes().join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "start", F.posexplode("chunks").alias("pos", "key"))
     whole = wanted.join(store.chunks(), "key").groupBy("doc_id", "start").agg(F.collect_list(F.struct("pos", "payload")).alias("pieces"))
-    return whole.mapInArrow(joined, "doc_id long, ids array<long>")
+    return whole.transform(mapped, joined, "doc_id long, ids array<long>")

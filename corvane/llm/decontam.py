@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import blocks, stored, utf8
+from .common import blocks, mapped, stored, utf8
 
 #: Words of a window, and of a fingerprint.
 WINDOW, K = 10, 5
@@ -168,14 +168,14 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K
     first = next(item_blocks)
     second = next(item_blocks, None)
     if second is None:
-        return source.mapInArrow(_scan(spark.sparkContext.broadcast(Index(first, window, k))), HITS)
+        return source.transform(mapped, _scan(spark.sparkContext.broadcast(Index(first, window, k))), HITS)
     # More than one block: number the rows in a stored table, scan it once a block, unite the spans.
     source = stored(source.withColumn("row", F.monotonically_increasing_id()), "numbered")
     numbered = source.select(F.col("row").alias("doc_id"), "text")
     found = None
     block = first
     while block is not None:
-        one = numbered.mapInArrow(_scan(spark.sparkContext.broadcast(Index(block, window, k))), HITS)
+        one = numbered.transform(mapped, _scan(spark.sparkContext.broadcast(Index(block, window, k))), HITS)
         found = one if found is None else found.unionByName(one)
         block, second = second, next(item_blocks, None)
     united = found.groupBy(F.col("doc_id").alias("row")).agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
@@ -200,7 +200,7 @@ def digest(found: DataFrame) -> DataFrame:
                 }
             )
 
-    return found.mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return found.transform(mapped, run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -218,5 +218,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int =
 
     out = docs
     for block in _item_blocks(benchmark, block_words):
-        out = out.mapInArrow(without(docs.sparkSession.sparkContext.broadcast(Index(block, window, k))), docs.schema)
+        out = out.transform(mapped, without(docs.sparkSession.sparkContext.broadcast(Index(block, window, k))), docs.schema)
     return out

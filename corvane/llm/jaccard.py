@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import blocks, stored, utf8
+from .common import blocks, mapped, stored, utf8
 
 SHINGLE = 5
 #: Links need 100 * intersection >= 75 * union; kept as a fraction.
@@ -276,9 +276,9 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes that link, decided on the whole sets."""
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = stored(docs.select("text").mapInArrow(_texts, "node long, raw binary").join(nodes, "node", "left_semi").mapInArrow(_sets, "node long, tokens binary"), "sets")
+    sets = stored(docs.select("text").transform(mapped, _texts, "node long, raw binary").join(nodes, "node", "left_semi").transform(mapped, _sets, "node long, tokens binary"), "sets")
     met = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
-    return stored(met.select("a", "b", "x", "y").mapInArrow(_linked, "a long, b long").distinct(), "links")
+    return stored(met.select("a", "b", "x", "y").transform(mapped, _linked, "a long, b long").distinct(), "links")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -329,15 +329,15 @@ def classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    made = stored(docs.mapInArrow(_sign, "kind int, doc_id long, node long, n long"), "signed")
+    made = stored(docs.transform(mapped, _sign, "kind int, doc_id long, node long, n long"), "signed")
     signed = made.where("kind = 0").select("doc_id", "node", "n")
     # At most FREQUENT longs come to the driver and go to the tasks.
     often = made.where("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "node").limit(FREQUENT).select("node").toArrow()
     frequent = spark.sparkContext.broadcast(np.sort(np.asarray(often.column("node"), np.int64).view(np.uint64)))
     tokens = signed.agg(F.sum("n")).first()[0] or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // (DENOMINATOR * INDEX_ROWS)))
-    index = docs.select("text").mapInArrow(_index_rows(frequent, 4 * tasks), _INDEX).repartition(tasks, "bucket")
-    found = stored(index.mapInArrow(_runs, _FOUND), "candidates")
+    index = docs.select("text").transform(mapped, _index_rows(frequent, 4 * tasks), _INDEX).repartition(tasks, "bucket")
+    found = stored(index.transform(mapped, _runs, _FOUND), "candidates")
     links = verify(stored(found.where("kind = 0").select("a", "b").distinct(), "pairs"), docs)
     labels = components(links)
     rest = stored(unresolved(found.where("kind = 1").select("token", "a", "n", "position"), labels), "pairs")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import blocks, utf8
+from .common import blocks, mapped, utf8
 
 DIMENSIONS = 4096
 #: Labelled texts of a language that the centroids are fitted on, as expected by the sampling rate.
@@ -150,7 +150,7 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, centroids: int =
         return Model(np.ones(DIMENSIONS), np.zeros((0, DIMENSIONS)), [], np.zeros(1), np.zeros(1))
     frequency = np.zeros(DIMENSIONS)
     n = 1
-    for r in rows.select("text").mapInArrow(_frequencies, "cell long, held long").groupBy("cell").agg(F.sum("held").alias("held")).collect():
+    for r in rows.select("text").transform(mapped, _frequencies, "cell long, held long").groupBy("cell").agg(F.sum("held").alias("held")).collect():
         if r["cell"] < 0:
             n = r["held"]
         else:
@@ -159,7 +159,7 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, centroids: int =
     chance = F.lit(0)
     for lang, count in total.items():
         chance = F.when(F.col("lang") == lang, F.lit(int(1_000_000 * min(1.0, per_language / count)) + 1)).otherwise(chance)
-    picked = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1_000_000)) < chance).select("lang", "text").mapInArrow(_vectors, "lang string, raw binary").collect()
+    picked = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1_000_000)) < chance).select("lang", "text").transform(mapped, _vectors, "lang string, raw binary").collect()
     by: dict[str, list[np.ndarray]] = {}
     for r in picked:
         by.setdefault(r["lang"], []).append(np.frombuffer(r["raw"], "<f4"))
@@ -195,7 +195,7 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(part.start, part.stop - part.start), "lang_pred": pa.array(lang, pa.string()), "score": pa.array(score, pa.float64()), "rejected": pa.array(rejected, pa.bool_())})
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    return source.transform(mapped, run, "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
@@ -208,7 +208,7 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
             keep = np.concatenate([np.zeros(0, bool), *(~held.value.predict(texts[part])[2] for part in blocks(map(len, texts), rows=ROWS))])
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(mapped, run, docs.schema)
 
 
 def held_out(doc_id: str = "doc_id"):

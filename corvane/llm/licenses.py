@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Lazy, by_block
+from .common import Lazy, by_block, mapped
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Words of a match, share of a template that a chain must cover, words skipped between chained matches at most.
@@ -243,4 +243,4 @@ def scan(docs: DataFrame) -> DataFrame:
     score is 1 where a base phrase stands, else the largest covered share of a template.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(by_block(_digest), "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,start:long,end:long,share:double>>")
+    return source.transform(mapped, by_block(_digest), "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,start:long,end:long,share:double>>")

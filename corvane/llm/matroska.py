@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, by_block, stored, utf8
+from .common import blocks, by_block, mapped, stored, utf8
 
 #: Samples (bytes) of a frame; payloads are padded to a positive multiple of it.
 FRAME = 192
@@ -255,7 +255,7 @@ def _store(texts: list[bytes]) -> dict[str, pa.Array]:
 def write(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media: the files, stored as a table in the shared folder and read from there."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return stored(source.mapInArrow(by_block(_store), "doc_id long, n_bytes long, media binary"), "media")
+    return stored(source.transform(mapped, by_block(_store), "doc_id long, n_bytes long, media binary"), "media")
 
 
 def packets(media: DataFrame) -> DataFrame:
@@ -270,7 +270,7 @@ def packets(media: DataFrame) -> DataFrame:
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "packet", "track", "timestamp_ms", "key_frame", "lacing", "byte_start", "byte_end"])
 
-    return media.select("doc_id", "media").mapInArrow(run, "doc_id long, packet long, track long, timestamp_ms long, key_frame boolean, lacing string, byte_start long, byte_end long")
+    return media.select("doc_id", "media").transform(mapped, run, "doc_id long, packet long, track long, timestamp_ms long, key_frame boolean, lacing string, byte_start long, byte_end long")
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,4 +291,4 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def digest(media: DataFrame) -> DataFrame:
     """What the stored files hold: sizes, SHA-256 of payload and file, CRC-32 of the payload's last 16 bytes, a feature line."""
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(_digest, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.select("doc_id", "n_bytes", "media").transform(mapped, _digest, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Lazy, blocks, stored, utf8
+from .common import Lazy, blocks, mapped, stored, utf8
 from .tokens import Encoder
 
 CAPACITY = 2048
@@ -162,7 +162,7 @@ def _pack_shard(capacity: int):
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_cut(Lazy(Encoder, tokenizer), end_id, capacity), PIECES)
+    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).transform(mapped, _cut(Lazy(Encoder, tokenizer), end_id, capacity), PIECES)
     pieces = stored(made, "pieces")
     shards = max(1, -(-pieces.count() // shard))
     # Row numbers of a stored table; they deal copies and null ids out evenly.

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import blocks, utf8
+from .common import blocks, mapped, utf8
 
 BITS = 18
 #: Labelled rows that the weights are fitted on.
@@ -143,7 +143,7 @@ def fit(docs: DataFrame, ratings: DataFrame, n_grades: int, sample: int = SAMPLE
     rate = int(1_000_000 * min(1.0, sample / total)) + 1
     # Bounded by the sample's size, so it may be broadcast.
     picked = rated.where(F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1_000_000)) < rate)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select("grade", "text").mapInArrow(_sampled, "grade int, cells array<int>").collect()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select("grade", "text").transform(mapped, _sampled, "grade int, cells array<int>").collect()
     rows.sort(key=lambda r: (r["grade"], r["cells"]))
     if not rows:
         return Model(np.zeros(1 << BITS, np.float32), np.zeros(0))
@@ -164,4 +164,4 @@ def score(docs: DataFrame, model: Model, select: float = SELECT) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(part.start, part.stop - part.start), "expected_grade": pa.array(expected, pa.float64()), "p_best": pa.array(tail, pa.float64()), "selected": pa.array(tail >= select, pa.bool_())})
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, expected_grade double, p_best double, selected boolean")
+    return source.transform(mapped, run, "doc_id long, expected_grade double, p_best double, selected boolean")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Lazy, by_block
+from .common import Lazy, by_block, mapped
 
 # The base patterns and the least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -174,7 +174,7 @@ def _digest(texts: list[bytes]) -> dict[str, pa.Array]:
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(by_block(_digest), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return source.transform(mapped, by_block(_digest), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
@@ -194,4 +194,4 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
                 batch = batch.set_column(i, batch.schema.field(i), pa.array(values, batch.column(i).type))
             yield batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(mapped, run, docs.schema)

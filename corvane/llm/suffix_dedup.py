@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import blocks, stored, utf8
+from .common import blocks, mapped, stored, utf8
 
 LENGTH, GRAM = 200, 64
 #: Bits of a packed value that hold the position; chunks of a text are no longer than that.
@@ -47,7 +47,7 @@ POSITION_BITS = 24
 CHUNK = 1 << 22
 #: Bytes of contexts in a shard, contexts of one hash in a shard, buckets of hashes for each task.
 SHARD_BYTES, SHARD_CONTEXTS = 2 << 20, 8000
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 
 
 def name_of(text: bytes) -> int:
@@ -469,21 +469,21 @@ def find(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: i
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    scanned = stored(docs.mapInArrow(_scan(2 * tasks, length, gram), _SCANNED), "scanned")
+    scanned = stored(docs.transform(mapped, _scan(2 * tasks, length, gram), _SCANNED), "scanned")
     rows = scanned.where("kind = 0").select("doc_id", "name", "n", "sha")
     copies = rows.groupBy("name").agg(F.count("*").alias("copies"))
-    dealt = scanned.where("kind = 2").select("bucket", "hash", "owner", "first", "last").repartition(tasks, "bucket").mapInArrow(_repeated, _ANCHORS)
+    dealt = scanned.where("kind = 2").select("bucket", "hash", "owner", "first", "last").repartition(tasks, "bucket").transform(mapped, _repeated, _ANCHORS)
     found = scanned.where("kind = 1").select("name", "hash", "first", "last").union(dealt).groupBy("name").agg(F.collect_list(F.struct("hash", "first", "last")).alias("parts")).join(copies, "name")
-    made = stored(docs.select("text").mapInArrow(_texts(length), "name long, raw binary").join(found, "name").mapInArrow(_contexts(length), _CONTEXTS), "contexts")
+    made = stored(docs.select("text").transform(mapped, _texts(length), "name long, raw binary").join(found, "name").transform(mapped, _contexts(length), _CONTEXTS), "contexts")
     contexts = made.where("kind = 0").select("hash", "context", "bytes", "weight")
     many = contexts.groupBy("hash").agg(F.count("*").alias("m")).select("hash", F.ceil(F.col("m") / shard_contexts).cast("long").alias("salts"))
     salted = contexts.join(many, "hash").withColumn("salt", F.pmod(F.xxhash64("context"), "salts"))
-    verdicts = stored(salted.repartition(F.col("hash"), F.col("salt")).sortWithinPartitions("hash", "salt", "context").mapInArrow(_shards(length, shard_bytes), _VERDICTS), "verdicts")
+    verdicts = stored(salted.repartition(F.col("hash"), F.col("salt")).sortWithinPartitions("hash", "salt", "context").transform(mapped, _shards(length, shard_bytes), _VERDICTS), "verdicts")
     across = verdicts.where("kind = 1").groupBy("hash", "part").applyInArrow(_merged(length), "context binary, spans array<struct<s:int,e:int>>")
     spans = verdicts.where("kind = 0").select("context", "spans").union(across)
     places = made.where("kind = 1").select("name", "context", "first").join(spans, "context")
     by_text = places.groupBy("name").agg(F.collect_list(F.struct("first", "spans")).alias("found"))
-    cut = made.where("kind = 2 and weight < 2").select("name", F.col("bytes").alias("raw")).join(by_text, "name").mapInArrow(_cut, "name long, n_removed long, n_spans long, kept binary, spans array<struct<s:int,e:int>>")
+    cut = made.where("kind = 2 and weight < 2").select("name", F.col("bytes").alias("raw")).join(by_text, "name").transform(mapped, _cut, "name long, n_removed long, n_spans long, kept binary, spans array<struct<s:int,e:int>>")
     whole = (F.col("copies") > 1) & (F.col("n") >= length)
     out = rows.join(copies, "name").join(cut, "name", "left")
     return out.select(
