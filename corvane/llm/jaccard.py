@@ -10,11 +10,13 @@ members, and the pairs are verified on the whole sets.
 Runs of more than ``SHORT_RUN`` nodes are not paired up at once. Their nodes are
 first compared with one pivot; the links found so far give classes; and only
 where a run still holds several classes are the pairs between classes compared,
-in blocks. A pair is thus skipped only if both are in one class already, so the
+in blocks. Runs of the same nodes count once. A pair is thus skipped only if both are in one class already, so the
 classes are exact.
 
 The list of frequent tokens (at most ``FREQUENT``) only chooses the order; any
-list gives the same classes.
+list gives the same classes. Pairs between classes are first held against
+parity sketches: sets that differ in d tokens have sketches that differ in d
+bits at most, so a pair beyond the largest difference of a link is no link.
 
 Defined results: null texts and texts without words have an empty set, link
 with nothing and are their own component; repeated rows and copies share a
@@ -26,11 +28,10 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from typing import Any
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,16 +42,18 @@ SHINGLE = 5
 #: Links need 100 * intersection >= 75 * union; kept as a fraction.
 NUMERATOR, DENOMINATOR = 3, 4
 #: Tokens that are put last in the order, at most; which ones: those of most documents.
-FREQUENT = 1 << 17
+FREQUENT = 1 << 19
 #: A token is reported by a task if it has it so often, and frequent if the reports add up to so much.
-SEEN, OFTEN = 3, 24
+SEEN, OFTEN = 2, 6
 #: Tokens that a task counts at a time.
-COUNTED = 1 << 20
-SHORT_RUN = 24
+COUNTED = 1 << 21
+#: Bits of a sketch, a power of two.
+SKETCH = 1024
+SHORT_RUN = 8
 #: Index rows in a task, about, and nodes in a block of a long run.
 INDEX_ROWS, RUN_BLOCK = 1_000_000, 1024
 
-_SIGNED = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64())])
+_SIGNED = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary())])
 
 
 def token_sets(texts: list[bytes]) -> list[np.ndarray]:
@@ -72,6 +75,12 @@ def node_of(tokens: np.ndarray) -> int | None:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True) if len(tokens) else None
 
 
+def sketch_of(tokens: np.ndarray) -> bytes:
+    """A bit for each of SKETCH classes of tokens: whether the set has an odd number of them."""
+    held = np.bincount((tokens >> np.uint64(65 - SKETCH.bit_length())).astype(np.int64), minlength=SKETCH)
+    return np.packbits((held & 1).astype(bool)).tobytes()
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Kind 0: a row for each document. Kind 1: tokens that this task has seen often (node: the token, n: how often)."""
     held, size = [], 0
@@ -79,14 +88,14 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def often() -> pa.RecordBatch:
         token, count = np.unique(np.concatenate(held), return_counts=True)
         token, count = token[count >= SEEN], count[count >= SEEN]
-        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(token), np.int32)), pa.nulls(len(token), pa.int64()), pa.array(token.view(np.int64)), pa.array(count.astype(np.int64))], schema=_SIGNED)
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(token), np.int32)), pa.nulls(len(token), pa.int64()), pa.array(token.view(np.int64)), pa.array(count.astype(np.int64)), pa.nulls(len(token), pa.binary())], schema=_SIGNED)
 
     for batch in batches:
         texts = utf8(batch.column("text"))
         for part in blocks(map(len, texts)):
             sets = token_sets(texts[part])
             ids = batch.column("doc_id").slice(part.start, len(sets))
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int32)), ids, pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], schema=_SIGNED)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int32)), ids, pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch_of(s) for s in sets], pa.binary())], schema=_SIGNED)
             held += sets
             size += sum(map(len, sets))
             if size >= COUNTED:
@@ -101,11 +110,24 @@ def prefix_length(n):
     return n - (NUMERATOR * n + DENOMINATOR - 1) // DENOMINATOR + 1
 
 
-def ordered(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    if not len(frequent):
+def ordered(tokens: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Rare tokens by value, then frequent ones (``frequent``: ascending tokens, a class of each) by class and value."""
+    listed, classes = frequent
+    if not len(listed):
         return tokens
-    late = frequent[np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)] == tokens
-    return np.concatenate([tokens[~late], tokens[late]])
+    at = np.minimum(np.searchsorted(listed, tokens), len(listed) - 1)
+    late = listed[at] == tokens
+    last = np.lexsort((tokens[late], classes[at[late]]))
+    return np.concatenate([tokens[~late], tokens[late][last]])
+
+
+def _small(numbers: np.ndarray) -> bytes:
+    """Numbers from 0 in two bytes each where all fit, else in four."""
+    return numbers.astype(np.uint16 if not len(numbers) or numbers.max() < 1 << 16 else np.uint32).tobytes()
+
+
+def _numbers(blob: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(blob, np.uint16 if len(blob) == 2 * n else np.uint32)
 
 
 def _index_rows(frequent, buckets: int):
@@ -127,7 +149,7 @@ def _index_rows(frequent, buckets: int):
             if len(at):
                 used, local = np.unique(doc[at], return_inverse=True)
                 names.append(b)
-                blobs.append((token[at].tobytes(), position[at].astype(np.uint32).tobytes(), local.astype(np.uint32).tobytes(), nodes[used].tobytes(), groups[used].tobytes(), sizes[used].astype(np.uint32).tobytes()))
+                blobs.append((token[at].tobytes(), _small(position[at]), _small(local), nodes[used].tobytes(), groups[used].tobytes(), sizes[used].astype(np.uint32).tobytes()))
         columns = list(zip(*blobs)) or [()] * 6
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), *(pa.array(c, pa.binary()) for c in columns)], names=["bucket", "token", "position", "local", "node", "grp", "size"])
 
@@ -156,7 +178,7 @@ def _index_rows(frequent, buckets: int):
 
 
 _INDEX = "bucket long, token binary, position binary, local binary, node binary, grp binary, size binary"
-_FOUND = "kind int, token long, a long, b long, n long, position long"
+_FOUND = "kind int, run long, a long, b long, n long"
 
 
 def may_link(n1, p1, n2, p2):
@@ -166,10 +188,10 @@ def may_link(n1, p1, n2, p2):
     return (DENOMINATOR * small >= NUMERATOR * large) & (p1 <= n1 - least) & (p2 <= n2 - least)
 
 
-def _found(kind: int, token, a, b, n, position) -> pa.RecordBatch:
+def _found(kind: int, run, a, b, n) -> pa.RecordBatch:
     size = len(a)
     fill = lambda x: pa.nulls(size, pa.int64()) if x is None else pa.array(np.asarray(x, np.int64))
-    return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, np.int32)), fill(token), fill(a), fill(b), fill(n), fill(position)], names=["kind", "token", "a", "b", "n", "position"])
+    return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, np.int32)), fill(run), fill(a), fill(b), fill(n)], names=["kind", "run", "a", "b", "n"])
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,8 +199,9 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parts = []
     for batch in batches:
         for row in batch.to_pylist():
-            local = np.frombuffer(row["local"], np.uint32)
-            parts.append((np.frombuffer(row["token"], np.uint64), np.frombuffer(row["position"], np.uint32).astype(np.int64), *(np.frombuffer(row[c], t)[local] for c, t in (("node", np.int64), ("grp", np.uint64), ("size", np.uint32)))))
+            token = np.frombuffer(row["token"], np.uint64)
+            local = _numbers(row["local"], len(token))
+            parts.append((token, _numbers(row["position"], len(token)).astype(np.int64), *(np.frombuffer(row[c], t)[local] for c, t in (("node", np.int64), ("grp", np.uint64), ("size", np.uint32)))))
     if not parts:
         return
     token, position, node, group, size = (np.concatenate([p[i] for p in parts]) for i in range(5))
@@ -208,15 +231,19 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs.append((node[left[ok]], node[right[ok]]))
         if sum(len(p[0]) for p in pairs) > 2_000_000:
             pairs = [_distinct(pairs)]
-    for s, m in zip(start[length > SHORT_RUN].tolist(), length[length > SHORT_RUN].tolist()):
-        own = slice(s, s + m)
-        pivot = s + int(np.lexsort((node[own], position[own]))[0])
-        ok = may_link(size[pivot], position[pivot], size[own], position[own]) & (node[own] != node[pivot])
-        pairs.append((np.full(int(ok.sum()), node[pivot]), node[own][ok]))
-        yield _found(1, token[own].view(np.int64), node[own], None, size[own], position[own])
+    long = length > SHORT_RUN
+    if long.any():
+        name = np.add.reduceat(kernels.mix(node.view(np.uint64)), start)  # of a run, by its nodes
+        _, first = np.unique(name[long], return_index=True)
+        for s, m, run in zip(start[long][first].tolist(), length[long][first].tolist(), name[long][first].view(np.int64).tolist()):
+            own = slice(s, s + m)
+            pivot = s + int(np.argmin(node[own]))
+            ok = may_link(size[pivot], 0, size[own], 0) & (node[own] != node[pivot])
+            pairs.append((np.full(int(ok.sum()), node[pivot]), node[own][ok]))
+            yield _found(1, np.full(m, run), node[own], None, size[own])
     if pairs:
         a, b = _distinct(pairs)
-        yield _found(0, None, a, b, None, None)
+        yield _found(0, None, a, b, None)
 
 
 def _distinct(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -229,8 +256,9 @@ def _distinct(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, n
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """node, text: each node's text, once a task as a rule."""
+    """node, packed: each node's text, compressed, once a task as a rule."""
     seen: set[int] = set()
+    squeeze = zstandard.ZstdCompressor(level=3).compress
     for batch in batches:
         texts = utf8(batch.column("text"))
         for part in blocks(map(len, texts)):
@@ -242,33 +270,34 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         seen.clear()
                     seen.add(node)
                     nodes.append(node)
-                    kept.append(text)
-            yield pa.RecordBatch.from_pydict({"node": pa.array(nodes, pa.int64()), "raw": pa.array(kept, pa.binary())})
-
-
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: set[int] = set()
-    for batch in batches:
-        texts = utf8(batch.column("raw"))
-        nodes = batch.column("node").to_pylist()
-        for part in blocks(map(len, texts)):
-            fresh = [i for i in range(part.start, part.stop) if nodes[i] not in seen and not seen.add(nodes[i])]
-            if fresh:
-                yield pa.RecordBatch.from_pydict({"node": pa.array([nodes[i] for i in fresh], pa.int64()), "tokens": pa.array([s.tobytes() for s in token_sets([texts[i] for i in fresh])], pa.binary())})
+                    kept.append(squeeze(text))
+            yield pa.RecordBatch.from_pydict({"node": pa.array(nodes, pa.int64()), "packed": pa.array(kept, pa.binary())})
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose sets, made again from both texts, are similar enough."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    known: dict[int, np.ndarray] = {}
+
+    def tokens_of(nodes: list[int], packed: list[bytes]) -> list[np.ndarray]:
+        fresh = {n: p for n, p in zip(nodes, packed) if n not in known}
+        if sum(map(len, known.values())) > 1 << 21:
+            known.clear()
+            fresh = dict(zip(nodes, packed))
+        known.update(zip(fresh, token_sets([unpack(p) for p in fresh.values()])))
+        return [known[n] for n in nodes]
+
     for batch in batches:
-        keep, last = [], (None, None)
-        for x, y in zip(batch.column("x"), batch.column("y")):
-            x = x.as_buffer()
-            if last[0] is None or last[0] != x:
-                last = (x, np.frombuffer(x, np.uint64))
-            one, two = last[1], np.frombuffer(y.as_buffer(), np.uint64)
-            if len(one) > len(two):
-                one, two = two, one
-            shared = int((two[np.minimum(np.searchsorted(two, one), len(two) - 1)] == one).sum())
-            keep.append(DENOMINATOR * shared >= NUMERATOR * (len(one) + len(two) - shared))
+        a, b, x, y = (batch.column(c).to_pylist() for c in ("a", "b", "x", "y"))
+        keep = []
+        for part in blocks(map(len, x), 1 << 17):
+            both = tokens_of(a[part] + b[part], x[part] + y[part])
+            half = len(both) // 2
+            for one, two in zip(both[:half], both[half:]):
+                if len(one) > len(two):
+                    one, two = two, one
+                shared = int((two[np.minimum(np.searchsorted(two, one), len(two) - 1)] == one).sum())
+                keep.append(DENOMINATOR * shared >= NUMERATOR * (len(one) + len(two) - shared))
         keep = pa.array(keep, pa.bool_())
         yield pa.RecordBatch.from_pydict({c: batch.column(c).filter(keep) for c in ("a", "b")})
 
@@ -276,8 +305,9 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes that link, decided on the whole sets."""
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = stored(docs.select("text").transform(mapped, _texts, "node long, raw binary").join(nodes, "node", "left_semi").transform(mapped, _sets, "node long, tokens binary"), "sets")
-    met = pairs.join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
+    texts = docs.select("text").transform(mapped, _texts, "node long, packed binary").join(nodes, "node", "left_semi")
+    texts = stored(texts.groupBy("node").agg(F.min("packed").alias("packed")), "texts")  # one of those that several tasks sent
+    met = pairs.join(texts.select(F.col("node").alias("a"), F.col("packed").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("packed").alias("y")), "b")
     return stored(met.select("a", "b", "x", "y").transform(mapped, _linked, "a long, b long").distinct(), "links")
 
 
@@ -299,48 +329,84 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
 
 
-def _between(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of nodes of different classes that pass the filters; the key's last two are the blocks."""
-    x, y = key[1], key[2]
-    label, node, block = pdf["label"].to_numpy(), pdf["a"].to_numpy(), pdf["block"].to_numpy()
-    n, position = pdf["n"].to_numpy(), pdf["position"].to_numpy()
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of each key, which come one key after another; the last of a batch waits for the next."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
+        if not len(table):
+            continue
+        columns = [table.column(k).to_numpy() for k in keys]
+        cut = [0, *(np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) + 1).tolist()]
+        for x, y in zip(cut, cut[1:]):
+            yield table.slice(x, y - x)
+        held = table.slice(cut[-1]).combine_chunks()
+    if held is not None:
+        yield held
+
+
+def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of nodes of different classes that sizes and sketches allow to link, for each run and pair of blocks."""
+    pairs = []
+    for group in _groups(batches, ["run", "x", "y"]):
+        pairs.append(_open_pairs(group))
+        if sum(len(p[0]) for p in pairs) > 500_000:
+            pairs = [_distinct(pairs)]
+    if pairs:
+        a, b = _distinct(pairs)
+        yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _open_pairs(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    label, node, block, n = (group.column(c).to_numpy() for c in ("label", "a", "block", "n"))
+    x, y = group.column("x")[0].as_py(), group.column("y")[0].as_py()
+    sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint64).reshape(len(node), -1)
     classes, counts = np.unique(label, return_counts=True)
+    small = np.flatnonzero(label != classes[np.argmax(counts)])
     out = []
-    for i in np.flatnonzero(label != classes[np.argmax(counts)]):
-        ok = (label != label[i]) & may_link(n[i], position[i], n, position)
+    for part in np.array_split(small, max(1, len(small) // 64)):
+        ok = (label[part][:, None] != label) & may_link(n[part][:, None], 0, n, 0)
         if x != y:
-            ok &= block != block[i]
-        out.append((np.full(int(ok.sum()), node[i]), node[ok]))
-    a, b = _distinct(out) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    return pd.DataFrame({"a": a, "b": b})
-
-
-def unresolved(long_runs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs (a, b) between classes that still share a long run."""
-    named = long_runs.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("label", F.coalesce("label", "a"))
-    open_runs = named.groupBy("token").agg(F.min("label").alias("first"), F.max("label").alias("last"), F.count("*").alias("m")).where("first != last").select("token", F.ceil(F.col("m") / RUN_BLOCK).alias("blocks"))
-    rows = named.join(open_runs, "token").withColumn("block", F.pmod(F.xxhash64("a"), "blocks"))
+            ok &= block[part][:, None] != block
+        i, j = np.nonzero(ok)
+        i = part[i]
+        # A link shares three sevenths of the sizes' sum at least, so the sets differ in a seventh of it at most.
+        far = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1) * (NUMERATOR + DENOMINATOR) > (DENOMINATOR - NUMERATOR) * (n[i] + n[j])
+        out.append((node[i[~far]], node[j[~far]]))
+    return _distinct(out)
+
+
+def unresolved(long_runs: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs (a, b) between classes that still share a long run; ``sketches`` has node and sketch."""
+    named = long_runs.distinct().join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("label", F.coalesce("label", "a"))
+    open_runs = named.groupBy("run").agg(F.min("label").alias("first"), F.max("label").alias("last"), F.count("*").alias("m")).where("first != last").select("run", F.ceil(F.col("m") / RUN_BLOCK).alias("blocks"))
+    rows = named.join(open_runs, "run").withColumn("block", F.pmod(F.xxhash64("a"), "blocks"))
+    rows = rows.join(sketches.withColumnRenamed("node", "a"), "a")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("token", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "a", "label", "n", "position")
-    return rows.groupBy("token", "x", "y").applyInPandas(_between, "a long, b long").distinct()
+    rows = rows.select("run", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "a", "label", "n", "sketch")
+    dealt = rows.repartition("run", "x", "y").sortWithinPartitions("run", "x", "y")
+    return dealt.transform(mapped, _between, "a long, b long").distinct()
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    made = stored(docs.transform(mapped, _sign, "kind int, doc_id long, node long, n long"), "signed")
+    made = stored(docs.transform(mapped, _sign, "kind int, doc_id long, node long, n long, sketch binary"), "signed")
     signed = made.where("kind = 0").select("doc_id", "node", "n")
-    # At most FREQUENT longs come to the driver and go to the tasks.
-    often = made.where("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "node").limit(FREQUENT).select("node").toArrow()
-    frequent = spark.sparkContext.broadcast(np.sort(np.asarray(often.column("node"), np.int64).view(np.uint64)))
+    # At most FREQUENT tokens with their counts come to the driver and go to the tasks.
+    often = made.where("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "node").limit(FREQUENT).toArrow()
+    listed, times = np.asarray(often.column("node"), np.int64).view(np.uint64), np.asarray(often.column("n"), np.float64)
+    by = np.argsort(listed)
+    frequent = spark.sparkContext.broadcast((listed[by], np.log2(times[by]).astype(np.int8)))
     tokens = signed.agg(F.sum("n")).first()[0] or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // (DENOMINATOR * INDEX_ROWS)))
-    index = docs.select("text").transform(mapped, _index_rows(frequent, 4 * tasks), _INDEX).repartition(tasks, "bucket")
+    index = docs.select("text").transform(mapped, _index_rows(frequent, tasks), _INDEX).repartitionById(tasks, F.col("bucket").cast("int"))
     found = stored(index.transform(mapped, _runs, _FOUND), "candidates")
     links = verify(stored(found.where("kind = 0").select("a", "b").distinct(), "pairs"), docs)
     labels = components(links)
-    rest = stored(unresolved(found.where("kind = 1").select("token", "a", "n", "position"), labels), "pairs")
+    sketches = made.where("kind = 0 AND node IS NOT NULL").groupBy("node").agg(F.min("sketch").alias("sketch"))
+    rest = stored(unresolved(found.where("kind = 1").select("run", "a", "n"), labels, sketches), "pairs")
     if not rest.isEmpty():
         links = links.union(verify(rest, docs))
         labels = components(links)
