@@ -14,6 +14,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import new_path
+
 SEED = 42
 ROW = "row_idx"
 
@@ -25,7 +27,10 @@ def with_row_index(df: DataFrame, order: str | list[str], name: str = ROW) -> Da
     """
     order = [order] if isinstance(order, str) else list(order)
     dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
-    dealt = dealt.persist()  # the counts and the numbers must see the same ranges
+    # Written, not cached: the counts and the numbers must see the same ranges even if an executor is lost.
+    path = new_path(df.sparkSession, "numbered")
+    dealt.write.parquet(path)
+    dealt = df.sparkSession.read.schema(dealt.schema).parquet(path)
     counts = dealt.groupBy("__part").count()
     before = counts.select("__part", F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
     inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
