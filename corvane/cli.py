@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .engine import DEFAULT_SIZE, DEFAULT_TEMPERATURE, Engine
 from .sources import sinks
+from .sources.download import fetch_datasets
 
 
 def _names(text: str | None) -> list[str] | None:
@@ -39,6 +40,7 @@ def parser() -> argparse.ArgumentParser:
     commands.add_parser("validate-prompts", help="prompts that don't fit their setups").add_argument("--prompt")
     commands.add_parser("list-prompts", help="prompts with setup and mode").add_argument("--mode")
     commands.add_parser("inspect-prompt", help="a prompt's template and problems").add_argument("--prompt", required=True)
+    commands.add_parser("download-datasets", help="fetch the files that datasets link to").add_argument("--setup")
     dataset = commands.add_parser("dataset", help="datasets of the setups")
     dataset.add_argument("action", choices=["list", "status", "validate"])
     dataset.add_argument("--setup")
@@ -113,6 +115,13 @@ def inspect_prompt(engine: Engine, args) -> int:
     return 0
 
 
+def download_datasets(engine: Engine, args) -> int:
+    found = fetch_datasets(engine.setups, engine.data_dir, _names(args.setup))
+    for name, what in found.items():
+        print(name, what)
+    return int(any(what.startswith("failed") for what in found.values()))
+
+
 def dataset(engine: Engine, args) -> int:
     for setup in _names(args.setup) or engine.setups:
         if args.action == "list":
@@ -139,7 +148,7 @@ def list_options(engine: Engine, args) -> int:
     return 0
 
 
-COMMANDS = {"run-experiment": run_experiment, "evaluate": evaluate, "summary": summary, "show-prompt": show_prompt, "validate-prompts": validate_prompts, "list-prompts": list_prompts, "inspect-prompt": inspect_prompt, "dataset": dataset, "finetune": finetune, "list-options": list_options}
+COMMANDS = {"run-experiment": run_experiment, "evaluate": evaluate, "summary": summary, "show-prompt": show_prompt, "validate-prompts": validate_prompts, "list-prompts": list_prompts, "inspect-prompt": inspect_prompt, "download-datasets": download_datasets, "dataset": dataset, "finetune": finetune, "list-options": list_options}
 
 
 if __name__ == "__main__":
