@@ -55,18 +55,36 @@ def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
         conf.set(key, str(BATCH_ROWS))
 
     def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from run(batches)
+        few_arenas()
+        for k, made in enumerate(run(batches)):
+            yield made
+            if k % 32 == 31:
+                release_memory()
         release_memory()
 
     return df.mapInArrow(trimmed, schema)
 
 
+# Parameters of glibc's mallopt.
+_MMAP_THRESHOLD, _ARENA_MAX = -3, -8
+
+
+def few_arenas() -> None:
+    """Let large arrays have mappings of their own, which go back at once, and threads share arenas."""
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(_ARENA_MAX, 2)
+        libc.mallopt(_MMAP_THRESHOLD, 4 << 20)
+    except (AttributeError, OSError):  # another C library than glibc
+        pass
+
+
 def release_memory() -> None:
     """Hand freed memory to the system; workers are reused for other tasks and would keep their peaks."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
-    except (AttributeError, OSError):  # another C library than glibc
+    except (AttributeError, OSError):
         pass
 
 

@@ -10,16 +10,19 @@ Every other text goes to the library as it is.
 from __future__ import annotations
 
 import json
+import os
 
 import numpy as np
-from tokenizers import Tokenizer, pre_tokenizers
 
-from . import kernels
+os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads of its own would only hold memory
+from tokenizers import Tokenizer, pre_tokenizers  # noqa: E402
+
+from . import kernels  # noqa: E402
 
 #: The split pattern for which the vectorised path holds.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Distinct pre-tokens kept; beyond it the table starts anew, which only costs time.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 400_000
 
 # Classes of bytes: 0 space, 1 letter, 2 digit, 3 symbol, 4 not for the vectorised path.
 _CLASS = np.full(256, 4, np.uint8)
@@ -40,7 +43,7 @@ class Encoder:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.library = Tokenizer.from_str(json.dumps(spec))
+        self.path, self._library = path, None
         parts = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         kinds = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
         self.fast = parts[0].get("pattern", {}).get("Regex") == WORD_PATTERN and kinds == ["NFC", "Replace", "Lowercase"] and spec["model"].get("end_of_word_suffix") == "</w>"
@@ -54,6 +57,13 @@ class Encoder:
             self.added = [x["content"].encode() for x in spec["added_tokens"]]
             self._reset()
 
+    @property
+    def library(self) -> Tokenizer:
+        """The tokenizer as the file has it, made when a text first needs it."""
+        if self._library is None:
+            self._library = Tokenizer.from_file(self.path)
+        return self._library
+
     def _reset(self) -> None:
         self.keys = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]  # sorted: all but the newest, the newest
         self.at = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
