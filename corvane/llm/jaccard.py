@@ -9,12 +9,13 @@ members, and the pairs are verified on the whole sets.
 
 Runs of more than ``SHORT_RUN`` nodes are not paired up at once. Their nodes are
 first compared with one pivot; the links found so far give classes; and only
-where a run still holds several classes are the pairs between classes compared,
-in blocks. Runs of the same nodes count once. A pair is thus skipped only if both are in one class already, so the
+where a run still holds several classes are pairs between classes compared, in
+blocks: a node's nearest few by sketch first, and in the last round all that
+are left. Runs of the same nodes count once. A pair is thus skipped only if both are in one class already, so the
 classes are exact.
 
 The list of frequent tokens (at most ``FREQUENT``) only chooses the order; any
-list gives the same classes. Pairs between classes are first held against
+list gives the same classes. All pairs are first held against
 parity sketches: sets that differ in d tokens have sketches that differ in d
 bits at most, so a pair beyond the largest difference of a link is no link.
 
@@ -50,6 +51,8 @@ COUNTED = 1 << 21
 #: Bits of a sketch, a power of two.
 SKETCH = 1024
 SHORT_RUN = 8
+#: Pairs of a node with other classes in each round; the last round takes all.
+ROUNDS = (2, 16, None)
 #: Index rows in a task, about, and nodes in a block of a long run.
 INDEX_ROWS, RUN_BLOCK = 1_000_000, 1024
 
@@ -302,31 +305,69 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({c: batch.column(c).filter(keep) for c in ("a", "b")})
 
 
-def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def far_apart(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For pairs of sketches (rows) and sums of sizes: the bits that differ, and whether they are too many for a link.
+
+    A link shares three sevenths of the sizes' sum at least, so the sets differ in a seventh of it at most.
+    """
+    differ = np.bitwise_count(x ^ y).sum(axis=1).astype(np.int64)
+    return differ, differ * (NUMERATOR + DENOMINATOR) > (DENOMINATOR - NUMERATOR) * n
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if not len(batch):
+            continue
+        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(len(batch), -1) for c in ("x", "y"))
+        keep = pa.array(~far_apart(x, y, batch.column("n").to_numpy())[1])
+        yield pa.RecordBatch.from_pydict({c: batch.column(c).filter(keep) for c in ("a", "b")})
+
+
+def both_sides(pairs: DataFrame, nodes: DataFrame, column: str) -> DataFrame:
+    """Pairs (a, b) with ``column`` of both nodes as x and y. Always by a shuffle, so that the plan is the same at every size."""
+    side = lambda end, name: nodes.select(F.col("node").alias(end), F.col(column).alias(name), F.col("n").alias(f"n{name}")).hint("merge")
+    return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+
+
+def near_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs whose sketches allow a link."""
+    met = both_sides(pairs, nodes, "sketch").select("a", "b", "x", "y", (F.col("nx") + F.col("ny")).alias("n"))
+    return stored(met.transform(mapped, _near, "a long, b long"), "pairs")
+
+
+def texts_of(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, packed, n: a text of each node of ``nodes`` (node)."""
+    texts = docs.select("text").transform(mapped, _texts, "node long, packed binary").join(nodes.hint("merge"), "node", "left_semi")
+    return stored(texts.groupBy("node").agg(F.min("packed").alias("packed"), F.lit(0).alias("n")), "texts")  # one of those that several tasks sent
+
+
+def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes that link, decided on the whole sets."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    texts = docs.select("text").transform(mapped, _texts, "node long, packed binary").join(nodes, "node", "left_semi")
-    texts = stored(texts.groupBy("node").agg(F.min("packed").alias("packed")), "texts")  # one of those that several tasks sent
-    met = pairs.join(texts.select(F.col("node").alias("a"), F.col("packed").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("packed").alias("y")), "b")
-    return stored(met.select("a", "b", "x", "y").transform(mapped, _linked, "a long, b long").distinct(), "links")
+    met = both_sides(pairs, texts, "packed").select("a", "b", "x", "y")
+    return stored(met.transform(mapped, _linked, "a long, b long"), "links")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, label: the smallest node reachable, for the nodes of ``edges`` (a, b).
+    """node, label: one label for all nodes that are connected, for the nodes of ``edges`` (a, b).
 
-    Labels go to neighbours as minima, aggregated before the shuffle, and along
-    labels (pointer jumping), so the rounds grow with the log of the diameter.
+    Each round sends a node to the smallest neighbour of its smallest neighbour,
+    renames the edges' ends and drops edges within a name, so that a star is gone
+    after one round and a chain shrinks by a factor.
     """
-    both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("label")), "labels")
+    rest = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    names = None
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "node").select("node", F.least("label", "near").alias("next"), "label")
-        far = labels.select(F.col("node").alias("next"), F.col("label").alias("far"))
-        new = stored(step.join(far, "next", "left").select("node", F.least("next", F.coalesce("far", "next")).alias("label"), (F.least("next", F.coalesce("far", "next")) != F.col("label")).alias("changed")), "labels")
-        if new.where("changed").isEmpty():
-            return new.select("node", "label")
-        labels = new.select("node", "label")
+        near = rest.union(rest.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("to"))
+        step = stored(near.join(near.select(F.col("node").alias("to"), F.col("to").alias("label")), "to").select("node", "label"), "names")
+        if names is None:
+            names = step
+        else:
+            names = stored(names.join(step.select(F.col("node").alias("label"), F.col("label").alias("next")), "label", "left").select("node", F.coalesce("next", "label").alias("label")), "names")
+        ends = [step.select(F.col("node").alias(c), F.col("label").alias(f"to_{c}")) for c in ("a", "b")]
+        renamed = rest.join(ends[0], "a").join(ends[1], "b").where("to_a <> to_b").select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b"))
+        rest = stored(renamed.distinct(), "edges")
+        if rest.isEmpty():
+            return names
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -345,19 +386,26 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield held
 
 
-def _between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of nodes of different classes that sizes and sketches allow to link, for each run and pair of blocks."""
-    pairs = []
-    for group in _groups(batches, ["run", "x", "y"]):
-        pairs.append(_open_pairs(group))
-        if sum(len(p[0]) for p in pairs) > 500_000:
-            pairs = [_distinct(pairs)]
-    if pairs:
-        a, b = _distinct(pairs)
-        yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+def _between(most: int | None):
+    """Pairs of nodes of different classes that sizes and sketches allow to link, for each run and pair of blocks.
+
+    ``most``: only so many for a node of a smaller class, those that differ least; None: all.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = []
+        for group in _groups(batches, ["run", "x", "y"]):
+            pairs.append(_open_pairs(group, most))
+            if sum(len(p[0]) for p in pairs) > 500_000:
+                pairs = [_distinct(pairs)]
+        if pairs:
+            a, b = _distinct(pairs)
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
 
 
-def _open_pairs(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+def _open_pairs(group: pa.Table, most: int | None) -> tuple[np.ndarray, np.ndarray]:
     label, node, block, n = (group.column(c).to_numpy() for c in ("label", "a", "block", "n"))
     x, y = group.column("x")[0].as_py(), group.column("y")[0].as_py()
     sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint64).reshape(len(node), -1)
@@ -370,22 +418,28 @@ def _open_pairs(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
             ok &= block[part][:, None] != block
         i, j = np.nonzero(ok)
         i = part[i]
-        # A link shares three sevenths of the sizes' sum at least, so the sets differ in a seventh of it at most.
-        far = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1) * (NUMERATOR + DENOMINATOR) > (DENOMINATOR - NUMERATOR) * (n[i] + n[j])
-        out.append((node[i[~far]], node[j[~far]]))
+        differ, far = far_apart(sketch[i], sketch[j], n[i] + n[j])
+        i, j, differ = i[~far], j[~far], differ[~far]
+        if most is not None and len(i):
+            by = np.lexsort((node[j], differ, i))
+            i, j = i[by], j[by]
+            first = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
+            place = np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i))))
+            i, j = i[place < most], j[place < most]
+        out.append((node[i], node[j]))
     return _distinct(out)
 
 
-def unresolved(long_runs: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs (a, b) between classes that still share a long run; ``sketches`` has node and sketch."""
-    named = long_runs.distinct().join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("label", F.coalesce("label", "a"))
+def unresolved(long_runs: DataFrame, labels: DataFrame, nodes: DataFrame, most: int | None) -> DataFrame:
+    """Pairs (a, b) between classes that still share a long run; ``nodes`` has node and sketch."""
+    named = long_runs.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("label", F.coalesce("label", "a"))
     open_runs = named.groupBy("run").agg(F.min("label").alias("first"), F.max("label").alias("last"), F.count("*").alias("m")).where("first != last").select("run", F.ceil(F.col("m") / RUN_BLOCK).alias("blocks"))
     rows = named.join(open_runs, "run").withColumn("block", F.pmod(F.xxhash64("a"), "blocks"))
-    rows = rows.join(sketches.withColumnRenamed("node", "a"), "a")
+    rows = rows.join(nodes.select(F.col("node").alias("a"), "sketch"), "a")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rows = rows.select("run", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "a", "label", "n", "sketch")
     dealt = rows.repartition("run", "x", "y").sortWithinPartitions("run", "x", "y")
-    return dealt.transform(mapped, _between, "a long, b long").distinct()
+    return stored(dealt.transform(mapped, _between(most), "a long, b long").distinct(), "pairs")
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -403,17 +457,20 @@ def classes(docs: DataFrame) -> DataFrame:
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // (DENOMINATOR * INDEX_ROWS)))
     index = docs.select("text").transform(mapped, _index_rows(frequent, tasks), _INDEX).repartitionById(tasks, F.col("bucket").cast("int"))
     found = stored(index.transform(mapped, _runs, _FOUND), "candidates")
-    links = verify(stored(found.where("kind = 0").select("a", "b").distinct(), "pairs"), docs)
-    labels = components(links)
-    sketches = made.where("kind = 0 AND node IS NOT NULL").groupBy("node").agg(F.min("sketch").alias("sketch"))
-    rest = stored(unresolved(found.where("kind = 1").select("run", "a", "n"), labels, sketches), "pairs")
-    if not rest.isEmpty():
-        links = links.union(verify(rest, docs))
-        labels = components(links)
-    nodes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
-    nodes = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = nodes.groupBy("label").agg(F.min("least").alias("component_id"))
-    nodes = nodes.join(least, "label").select("node", "component_id")
+    nodes = stored(made.where("kind = 0 AND node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "nodes")
+    pairs = near_pairs(found.where("kind = 0").select("a", "b").distinct(), nodes)
+    runs = stored(found.where("kind = 1").select("run", "a", "n").distinct(), "runs")
+    texts = texts_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(runs.select("a")).distinct(), docs)
+    labels = components(verify(pairs, texts))
+    for most in ROUNDS:
+        rest = unresolved(runs, labels, nodes, most)
+        if rest.isEmpty():
+            break
+        # Labels stand for all the links before.
+        labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(verify(rest, texts)))
+    named = nodes.select("node", "least").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    least = named.groupBy("label").agg(F.min("least").alias("component_id"))
+    nodes = named.join(least, "label").select("node", "component_id")
     return signed.join(nodes, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 

@@ -214,3 +214,28 @@ def test_decontamination_of_odd_inputs(spark, odd_docs, no_docs, documents, sf_d
     nothing = decontam.digest(decontam.find(odd_docs, bench.where("item_id = -1"))).collect()
     assert not any(r.contaminated for r in nothing)
     assert decontam.clean(odd_docs, bench).columns == odd_docs.columns
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 25), st.integers(0, 25)), max_size=30))
+def test_components(spark, pairs):
+    parent = {i: i for p in pairs for i in p}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in pairs:
+        parent[find(a)] = find(b)
+    names = {r.node: r.label for r in jaccard.components(spark.createDataFrame([(a, b) for a, b in pairs], "a long, b long")).collect()}
+    linked = {i for a, b in pairs if a != b for i in (a, b)}
+    assert set(names) == linked
+    for a in linked:
+        for b in linked:
+            assert (names[a] == names[b]) == (find(a) == find(b))
+
+
+def test_components_of_a_chain(spark):
+    names = jaccard.components(spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")).collect()
+    assert len(names) == 201 and len({r.label for r in names}) == 1
