@@ -50,12 +50,12 @@ def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
 # ---- responses --------------------------------------------------------------------------------------
 
 
-def question_values(d: Dialect) -> str:
+def question_values(d: Dialect, answer: str = "substr(a, 1, 500)") -> str:
     """A question of eight words, four choices and the right one, from the benchmark text ``b`` and the response ``a``."""
     w = d.words("b")
     question = [d.at(w, i) for i in range(8)]
     blank = lambda x: f"coalesce({x}, '')"
-    items = [f"concat_ws(' ', {', '.join(map(blank, question))})", *[blank(d.at(w, i)) for i in (2, 5)], blank(d.at(d.words("substr(a, 1, 500)"), 1)), blank(d.at(w, 3)), blank(d.at(w, 2))]
+    items = [f"concat_ws(' ', {', '.join(map(blank, question))})", *[blank(d.at(w, i)) for i in (2, 5)], blank(d.at(d.words(answer), 1)), blank(d.at(w, 3)), blank(d.at(w, 2))]
     return f"array({', '.join(items)})" if isinstance(d, SparkSql) else f"[{', '.join(items)}]"
 
 
@@ -67,14 +67,14 @@ FROM (SELECT d.doc_id, d.text AS a, i.text AS b, d.lang AS setup, d.source AS mo
 """
 
 
-def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+def responses(spark: SparkSession, sf_dir: str, answer: str = "substr(a, 1, 500)") -> DataFrame:
     """Documents as responses to benchmark items; setup is the language, model the source, prompt the quality label."""
     docs, items, labels = (table(spark, sf_dir, t) for t in ("documents", "benchmark", "labels"))
     n = items.agg(F.count("*").alias("n_items"))
     asked = docs.crossJoin(F.broadcast(n)).withColumn("item_id", F.col("doc_id") % F.col("n_items")).join(items.select("item_id", F.col("text").alias("b")), "item_id")
     asked = asked.join(labels, "doc_id", "left")
     base = asked.select("doc_id", F.col("text").alias("a"), "b", F.col("lang").alias("setup"), F.col("source").alias("model"), F.concat(F.lit("q"), F.coalesce(F.col("quality"), F.lit(9)).cast("string")).alias("prompt"), (F.coalesce(F.col("toxic"), F.lit(0)) == 0).alias("success"), (F.col("n_chars") / 1000.0).alias("processing_time"))
-    return base.select("doc_id", F.col("a").alias("response"), F.col("b").alias("expected_output"), "setup", "model", "prompt", "success", "processing_time", F.expr(question_values(SparkSql())).alias("question_values"))
+    return base.select("doc_id", F.col("a").alias("response"), F.col("b").alias("expected_output"), "setup", "model", "prompt", "success", "processing_time", F.expr(question_values(SparkSql(), answer)).alias("question_values"))
 
 
 def _duck_prepared(source: str, keys: str) -> str:
@@ -177,16 +177,31 @@ def _task_query(module: str) -> None:
         return rounded(module_scores(task_rows(spark, sf_dir), module, ["doc_id"]), *MODULES[module])
 
 
+def all_task_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hand-written cases, and the responses of all languages and of none, with the choices of their whole texts."""
+    whole = responses(spark, sf_dir, "a")
+    return whole.select("doc_id", "response", "expected_output", "question_values", "success").unionByName(case_rows(spark))
+
+
+def _all_task_query(module: str) -> None:
+    """Without SQL: engines differ on word borders beside other letters."""
+
+    @query(name=f"task_{module}_all")
+    def run(spark, sf_dir):
+        return rounded(module_scores(all_task_rows(spark, sf_dir), module, ["doc_id"]), *MODULES[module])
+
+
 for _module in MODULES:
     _task_query(_module)
+    _all_task_query(_module)
 
 
 @query()
 def task_registered_function(spark, sf_dir):
-    """A function added by a user, beside a setup's own metrics."""
+    """A function added by a user, beside a setup's own metrics, over the responses of all languages."""
     registry = MetricRegistry()
     registry.register("response_length_share", lambda r: len(r["response"]) / max(1, len(r["expected_output"])))
-    return registry.scores(case_rows(spark), "pubmedqa_reasoning_free", ["doc_id"])
+    return registry.scores(all_task_rows(spark, sf_dir), "pubmedqa_reasoning_free", ["doc_id"])
 
 
 # ---- summaries --------------------------------------------------------------------------------------------
