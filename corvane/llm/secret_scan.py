@@ -3,8 +3,9 @@
 Two first-order Markov models over character classes, one of random strings and
 one of ordinary identifiers, are trained from labelled samples. A candidate
 token is a secret if its log-likelihood ratio per character is above a
-threshold. Candidates are runs of ``[A-Za-z0-9+/_=-]`` of 20 to 200 characters that mix
-letters and digits; longer runs are encoded data rather than keys.
+threshold. Candidates are runs of ``[A-Za-z0-9+/_=-]`` of 20 characters or more, of any
+length; of a run that is not a secret as a whole, its parts between ``/`` and ``=`` and all
+its windows of 20 characters are candidates.
 
 Defined results: null and empty texts have no spans; repeated rows are
 documents of their own; other columns are ignored; texts of any length are
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Lazy, by_block, mapped
+from .decontam import merged
 
 # The base patterns and the least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -34,7 +36,8 @@ KINDS = ("assign", "access", "hex", "markov")
 _ASSIGN_HINTS = ("passw", "secret", "token", "key")
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-LONGEST = 200
+PART = re.compile(r"[A-Za-z0-9+_-]{20,}")
+WINDOW = 20
 #: Log-likelihood ratio per character (nats) from which a candidate is a secret.
 THRESHOLD = 0.35
 
@@ -93,6 +96,9 @@ class Markov:
         for i, c in enumerate(ALPHABET):
             self.code[ord(c)] = i
         self.ratio = self._fit(secrets, smoothing) - self._fit(ordinary, smoothing)
+        # Neither kind of sample repeats one character, so that repeats (rules, padding) speak for neither.
+        same = np.arange(len(ALPHABET))
+        self.ratio[same, same] = np.minimum(self.ratio[same, same], 0)
 
     def _fit(self, samples: list[str], smoothing: float) -> np.ndarray:
         n = len(ALPHABET)
@@ -104,10 +110,14 @@ class Markov:
                 np.add.at(counts, (np.concatenate([[n], c[:-1]]), c), 1)
         return np.log(counts / counts.sum(axis=1, keepdims=True))
 
+    def ratios(self, token: str) -> np.ndarray:
+        """Log-likelihood ratio of each character."""
+        c = self.code[np.frombuffer(token.encode("ascii"), np.uint8)]
+        return self.ratio[np.concatenate([[len(ALPHABET)], c[:-1]]), c]
+
     def score(self, token: str) -> float:
         """Mean log-likelihood ratio of a character; above 0: rather random."""
-        c = self.code[np.frombuffer(token.encode("ascii"), np.uint8)]
-        return float(self.ratio[np.concatenate([[len(ALPHABET)], c[:-1]]), c].mean())
+        return float(self.ratios(token).mean())
 
 
 class Scanner:
@@ -126,18 +136,23 @@ class Scanner:
         out += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
         return sorted(out, key=_order)
 
+    def parts(self, token: str) -> list[tuple[int, int]]:
+        """Where a candidate run is a secret: all of it, or the parts and windows that are, joined where they meet."""
+        if self.model.score(token) >= self.threshold:
+            return [(0, len(token))]
+        found = [m.span() for m in PART.finditer(token) if self.model.score(m.group()) >= self.threshold]
+        total = np.concatenate([[0.0], np.cumsum(self.model.ratios(token))])
+        means = (total[WINDOW:] - total[:-WINDOW]) / WINDOW
+        return merged(found + [(i, i + WINDOW) for i in np.flatnonzero(means >= self.threshold).tolist()])
+
     def spans(self, text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
         """Base spans, and all spans: the Markov models add what no base span covers."""
         base = self.base(text)
         added = []
         for m in CANDIDATE.finditer(text):
-            token = m.group()
-            if len(token) > LONGEST or token.isalpha() or not any(map(str.isalpha, token)) or not any(map(str.isdigit, token)):
-                continue
             if any(s < m.end() and m.start() < e for _, s, e in base):
                 continue
-            if self.model.score(token) >= self.threshold:
-                added.append(("markov", m.start(), m.end()))
+            added += [("markov", m.start() + s, m.start() + e) for s, e in self.parts(m.group())]
         return base, sorted(base + added, key=_order)
 
     def digest(self, texts: list[bytes]) -> dict[str, pa.Array]:

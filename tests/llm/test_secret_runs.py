@@ -1,0 +1,46 @@
+"""Secrets in long runs, of letters only, and beside other secrets."""
+
+import random
+import string
+
+import numpy as np
+import pytest
+from corvane.llm import secret_scan
+
+
+@pytest.fixture(scope="module")
+def scanner():
+    return secret_scan.Scanner()
+
+
+def covered(scanner, text, start, end):
+    """Is every character from start to end in a span?"""
+    held = np.zeros(len(text), bool)
+    for _, s, e in scanner.spans(text)[1]:
+        held[s:e] = True
+    return bool(held[start:end].all())
+
+
+def keys(n, size, letters=string.ascii_letters + string.digits, seed=3):
+    rng = random.Random(seed)
+    return ["".join(rng.choice(letters) for _ in range(size)) for _ in range(n)]
+
+
+def test_long_runs(scanner):
+    for key in keys(20, 900, string.ascii_letters + string.digits + "+/"):
+        assert covered(scanner, f"key {key} end", 4, 904)
+    ordinary = [s for s in secret_scan.ordinary_samples(400, seed=98) if len(s) >= 20]
+    for i, key in enumerate(keys(50, 40)):
+        before = "/".join(ordinary[i : i + 8]) + "/"
+        text = before + key + "/" + "/".join(ordinary[i + 8 : i + 12])
+        assert len(text) > 200 and covered(scanner, text, len(before), len(before) + 40)
+    assert not scanner.spans("/".join(ordinary))[1]
+
+
+def test_keys_of_letters_only(scanner):
+    assert np.mean([covered(scanner, k, 0, 20) for k in keys(500, 20, string.ascii_letters)]) > 0.99
+
+
+@pytest.mark.parametrize("text", ["-" * 40, "_" * 30, "=" * 250, "q" * 300, "-" * 10 + "2024" + "-" * 10, "+-----+------+-------+---"])
+def test_repeats_are_no_secrets(scanner, text):
+    assert not scanner.spans(text)[1]
