@@ -5,7 +5,8 @@ one of ordinary identifiers, are trained from labelled samples. A candidate
 token is a secret if its log-likelihood ratio per character is above a
 threshold. Candidates are runs of ``[A-Za-z0-9+/_=-]`` of 20 characters or more, of any
 length; of a run that is not a secret as a whole, its parts between ``/`` and ``=`` and all
-its windows of 20 characters are candidates.
+its windows of 20 characters are candidates. Base spans are cut out of a run; what is left of
+it is scored for itself, beside an access key or a hex string also if it is shorter.
 
 Defined results: null and empty texts have no spans; repeated rows are
 documents of their own; other columns are ignored; texts of any length are
@@ -15,6 +16,7 @@ scanned whole; positions are code points, ends exclusive.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -145,14 +147,27 @@ class Scanner:
         means = (total[WINDOW:] - total[:-WINDOW]) / WINDOW
         return merged(found + [(i, i + WINDOW) for i in np.flatnonzero(means >= self.threshold).tolist()])
 
+    def left(self, token: str, beside: bool) -> list[tuple[int, int]]:
+        """``parts`` of what is left of a run; a short rest beside an inner base span is a secret or not as a whole."""
+        if len(token) >= WINDOW:
+            return self.parts(token)
+        return [(0, len(token))] if beside and token and self.model.score(token) >= self.threshold else []
+
     def spans(self, text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
         """Base spans, and all spans: the Markov models add what no base span covers."""
         base = self.base(text)
         added = []
+        ends = itertools.accumulate((e for _, _, e in base), max, initial=0)
+        cuts = [b for b, end in zip(base, ends) if b[2] > end]  # without spans inside others
+        i = 0  # the first cut that may reach into the run
         for m in CANDIDATE.finditer(text):
-            if any(s < m.end() and m.start() < e for _, s, e in base):
-                continue
-            added += [("markov", m.start() + s, m.start() + e) for s, e in self.parts(m.group())]
+            while i < len(cuts) and cuts[i][2] <= m.start():
+                i += 1
+            at, beside = m.start(), False
+            for kind, s, e in [*itertools.takewhile(lambda c: c[1] < m.end(), itertools.islice(cuts, i, None)), ("", m.end(), m.end())]:
+                inner = kind in KINDS[1:3]
+                added += [("markov", at + a, at + b) for a, b in self.left(text[at:s], beside or inner)]
+                at, beside = max(at, e), inner
         return base, sorted(base + added, key=_order)
 
     def digest(self, texts: list[bytes]) -> dict[str, pa.Array]:
