@@ -89,7 +89,7 @@ class Index:
                 d = int(doc[p])
                 for q in self.places[a:b].tolist():
                     i = int(self.item[q])
-                    if done.get((p - q, i), -1) >= p:
+                    if done.get((p - q, i), -1) > p:
                         continue
                     left = self._run(words[max(at[d], p - (q - self.begin[i])) : p][::-1], self.words[max(self.begin[i], q - (p - at[d])) : q][::-1])
                     right = self._run(words[p : at[d + 1]][: self.end[i] - q], self.words[q : self.end[i]])
