@@ -30,8 +30,6 @@ from .tokens import Encoder
 CAPACITY = 2048
 #: Pieces in a shard, about; a shard leaves one sequence underfull at most, as a rule.
 SHARD = 40_000
-#: Exchanges tried for each sequence that is to be emptied.
-PATIENCE = 400
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
@@ -78,7 +76,7 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def improve(lengths: list[int], bins: list[list[int]], capacity: int, patience: int = PATIENCE) -> list[list[int]]:
+def improve(lengths: list[int], bins: list[list[int]], capacity: int) -> list[list[int]]:
     """Empty underfull bins by moves and swaps that raise the sum of squared fills."""
     size = np.asarray(lengths, np.int64)
     fill = np.array([size[b].sum() for b in bins], np.int64)
@@ -92,7 +90,7 @@ def improve(lengths: list[int], bins: list[list[int]], capacity: int, patience:
         if n_bins <= least:
             break
         undo = place.copy(), fill.copy()
-        for _ in range(patience):
+        while True:  # the sum of squared fills rises with every step and is bounded
             own = np.flatnonzero(place == low)
             if not len(own):
                 break
@@ -113,6 +111,8 @@ def improve(lengths: list[int], bins: list[list[int]], capacity: int, patience:
                 continue
             # Exchanges: one or two own pieces for one shorter piece of a fuller bin; the largest gain first.
             best = (0, None, None)
+            _, first, times = np.unique(long[own], return_index=True, return_counts=True)
+            own = own[np.sort(np.concatenate([first, [np.flatnonzero(long[own] == long[own[f]])[1] for f in first[times > 1]]]).astype(np.int64))]  # two of a length are enough
             singles = [(int(long[a]), (a,)) for a in own]
             pairs = [(int(long[own[i]] + long[own[j]]), (own[i], own[j])) for i in range(len(own)) for j in range(i)]
             theirs = np.flatnonzero(other)
