@@ -1,11 +1,11 @@
-"""Exact near-duplicate classes by a grouped prefix join on Jaccard similarity.
+"""Exact near-duplicate classes by a prefix join on Jaccard similarity.
 
 A document's set holds its distinct five-word shingles as 64-bit hashes. Equal
 sets are one node. The tokens of a set are put in a global order, frequent ones
 last, and a prefix of it is indexed: two sets that link must share a token of
-their prefixes. Within a token's run, nodes with identical prefix and size form
-one group; pairs of groups are filtered by size and position, then expanded to
-members, and the pairs are verified on the whole sets.
+their prefixes. Within a token's run, pairs of nodes are filtered by size and
+position and verified on the whole sets; the hash of prefix and size (``grp``) only
+orders a run.
 
 Runs of more than ``SHORT_RUN`` nodes are not paired up at once. Their nodes are
 first compared with one pivot; the links found so far give classes; and only
@@ -229,7 +229,6 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         i, j = np.triu_indices(m, 1)
         left, right = (own[:, None] + i).ravel(), (own[:, None] + j).ravel()
-        # A group's members have one size and position, so the filter of one pair of members holds for its group pair.
         ok = may_link(size[left], position[left], size[right], position[right])
         pairs.append((node[left[ok]], node[right[ok]]))
         if sum(len(p[0]) for p in pairs) > 2_000_000:
