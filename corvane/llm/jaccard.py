@@ -56,7 +56,7 @@ ROUNDS = (2, 16, None)
 #: Index rows in a task, about, and nodes in a block of a long run.
 INDEX_ROWS, RUN_BLOCK = 1_000_000, 1024
 
-_SIGNED = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary())])
+_SIGNED = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("hash", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary())])
 
 
 def token_sets(texts: list[bytes]) -> list[np.ndarray]:
@@ -91,14 +91,14 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def often() -> pa.RecordBatch:
         token, count = np.unique(np.concatenate(held), return_counts=True)
         token, count = token[count >= SEEN], count[count >= SEEN]
-        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(token), np.int32)), pa.nulls(len(token), pa.int64()), pa.array(token.view(np.int64)), pa.array(count.astype(np.int64)), pa.nulls(len(token), pa.binary())], schema=_SIGNED)
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(token), np.int32)), pa.nulls(len(token), pa.int64()), pa.nulls(len(token), pa.int64()), pa.array(token.view(np.int64)), pa.array(count.astype(np.int64)), pa.nulls(len(token), pa.binary())], schema=_SIGNED)
 
     for batch in batches:
         texts = utf8(batch.column("text"))
         for part in blocks(map(len, texts)):
             sets = token_sets(texts[part])
-            ids = batch.column("doc_id").slice(part.start, len(sets))
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int32)), ids, pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch_of(s) for s in sets], pa.binary())], schema=_SIGNED)
+            ids, hashes = (batch.column(c).slice(part.start, len(sets)) for c in ("doc_id", "hash"))
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int32)), ids, hashes, pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch_of(s) for s in sets], pa.binary())], schema=_SIGNED)
             held += sets
             size += sum(map(len, sets))
             if size >= COUNTED:
@@ -443,10 +443,19 @@ def unresolved(long_runs: DataFrame, labels: DataFrame, nodes: DataFrame, most:
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of ``docs`` (doc_id, text)."""
+    signed, nodes = _labelled(docs)
+    least = nodes.groupBy("label").agg(F.min("first").alias("first"))
+    nodes = nodes.join(least.select("label", F.col("first.doc_id").alias("component_id")), "label").select("node", "component_id")
+    return signed.join(nodes, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc_id, hash of the text, node and n of each row; and label and first row (smallest doc_id, null last) of each node."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    made = stored(docs.transform(mapped, _sign, "kind int, doc_id long, node long, n long, sketch binary"), "signed")
-    signed = made.where("kind = 0").select("doc_id", "node", "n")
+    hashed = docs.withColumn("hash", F.xxhash64("text"))
+    made = stored(hashed.transform(mapped, _sign, "kind int, doc_id long, hash long, node long, n long, sketch binary"), "signed")
+    signed = made.where("kind = 0").select("doc_id", "hash", "node", "n")
     # At most FREQUENT tokens with their counts come to the driver and go to the tasks.
     often = made.where("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "node").limit(FREQUENT).toArrow()
     listed, times = np.asarray(often.column("node"), np.int64).view(np.uint64), np.asarray(often.column("n"), np.float64)
@@ -456,7 +465,7 @@ def classes(docs: DataFrame) -> DataFrame:
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // (DENOMINATOR * INDEX_ROWS)))
     index = docs.select("text").transform(mapped, _index_rows(frequent, tasks), _INDEX).repartitionById(tasks, F.col("bucket").cast("int"))
     found = stored(index.transform(mapped, _runs, _FOUND), "candidates")
-    nodes = stored(made.where("kind = 0 AND node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "nodes")
+    nodes = stored(made.where("kind = 0 AND node IS NOT NULL").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "hash")).alias("first"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "nodes")
     pairs = near_pairs(found.where("kind = 0").select("a", "b").distinct(), nodes)
     runs = stored(found.where("kind = 1").select("run", "a", "n").distinct(), "runs")
     texts = texts_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(runs.select("a")).distinct(), docs)
@@ -467,17 +476,20 @@ def classes(docs: DataFrame) -> DataFrame:
             break
         # Labels stand for all the links before.
         labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(verify(rest, texts)))
-    named = nodes.select("node", "least").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    nodes = named.join(least, "label").select("node", "component_id")
-    return signed.join(nodes, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return signed, nodes.select("node", "first").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """One row of ``docs`` for each component, the one with the smallest doc_id, with all columns.
+    """One row of ``docs`` for each component, the one with the smallest doc_id (null last), with all columns.
 
-    Rows that repeat a doc_id and text count once; rows with null doc_id have no name and stay.
+    A row is known by its doc_id and text; rows that repeat both count once. Rows without words are components of
+    their own, so those with null doc_id all stay.
     """
-    made = classes(docs).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(made, docs["doc_id"].cast("long") == made["doc_id"], "left_semi").withColumn("__corvane_text", F.xxhash64("text"))
-    return named.dropDuplicates(["doc_id", "__corvane_text"]).drop("__corvane_text").union(docs.where("doc_id is null"))
+    signed, nodes = _labelled(docs)
+    first = nodes.groupBy("label").agg(F.min("first").alias("first")).select("first.doc_id", "first.hash", F.lit(False).alias("own"))
+    wordless = signed.where("node is null").select("doc_id", "hash", F.col("doc_id").isNull().alias("own")).distinct()
+    made = first.union(wordless).select(F.col("doc_id").alias("__corvane_id"), F.col("hash").alias("__corvane_hash"), "own").withColumnRenamed("own", "__corvane_own")
+    rows = docs.withColumn("__corvane_text", F.xxhash64(F.col("text").cast("string")))
+    named = rows.join(made, F.col("doc_id").cast("long").eqNullSafe(F.col("__corvane_id")) & (F.col("__corvane_text") == F.col("__corvane_hash")))
+    named = named.withColumn("__corvane_row", F.when(F.col("__corvane_own"), F.monotonically_increasing_id()))
+    return named.dropDuplicates(["doc_id", "__corvane_text", "__corvane_row"]).select(*[F.col(f"`{c}`") for c in docs.columns])
