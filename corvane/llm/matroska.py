@@ -37,6 +37,7 @@ EBML, SEGMENT, SEEK_HEAD, INFO, TRACKS, CLUSTER, CUES, VOID = 0x1A45DFA3, 0x1853
 DOC_TYPE, DOC_TYPE_VERSION, DOC_TYPE_READ_VERSION = 0x4282, 0x4287, 0x4285
 TIMESTAMP_SCALE, MUXING_APP, WRITING_APP, DURATION = 0x2AD7B1, 0x4D80, 0x5741, 0x4489
 TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, FLAG_LACING, CODEC_ID, AUDIO, SAMPLING, CHANNELS, BIT_DEPTH = 0xAE, 0xD7, 0x73C5, 0x83, 0x9C, 0x86, 0xE1, 0xB5, 0x9F, 0x6264
+DEFAULT_DURATION = 0x23E383
 CLUSTER_TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, REFERENCE = 0xE7, 0xA3, 0xA0, 0xA1, 0xFB
 CUE_POINT, CUE_TIME, CUE_TRACK_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 
@@ -164,8 +165,8 @@ def _uint(data: bytes, start: int, end: int) -> int:
     return int.from_bytes(data[start:end], "big")
 
 
-def _packets(data: bytes, start: int, end: int, base: int, key: bool | None) -> Iterator[Packet]:
-    """The frames of a block; key None: the block's own flag says."""
+def _packets(data: bytes, start: int, end: int, base: int, key: bool | None, scale: int, lasting: dict[int, int]) -> Iterator[Packet]:
+    """The frames of a block; key None: the block's own flag says. scale: nanoseconds of a tick; lasting: of a track's frame."""
     track, n = read_vint(data, start)
     at = start + n
     (offset,) = struct.unpack_from(">h", data, at)
@@ -197,7 +198,7 @@ def _packets(data: bytes, start: int, end: int, base: int, key: bool | None) ->
     if last < 0 or min(sizes, default=0) < 0:
         raise ValueError("laced sizes exceed the block")
     for i, size in enumerate([*sizes, last]):
-        yield Packet(track, base + offset + i * FRAME_MS, bool(flags & 128) if key is None else key, ("none", "xiph", "fixed", "ebml")[kind], at, at + size)
+        yield Packet(track, ((base + offset) * scale + i * lasting.get(track, FRAME_MS * 1_000_000)) // 1_000_000, bool(flags & 128) if key is None else key, ("none", "xiph", "fixed", "ebml")[kind], at, at + size)
         at += size
 
 
@@ -207,15 +208,20 @@ def parse(data: bytes) -> Parsed:
     for ident, _, start, end in _elements(data, 0, len(data)):
         if ident != SEGMENT:
             continue
+        scale, lasting = 1_000_000, {}
         for kind, first, a, b in _elements(data, start, end):
             if kind == INFO:
                 for i, _, s, e in _elements(data, a, b):
-                    if i == DURATION:
+                    if i == TIMESTAMP_SCALE:
+                        scale = _uint(data, s, e)
+                    elif i == DURATION:
                         out.duration = struct.unpack(">d" if e - s == 8 else ">f", data[s:e])[0]
             elif kind == TRACKS:
                 for i, _, s, e in _elements(data, a, b):
                     if i == TRACK_ENTRY:
                         own = {j: data[x:y] for j, _, x, y in _elements(data, s, e)}
+                        if DEFAULT_DURATION in own:
+                            lasting[int.from_bytes(own[TRACK_NUMBER], "big")] = int.from_bytes(own[DEFAULT_DURATION], "big")
                         out.tracks[int.from_bytes(own[TRACK_NUMBER], "big")] = own[CODEC_ID].decode("ascii", "replace")
             elif kind == CLUSTER:
                 out.clusters.append(first)
@@ -224,11 +230,11 @@ def parse(data: bytes) -> Parsed:
                     if i == CLUSTER_TIMESTAMP:
                         base = _uint(data, s, e)
                     elif i == SIMPLE_BLOCK:
-                        out.packets.extend(_packets(data, s, e, base, None))
+                        out.packets.extend(_packets(data, s, e, base, None, scale, lasting))
                     elif i == BLOCK_GROUP:
                         own = {j: (x, y) for j, _, x, y in _elements(data, s, e)}
                         if BLOCK in own:
-                            out.packets.extend(_packets(data, *own[BLOCK], base, REFERENCE not in own))
+                            out.packets.extend(_packets(data, *own[BLOCK], base, REFERENCE not in own, scale, lasting))
             elif kind == CUES:
                 for i, _, s, e in _elements(data, a, b):
                     if i == CUE_POINT:
