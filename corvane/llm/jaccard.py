@@ -1,23 +1,29 @@
-"""Exact near-duplicate classes by a prefix join on Jaccard similarity.
+"""Exact near-duplicate classes by a grouped prefix join on Jaccard similarity.
 
 A document's set holds its distinct five-word shingles as 64-bit hashes. Equal
 sets are one node. The tokens of a set are put in a global order, frequent ones
-last, and a prefix of it is indexed: two sets that link must share a token of
-their prefixes. Within a token's run, pairs of nodes are filtered by size and
-position and verified on the whole sets; the hash of prefix and size (``grp``) only
-orders a run.
-
-Runs of more than ``SHORT_RUN`` nodes are not paired up at once. Their nodes are
-first compared with one pivot; the links found so far give classes; and only
-where a run still holds several classes are pairs between classes compared, in
-blocks: a node's nearest few by sketch first, and in the last round all that
-are left. Runs of the same nodes count once. A pair is thus skipped only if both are in one class already, so the
-classes are exact.
+last, and its prefix is indexed: two sets that link must share a token of their
+prefixes. Nodes of one prefix and size are collapsed into a group, which stands
+in a token's run once, however many members it has. Pairs of groups are filtered
+by size and position; those that stay are expanded to pairs of members, which
+are filtered by their sketches and verified on the whole sets. Members of one
+group are paired where its first token is.
+
+Runs and groups of more than ``SHORT_RUN`` nodes are not paired up at once. Their
+nodes are first compared with a pivot of their size; the links found so far give
+classes; and only where a run still holds several classes are nodes outside its
+largest class compared with those of other classes, in blocks, again groups
+first: a node's nearest few by sketch, and in the last round all that are left.
+Runs of the same nodes count once. A pair is thus skipped only if both are in
+one class already, so the classes are exact.
 
 The list of frequent tokens (at most ``FREQUENT``) only chooses the order; any
-list gives the same classes. All pairs are first held against
-parity sketches: sets that differ in d tokens have sketches that differ in d
-bits at most, so a pair beyond the largest difference of a link is no link.
+list gives the same classes. Runs know a token by its bucket and 32 bits; tokens
+that agree in both by chance only add pairs, which are not verified. A sketch
+has a bit for each of as many classes of tokens as the set is large, about: sets
+that differ in d tokens have sketches that differ in d bits at most, so a pair
+beyond the largest difference of a link is no link. Only texts of pairs that
+stay are fetched, by a fixed-size bitmap first.
 
 Defined results: null texts and texts without words have an empty set, link
 with nothing and are their own component; repeated rows and copies share a
@@ -37,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import blocks, mapped, stored, utf8
+from .common import blocks, discard, mapped, stored, utf8
 
 SHINGLE = 5
 #: Links need 100 * intersection >= 75 * union; kept as a fraction.
@@ -48,13 +54,17 @@ FREQUENT = 1 << 19
 SEEN, OFTEN = 2, 6
 #: Tokens that a task counts at a time.
 COUNTED = 1 << 21
-#: Bits of a sketch, a power of two.
-SKETCH = 1024
+#: Bits of a sketch at least; a power of two, as all sketches' bits are.
+SKETCH = 256
 SHORT_RUN = 8
 #: Pairs of a node with other classes in each round; the last round takes all.
-ROUNDS = (2, 16, None)
+ROUNDS = (2, None)
 #: Index rows in a task, about, and nodes in a block of a long run.
-INDEX_ROWS, RUN_BLOCK = 1_000_000, 1024
+INDEX_ROWS, RUN_BLOCK = 1_000_000, 512
+#: Bits of the map that says which texts may be wanted; 4 MB for any input.
+WANTED_BITS = 1 << 25
+#: Bytes of sketches that are compared at once.
+COMPARED = 1 << 23
 
 _SIGNED = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("hash", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary())])
 
@@ -78,15 +88,38 @@ def node_of(tokens: np.ndarray) -> int | None:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True) if len(tokens) else None
 
 
-def sketch_of(tokens: np.ndarray) -> bytes:
-    """A bit for each of SKETCH classes of tokens: whether the set has an odd number of them."""
-    held = np.bincount((tokens >> np.uint64(65 - SKETCH.bit_length())).astype(np.int64), minlength=SKETCH)
+def sketch_bits(n: int) -> int:
+    """Bits of the sketch of a set of n."""
+    return max(SKETCH, 1 << max(0, n - 1).bit_length())
+
+
+def sketch_of(tokens: np.ndarray, bits: int = 1024) -> bytes:
+    """A bit for each of so many classes of tokens: whether the set has an odd number of them."""
+    held = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((held & 1).astype(bool)).tobytes()
 
 
+def folded(sketches: np.ndarray, words: int) -> np.ndarray:
+    """Rows of sketches cut to so many 64-bit words: classes that agree in their low bits become one."""
+    while sketches.shape[1] > words:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
+
+
+def _unseen(seen: set[int], name: int | None) -> bool:
+    """Whether a task meets a name for the first time, or so long after the last that it has forgotten."""
+    if name is None or name in seen:
+        return False
+    if len(seen) >= 500_000:
+        seen.clear()
+    seen.add(name)
+    return True
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Kind 0: a row for each document. Kind 1: tokens that this task has seen often (node: the token, n: how often)."""
-    held, size = [], 0
+    """Kind 0: a row for each document, with the sketch once a node. Kind 1: tokens that this task has seen often (node: the token, n: how often)."""
+    held, size, seen = [], 0, set()
 
     def often() -> pa.RecordBatch:
         token, count = np.unique(np.concatenate(held), return_counts=True)
@@ -98,7 +131,10 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in blocks(map(len, texts)):
             sets = token_sets(texts[part])
             ids, hashes = (batch.column(c).slice(part.start, len(sets)) for c in ("doc_id", "hash"))
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int32)), ids, hashes, pa.array([node_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch_of(s) for s in sets], pa.binary())], schema=_SIGNED)
+            nodes, sketches = [node_of(s) for s in sets], []
+            for node, tokens in zip(nodes, sets):
+                sketches.append(sketch_of(tokens, sketch_bits(len(tokens))) if _unseen(seen, node) else None)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int32)), ids, hashes, pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sketches, pa.binary())], schema=_SIGNED)
             held += sets
             size += sum(map(len, sets))
             if size >= COUNTED:
@@ -133,28 +169,45 @@ def _numbers(blob: bytes, n: int) -> np.ndarray:
     return np.frombuffer(blob, np.uint16 if len(blob) == 2 * n else np.uint32)
 
 
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... for so many, then the same from starts[1], and so on."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + counts, counts)
+
+
 def _index_rows(frequent, buckets: int):
-    """Blobs of index rows for each bucket of tokens: token, node, group, size, position."""
+    """Blobs of index rows for each bucket of tokens: 32 bits of the token, position and group; and the groups with name, size and members."""
 
     def emit(rows: list[tuple[np.ndarray, int, int]]) -> Iterator[pa.RecordBatch]:
-        token = np.concatenate([r[0] for r in rows])
-        length = np.array([len(r[0]) for r in rows])
-        doc = np.repeat(np.arange(len(rows)), length)
-        position = np.arange(len(token)) - np.repeat(np.cumsum(length) - length, length)
-        groups = np.array([int.from_bytes(hashlib.blake2b(r[0].tobytes() + r[2].to_bytes(8, "little"), digest_size=8).digest(), "little") for r in rows], np.uint64)
-        nodes, sizes = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
+        place: dict[int, int] = {}
+        prefixes, of = [], []
+        for prefix, _, n in rows:
+            name = int.from_bytes(hashlib.blake2b(prefix.tobytes() + n.to_bytes(8, "little"), digest_size=8).digest(), "little")
+            if name not in place:
+                place[name] = len(prefixes)
+                prefixes.append((prefix, n))
+            of.append(place[name])
+        names, sizes = np.array(list(place), np.uint64), np.array([n for _, n in prefixes], np.uint32)
+        by = np.argsort(of, kind="stable")
+        members = np.array([r[1] for r in rows], np.int64)[by]
+        counts = np.bincount(of, minlength=len(prefixes))
+        starts = np.cumsum(counts) - counts
+        token = np.concatenate([p for p, _ in prefixes])
+        length = np.array([len(p) for p, _ in prefixes])
+        group = np.repeat(np.arange(len(prefixes)), length)
+        position = _ranges(np.zeros(len(prefixes), np.int64), length)
         bucket = (token % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
+        order = np.lexsort((token, bucket))
         ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        names, blobs = [], []
+        numbers, blobs = [], []
         for b in range(buckets):
             at = order[ends[b] : ends[b + 1]]
             if len(at):
-                used, local = np.unique(doc[at], return_inverse=True)
-                names.append(b)
-                blobs.append((token[at].tobytes(), _small(position[at]), _small(local), nodes[used].tobytes(), groups[used].tobytes(), sizes[used].astype(np.uint32).tobytes()))
-        columns = list(zip(*blobs)) or [()] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), *(pa.array(c, pa.binary()) for c in columns)], names=["bucket", "token", "position", "local", "node", "grp", "size"])
+                used, local = np.unique(group[at], return_inverse=True)
+                numbers.append(b)
+                blobs.append(((token[at] >> np.uint64(32)).astype(np.uint32).tobytes(), _small(position[at]), _small(local), names[used].tobytes(), sizes[used].tobytes(), _small(counts[used]), members[_ranges(starts[used], counts[used])].tobytes()))
+        columns = list(zip(*blobs)) or [()] * 7
+        yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), *(pa.array(c, pa.binary()) for c in columns)], names=["bucket", "token", "position", "local", "grp", "size", "members", "node"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, held, seen = [], 0, set()
@@ -164,13 +217,9 @@ def _index_rows(frequent, buckets: int):
                 for tokens in token_sets(texts[part]):
                     n = len(tokens)
                     node = node_of(tokens)
-                    if node is None or node in seen:
-                        continue
-                    if len(seen) >= 500_000:
-                        seen.clear()
-                    seen.add(node)
-                    rows.append((ordered(tokens, frequent.value)[: prefix_length(n)], node, n))
-                    held += prefix_length(n)
+                    if _unseen(seen, node):
+                        rows.append((ordered(tokens, frequent.value)[: prefix_length(n)], node, n))
+                        held += prefix_length(n)
                 if held >= 400_000:
                     yield from emit(rows)
                     rows, held = [], 0
@@ -180,7 +229,7 @@ def _index_rows(frequent, buckets: int):
     return run
 
 
-_INDEX = "bucket long, token binary, position binary, local binary, node binary, grp binary, size binary"
+_INDEX = "bucket long, token binary, position binary, local binary, grp binary, size binary, members binary, node binary"
 _FOUND = "kind int, run long, a long, b long, n long"
 
 
@@ -198,82 +247,113 @@ def _found(kind: int, run, a, b, n) -> pa.RecordBatch:
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Kind 0: pairs to verify. Kind 1: the nodes of long runs."""
+    """Kind 0: pairs of nodes to verify. Kind 1: the nodes (a) of long runs, with their groups (b) and sizes (n)."""
     parts = []
     for batch in batches:
         for row in batch.to_pylist():
-            token = np.frombuffer(row["token"], np.uint64)
-            local = _numbers(row["local"], len(token))
-            parts.append((token, _numbers(row["position"], len(token)).astype(np.int64), *(np.frombuffer(row[c], t)[local] for c, t in (("node", np.int64), ("grp", np.uint64), ("size", np.uint32)))))
+            token, name = np.frombuffer(row["token"], np.uint32), np.frombuffer(row["grp"], np.uint64)
+            parts.append((token, _numbers(row["position"], len(token)), _numbers(row["local"], len(token)), name, np.frombuffer(row["size"], np.uint32), _numbers(row["members"], len(name)), np.frombuffer(row["node"], np.int64)))
     if not parts:
         return
-    token, position, node, group, size = (np.concatenate([p[i] for p in parts]) for i in range(5))
+    # Groups of one name from several tasks are one, with the members of all.
+    names, first, group_of = np.unique(np.concatenate([p[3] for p in parts]), return_index=True, return_inverse=True)
+    size = np.concatenate([p[4] for p in parts])[first].astype(np.int64)
+    before = np.cumsum([0, *(len(p[3]) for p in parts)])
+    token, position = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).astype(np.int64)
+    group = np.concatenate([group_of[x + p[2]] for x, p in zip(before, parts)])
+    owner, node = np.repeat(group_of, np.concatenate([p[5] for p in parts])), np.concatenate([p[6] for p in parts])
     del parts
-    # Only tokens that stand more than once matter.
-    by = np.argsort(token)
-    same = token[by][1:] == token[by][:-1]
-    twice = by[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
-    token, position, node, group, size = token[twice], position[twice], node[twice], group[twice], size[twice].astype(np.int64)
-    by = np.lexsort((node, group, token))
-    token, position, node, group, size = token[by], position[by], node[by], group[by], size[by]
-    if not len(token):
-        return
-    new = np.concatenate([[True], (token[1:] != token[:-1]) | (node[1:] != node[:-1])])  # copies dealt from several tasks
-    token, position, node, group, size = token[new], position[new], node[new], group[new], size[new]
+    by = np.lexsort((node, owner))
+    owner, node = owner[by], node[by]
+    new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (node[1:] != node[:-1])])
+    owner, node = owner[new], node[new]
+    members = np.bincount(owner, minlength=len(names))
+    at = np.cumsum(members) - members
+    by = np.lexsort((position, group, token))
+    token, position, group = token[by], position[by], group[by]
+    new = np.concatenate([[True], (token[1:] != token[:-1]) | (group[1:] != group[:-1])])
+    token, position, group = token[new], position[new], group[new]
+
+    def expanded(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs of members of pairs of groups."""
+        count = members[a] * members[b]
+        of, k = np.repeat(np.arange(len(a)), count), _ranges(np.zeros(len(a), np.int64), count)
+        return node[at[a][of] + k // members[b][of]], node[at[b][of] + k % members[b][of]]
+
+    pairs = []
+    inner = np.unique(group[position == 0])
+    inner = inner[members[inner] > 1]  # pairs within a group
+    few = inner[members[inner] <= SHORT_RUN]
+    pairs.append(expanded(few, few))
     start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
     length = np.diff(np.append(start, len(token)))
-    pairs = []
+    weight = np.add.reduceat(members[group], start)
+    kept = []
     for m in range(2, SHORT_RUN + 1):
-        own = start[length == m]
+        own = start[(length == m) & (weight <= SHORT_RUN)]
         if not len(own):
             continue
         i, j = np.triu_indices(m, 1)
         left, right = (own[:, None] + i).ravel(), (own[:, None] + j).ravel()
-        ok = may_link(size[left], position[left], size[right], position[right])
-        pairs.append((node[left[ok]], node[right[ok]]))
+        ok = may_link(size[group[left]], position[left], size[group[right]], position[right])
+        kept.append((group[left[ok]], group[right[ok]]))
+        if sum(len(p[0]) for p in kept) > 2_000_000:
+            kept = [_distinct(kept)]
+    if kept:
+        pairs.append(expanded(*_distinct(kept)))
+    mark = np.add.reduceat(kernels.mix(node.view(np.uint64)), at)  # of a group, by its members
+    long = (length > 1) & (weight > SHORT_RUN)
+    name = np.add.reduceat(mark[group], start)[long]  # of a run, by its nodes
+    _, once = np.unique(name, return_index=True)
+    runs = [(run, group[s : s + m]) for run, s, m in zip(name[once].tolist(), start[long][once].tolist(), length[long][once].tolist())]
+    runs += [(int(mark[g]), np.array([g])) for g in inner[members[inner] > SHORT_RUN].tolist()]
+    for run, own in runs:
+        inside = node[_ranges(at[own], members[own])]
+        sizes, groups = (np.repeat(x[own], members[own]) for x in (size, names.view(np.int64)))
+        pairs.append(_with_pivots(inside, sizes))
+        yield _found(1, np.full(len(inside), run, np.uint64).view(np.int64), inside, groups, sizes)
         if sum(len(p[0]) for p in pairs) > 2_000_000:
             pairs = [_distinct(pairs)]
-    long = length > SHORT_RUN
-    if long.any():
-        name = np.add.reduceat(kernels.mix(node.view(np.uint64)), start)  # of a run, by its nodes
-        _, first = np.unique(name[long], return_index=True)
-        for s, m, run in zip(start[long][first].tolist(), length[long][first].tolist(), name[long][first].view(np.int64).tolist()):
-            own = slice(s, s + m)
-            pivot = s + int(np.argmin(node[own]))
-            ok = may_link(size[pivot], 0, size[own], 0) & (node[own] != node[pivot])
-            pairs.append((np.full(int(ok.sum()), node[pivot]), node[own][ok]))
-            yield _found(1, np.full(m, run), node[own], None, size[own])
-    if pairs:
-        a, b = _distinct(pairs)
-        yield _found(0, None, a, b, None)
+    a, b = _distinct(pairs)
+    yield _found(0, None, a, b, None)
+
+
+def _with_pivots(node: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each node with the smallest of its band of sizes, and those of neighbouring bands with one another."""
+    band = np.floor(np.log(size) / np.log(DENOMINATOR / NUMERATOR)).astype(np.int64)
+    by = np.lexsort((node, band))
+    node, size, band = node[by], size[by], band[by]
+    first = np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1]]))
+    pivot = np.repeat(first, np.diff(np.append(first, len(band))))
+    a, b = np.concatenate([pivot, first[:-1]]), np.concatenate([np.arange(len(node)), first[1:]])
+    ok = may_link(size[a], 0, size[b], 0) & (a != b)
+    return node[a[ok]], node[b[ok]]
 
 
 def _distinct(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     a, b = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
     a, b = np.minimum(a, b), np.maximum(a, b)
+    a, b = a[a != b], b[a != b]
     by = np.lexsort((b, a))
     a, b = a[by], b[by]
     new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, bool)
     return a[new], b[new]
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """node, packed: each node's text, compressed, once a task as a rule."""
-    seen: set[int] = set()
-    squeeze = zstandard.ZstdCompressor(level=3).compress
-    for batch in batches:
-        texts = utf8(batch.column("text"))
-        for part in blocks(map(len, texts)):
-            nodes, kept = [], []
-            for text, tokens in zip(texts[part], token_sets(texts[part])):
-                node = node_of(tokens)
-                if node is not None and node not in seen:
-                    if len(seen) >= 500_000:
-                        seen.clear()
-                    seen.add(node)
-                    nodes.append(node)
-                    kept.append(squeeze(text))
-            yield pa.RecordBatch.from_pydict({"node": pa.array(nodes, pa.int64()), "packed": pa.array(kept, pa.binary())})
+def _texts(wanted):
+    """hash, packed: texts whose hash the map ``wanted`` may hold, compressed, once a task as a rule."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            place = batch.column("hash").to_numpy() & (len(wanted.value) * 8 - 1)
+            held = pa.array((wanted.value[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1)
+            hashes, texts = batch.column("hash").filter(held).to_pylist(), utf8(batch.column("text").filter(held))
+            own = [i for i, h in enumerate(hashes) if _unseen(seen, h)]
+            yield pa.RecordBatch.from_pydict({"hash": pa.array([hashes[i] for i in own], pa.int64()), "packed": pa.array([squeeze(texts[i]) for i in own], pa.binary())})
+
+    return run
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,12 +393,47 @@ def far_apart(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[np.ndarray,
     return differ, differ * (NUMERATOR + DENOMINATOR) > (DENOMINATOR - NUMERATOR) * n
 
 
+class Sketches:
+    """Sketches of different lengths, by rows; compared pair by pair at the shorter length."""
+
+    def __init__(self, sketches: list[bytes]):
+        self.words = np.array([len(x) // 8 for x in sketches], np.int64)
+        self.row = np.zeros(len(sketches), np.int64)  # among those of its length
+        self.own: dict[int, np.ndarray] = {}
+        for w in np.unique(self.words).tolist():
+            rows = np.flatnonzero(self.words == w)
+            self.row[rows] = np.arange(len(rows))
+            self.own[w] = np.frombuffer(b"".join(sketches[i] for i in rows.tolist()), np.uint64).reshape(len(rows), w)
+        self.cut: dict[tuple[int, int], np.ndarray] = {}
+
+    def _at(self, length: int, words: int) -> np.ndarray:
+        if (length, words) not in self.cut:
+            self.cut[length, words] = folded(self.own[length], words)
+        return self.cut[length, words]
+
+    def far_apart(self, i: np.ndarray, j: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As above, for pairs of rows."""
+        differ, far = np.zeros(len(i), np.int64), np.zeros(len(i), bool)
+        lengths = np.stack([self.words[i], self.words[j]])
+        for x, y in np.unique(lengths, axis=1).T.tolist():
+            pairs = np.flatnonzero((lengths[0] == x) & (lengths[1] == y))
+            least = min(x, y)
+            one, two = self._at(x, least), self._at(y, least)
+            for k in range(0, len(pairs), step := max(1, COMPARED // (8 * least))):
+                part = pairs[k : k + step]
+                differ[part], far[part] = far_apart(one[self.row[i[part]]], two[self.row[j[part]]], n[part])
+        return differ, far
+
+
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        if not len(batch):
-            continue
-        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(len(batch), -1) for c in ("x", "y"))
-        keep = pa.array(~far_apart(x, y, batch.column("n").to_numpy())[1])
+        x, n = batch.column("x").to_pylist(), batch.column("n").to_numpy()
+        keep = []
+        for part in blocks(map(len, x), COMPARED):
+            m = part.stop - part.start
+            sketches = Sketches(x[part] + batch.column("y").slice(part.start, m).to_pylist())
+            keep.append(~sketches.far_apart(np.arange(m), np.arange(m, 2 * m), n[part])[1])
+        keep = pa.array(np.concatenate(keep) if keep else [], pa.bool_())
         yield pa.RecordBatch.from_pydict({c: batch.column(c).filter(keep) for c in ("a", "b")})
 
 
@@ -334,16 +449,33 @@ def near_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return stored(met.transform(mapped, _near, "a long, b long"), "pairs")
 
 
-def texts_of(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """node, packed, n: a text of each node of ``nodes`` (node)."""
-    texts = docs.select("text").transform(mapped, _texts, "node long, packed binary").join(nodes.hint("merge"), "node", "left_semi")
-    return stored(texts.groupBy("node").agg(F.min("packed").alias("packed"), F.lit(0).alias("n")), "texts")  # one of those that several tasks sent
+def ends_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+
 
+def texts_of(wanted: DataFrame, hashed: DataFrame) -> DataFrame:
+    """node, packed, n: a text of each node of ``wanted`` (node, hash), from ``hashed`` (hash, text).
 
-def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes that link, decided on the whole sets."""
+    The map of the wanted hashes has WANTED_BITS bits whatever their number; it lets few others through, and the join decides.
+    """
+    place = wanted.select((F.pmod("hash", F.lit(WANTED_BITS)) + 1).alias("p"))
+    parts = place.groupBy(F.bitmap_bucket_number("p").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).toArrow()
+    bits = np.zeros(WANTED_BITS // 8, np.uint8)
+    for part, own in zip(parts.column("part").to_pylist(), parts.column("bits").to_pylist()):
+        bits[(part - 1) * len(own) : part * len(own)] = np.frombuffer(own, np.uint8)
+    held = wanted.sparkSession.sparkContext.broadcast(bits)
+    texts = hashed.select("hash", "text").transform(mapped, _texts(held), "hash long, packed binary").hint("merge").join(wanted, "hash")
+    return stored(texts.groupBy("hash", "node").agg(F.min("packed").alias("packed")).select("node", "packed", F.lit(0).alias("n")), "texts")
+
+
+def verify(pairs: DataFrame, nodes: DataFrame, hashed: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes that link, decided on the whole sets. ``nodes`` has node and its first row."""
+    wanted = stored(ends_of(pairs).join(nodes.select("node", F.col("first.hash").alias("hash")).hint("merge"), "node"), "wanted")
+    texts = texts_of(wanted, hashed)
     met = both_sides(pairs, texts, "packed").select("a", "b", "x", "y")
-    return stored(met.transform(mapped, _linked, "a long, b long"), "links")
+    links = stored(met.transform(mapped, _linked, "a long, b long"), "links")
+    discard(wanted, texts)
+    return links
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -358,14 +490,19 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         near = rest.union(rest.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("to"))
         step = stored(near.join(near.select(F.col("node").alias("to"), F.col("to").alias("label")), "to").select("node", "label"), "names")
+        ends = [step.select(F.col("node").alias(c), F.col("label").alias(f"to_{c}")) for c in ("a", "b")]
+        renamed = rest.join(ends[0], "a").join(ends[1], "b").where("to_a <> to_b").select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b"))
+        left = stored(renamed.distinct(), "edges")
         if names is None:
             names = step
         else:
-            names = stored(names.join(step.select(F.col("node").alias("label"), F.col("label").alias("next")), "label", "left").select("node", F.coalesce("next", "label").alias("label")), "names")
-        ends = [step.select(F.col("node").alias(c), F.col("label").alias(f"to_{c}")) for c in ("a", "b")]
-        renamed = rest.join(ends[0], "a").join(ends[1], "b").where("to_a <> to_b").select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b"))
-        rest = stored(renamed.distinct(), "edges")
+            last = names
+            names = stored(last.join(step.select(F.col("node").alias("label"), F.col("label").alias("next")), "label", "left").select("node", F.coalesce("next", "label").alias("label")), "names")
+            discard(last, step)
+        discard(rest)
+        rest = left
         if rest.isEmpty():
+            discard(rest)
             return names
 
 
@@ -404,40 +541,46 @@ def _between(most: int | None):
     return run
 
 
-def _open_pairs(group: pa.Table, most: int | None) -> tuple[np.ndarray, np.ndarray]:
-    label, node, block, n = (group.column(c).to_numpy() for c in ("label", "a", "block", "n"))
-    x, y = group.column("x")[0].as_py(), group.column("y")[0].as_py()
-    sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint64).reshape(len(node), -1)
-    classes, counts = np.unique(label, return_counts=True)
-    small = np.flatnonzero(label != classes[np.argmax(counts)])
-    out = []
-    for part in np.array_split(small, max(1, len(small) // 64)):
-        ok = (label[part][:, None] != label) & may_link(n[part][:, None], 0, n, 0)
-        if x != y:
-            ok &= block[part][:, None] != block
+def _open_pairs(rows: pa.Table, most: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes that ask, each with the block's own nodes of other classes. Groups are filtered by size before their members are paired."""
+    label, node, n = (rows.column(c).to_numpy() for c in ("label", "a", "n"))
+    asks = rows.column("asks").to_numpy(zero_copy_only=False)
+    _, first, group = np.unique(rows.column("grp").to_numpy(), return_index=True, return_inverse=True)
+    fits = may_link(n[first][:, None], 0, n[first], 0)
+    sketches = Sketches(rows.column("sketch").to_pylist())
+    own, asking = np.flatnonzero(~asks), np.flatnonzero(asks)
+    out = [(node[:0], node[:0])]
+    for part in np.array_split(asking, max(1, len(asking) // 64)):
+        ok = fits[group[part]][:, group[own]] & (label[part][:, None] != label[own])
         i, j = np.nonzero(ok)
-        i = part[i]
-        differ, far = far_apart(sketch[i], sketch[j], n[i] + n[j])
+        i, j = part[i], own[j]
+        differ, far = sketches.far_apart(i, j, n[i] + n[j])
         i, j, differ = i[~far], j[~far], differ[~far]
         if most is not None and len(i):
             by = np.lexsort((node[j], differ, i))
             i, j = i[by], j[by]
-            first = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
-            place = np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i))))
+            start = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
+            place = np.arange(len(i)) - np.repeat(start, np.diff(np.append(start, len(i))))
             i, j = i[place < most], j[place < most]
         out.append((node[i], node[j]))
     return _distinct(out)
 
 
 def unresolved(long_runs: DataFrame, labels: DataFrame, nodes: DataFrame, most: int | None) -> DataFrame:
-    """Pairs (a, b) between classes that still share a long run; ``nodes`` has node and sketch."""
+    """Pairs (a, b) between classes that still share a long run; ``nodes`` has node and sketch.
+
+    A run's nodes are dealt into blocks, and those outside its largest class ask in every block, in portions of the same size.
+    """
     named = long_runs.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("label", F.coalesce("label", "a"))
-    open_runs = named.groupBy("run").agg(F.min("label").alias("first"), F.max("label").alias("last"), F.count("*").alias("m")).where("first != last").select("run", F.ceil(F.col("m") / RUN_BLOCK).alias("blocks"))
-    rows = named.join(open_runs, "run").withColumn("block", F.pmod(F.xxhash64("a"), "blocks"))
-    rows = rows.join(nodes.select(F.col("node").alias("a"), "sketch"), "a")
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("run", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "a", "label", "n", "sketch")
-    dealt = rows.repartition("run", "x", "y").sortWithinPartitions("run", "x", "y")
+    held = named.groupBy("run", "label").agg(F.count("*").alias("m")).groupBy("run").agg(F.max(F.struct("m", "label")).alias("main"), F.sum("m").alias("m"), F.count("*").alias("k"))
+    open_runs = held.where("k > 1").select("run", F.col("main.label").alias("main"), F.ceil(F.col("m") / RUN_BLOCK).alias("blocks"), F.ceil((F.col("m") - F.col("main.m")) / RUN_BLOCK).alias("portions"))
+    rows = named.join(open_runs, "run").join(nodes.select(F.col("node").alias("a"), "sketch").hint("merge"), "a")
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    block, portion = (F.pmod(F.xxhash64("a"), n) for n in ("blocks", "portions"))
+    stands = F.transform(upto("portions"), lambda y: F.struct(block.alias("x"), y.alias("y"), F.lit(False).alias("asks")))
+    asking = F.transform(upto("blocks"), lambda x: F.struct(x.alias("x"), portion.alias("y"), F.lit(True).alias("asks")))
+    places = F.when(F.col("label") == F.col("main"), stands).otherwise(F.concat(stands, asking))
+    dealt = rows.select("run", "a", "label", "grp", "n", "sketch", F.inline(places)).repartition("run", "x", "y").sortWithinPartitions("run", "x", "y")
     return stored(dealt.transform(mapped, _between(most), "a long, b long").distinct(), "pairs")
 
 
@@ -446,7 +589,8 @@ def classes(docs: DataFrame) -> DataFrame:
     signed, nodes = _labelled(docs)
     least = nodes.groupBy("label").agg(F.min("first").alias("first"))
     nodes = nodes.join(least.select("label", F.col("first.doc_id").alias("component_id")), "label").select("node", "component_id")
-    return signed.join(nodes, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    rows = signed.where("node IS NOT NULL").join(nodes, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return rows.union(signed.where("node IS NULL").select("doc_id", "n", F.col("doc_id").alias("component_id")))
 
 
 def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -467,15 +611,19 @@ def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = stored(index.transform(mapped, _runs, _FOUND), "candidates")
     nodes = stored(made.where("kind = 0 AND node IS NOT NULL").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "hash")).alias("first"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "nodes")
     pairs = near_pairs(found.where("kind = 0").select("a", "b").distinct(), nodes)
-    runs = stored(found.where("kind = 1").select("run", "a", "n").distinct(), "runs")
-    texts = texts_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(runs.select("a")).distinct(), docs)
-    labels = components(verify(pairs, texts))
+    runs = stored(found.where("kind = 1").select("run", "a", F.col("b").alias("grp"), "n").distinct(), "runs")
+    links = verify(pairs, nodes, hashed)
+    labels = components(links)
+    discard(found, pairs, links)
     for most in ROUNDS:
         rest = unresolved(runs, labels, nodes, most)
         if rest.isEmpty():
             break
         # Labels stand for all the links before.
-        labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(verify(rest, texts)))
+        last, links = labels, verify(rest, nodes, hashed)
+        labels = components(last.select(F.col("node").alias("a"), F.col("label").alias("b")).union(links))
+        discard(rest, links, last)
+    discard(runs)
     return signed, nodes.select("node", "first").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
