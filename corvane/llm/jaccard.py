@@ -55,10 +55,10 @@ SEEN, OFTEN = 2, 6
 #: Tokens that a task counts at a time.
 COUNTED = 1 << 21
 #: Bits of a sketch at least; a power of two, as all sketches' bits are.
-SKETCH = 256
+SKETCH = 1024
 SHORT_RUN = 8
 #: Pairs of a node with other classes in each round; the last round takes all.
-ROUNDS = (2, None)
+ROUNDS = (2, 16, None)
 #: Index rows in a task, about, and nodes in a block of a long run.
 INDEX_ROWS, RUN_BLOCK = 1_000_000, 512
 #: Bits of the map that says which texts may be wanted; 4 MB for any input.
