@@ -10,24 +10,21 @@ from .dialect import Dialect, SparkSql
 TOKEN_METRICS = ["exact_match", "precision", "recall", "f1_score", "jaccard"]
 
 
-def prepared_columns(d: Dialect) -> dict[str, str]:
-    """SQL of the columns that rules read, from response, expected_output, question_values and success."""
+def prepared_columns(d: Dialect) -> list[dict[str, str]]:
+    """SQL of the columns that rules read, from response, expected_output, question_values and success; a stage reads those before it."""
     qv = d.map("question_values", lambda x: f"coalesce({x}, '')")
-    empty = d.text_array([])
-    strip = {s: d.strip(f"coalesce({s}, '')") for s in ("response", "expected_output")}
-    return {
-        "ok": "coalesce(success, FALSE)",
-        "given": "response IS NOT NULL",
-        "expects": "expected_output IS NOT NULL",
-        "r0": "coalesce(response, '')",
-        "e0": "coalesce(expected_output, '')",
-        "r": strip["response"],
-        "e": strip["expected_output"],
-        "ru": "lower(coalesce(response, ''))",
-        "rl": f"lower({strip['response']})",
-        "el": f"lower({strip['expected_output']})",
-        "qv": f"CASE WHEN question_values IS NULL THEN {empty} ELSE {qv} END",
-    }
+    return [
+        {
+            "ok": "coalesce(success, FALSE)",
+            "given": "response IS NOT NULL",
+            "expects": "expected_output IS NOT NULL",
+            "r0": "coalesce(response, '')",
+            "e0": "coalesce(expected_output, '')",
+            "qv": f"CASE WHEN question_values IS NULL THEN {d.text_array([])} ELSE {qv} END",
+        },
+        {"r": d.strip("r0"), "e": d.strip("e0"), "ru": "lower(r0)"},
+        {"rl": "lower(r)", "el": "lower(e)"},
+    ]
 
 
 def token_columns(d: Dialect) -> dict[str, str]:
@@ -52,24 +49,30 @@ def token_metric(d: Dialect, metric: str) -> str:
     return f"CASE WHEN NOT ok THEN {d.num(0.0)} WHEN r = '' AND e = '' THEN {one} WHEN r = '' OR e = '' THEN {d.num(0.0)} ELSE {value} END"
 
 
-def with_prepared(responses: DataFrame, keys: list[str]) -> DataFrame:
-    """The keys (as struct ``k``) and the prepared columns; other columns go, so names can't clash."""
+def made_once(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """``df`` with further columns. They go through a generator of one row, so that no projection after it takes them in and makes them again for each use."""
+    return df.select("*", F.inline(F.array(F.struct(*[F.expr(sql).alias(name) for name, sql in columns.items()])))) if columns else df
+
+
+def with_prepared(responses: DataFrame, keys: list[str], more: dict[str, Column] | None = None) -> DataFrame:
+    """The keys (as struct ``k``), the prepared columns and ``more`` (as struct ``x``); other columns go, so names can't clash."""
     have = set(responses.columns)
     fill = {"question_values": "CAST(NULL AS ARRAY<STRING>)", "success": "TRUE"}
     base = responses.select(
         F.struct(*[F.col(k) for k in keys]).alias("k"),
         *[F.col(c) if c in have else F.expr(fill.get(c, "CAST(NULL AS STRING)")).alias(c) for c in ("response", "expected_output", "question_values", "success")],
+        *([F.struct(*[c.alias(n) for n, c in more.items()]).alias("x")] if more else []),
     )
-    d = SparkSql()
-    return base.select("k", *[F.expr(sql).alias(name) for name, sql in prepared_columns(d).items()])
+    for stage in prepared_columns(SparkSql()):
+        base = made_once(base, stage)
+    return base.drop("response", "expected_output", "question_values", "success")
 
 
-def token_scores(responses: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, the five token metrics and generation_failed. Each stage reads what the one before has made once."""
+def token_scores(responses: DataFrame, keys: list[str], more: dict[str, Column] | None = None) -> DataFrame:
+    """keys, the five token metrics, generation_failed and the columns of ``more``."""
     d = SparkSql()
-    df = with_prepared(responses, keys).select("k", "ok", "r", "e", "rl", "el", *[F.expr(s).alias(n) for n, s in token_columns(d).items()])
-    df = df.select("k", "ok", "r", "e", "rl", "el", *[F.expr(s).alias(n) for n, s in count_columns(d).items()])
-    return df.select("k.*", *[F.expr(token_metric(d, m)).alias(m) for m in TOKEN_METRICS], F.when(F.col("ok"), 0.0).otherwise(1.0).alias("generation_failed"))
+    df = made_once(made_once(with_prepared(responses, keys, more), token_columns(d)), count_columns(d))
+    return df.select("k.*", *[F.expr(token_metric(d, m)).alias(m) for m in TOKEN_METRICS], F.when(F.col("ok"), 0.0).otherwise(1.0).alias("generation_failed"), *(["x.*"] if more else []))
 
 
 def cosine_similarity(a: Column | str, b: Column | str) -> Column:

@@ -5,8 +5,10 @@ column through ``F.expr``, so it stays in generated code; as DuckDB SQL the same
 rule can be checked by a second engine.
 
 Patterns are written in the common subset of the regular expression dialects.
-``\\s`` and ``\\w`` are replaced by explicit Unicode classes, since the engines
-disagree on them; ``\\x27`` and ``\\x22`` stand for quotes.
+``\\s``, ``\\w`` and ``\\b`` mean Unicode spaces, letters, digits and underscores, and
+borders between those and others. Engines disagree on them, so that Spark gets
+explicit classes; DuckDB, whose borders know ASCII alone, gets texts whose other
+characters are replaced by ASCII ones of the same kind where a pattern has borders.
 """
 
 from __future__ import annotations
@@ -19,8 +21,22 @@ SPACE = r"\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\
 WORD = r"\p{L}\p{N}_"
 
 
-def portable(pattern: str) -> str:
-    """The pattern with explicit classes for ``\\s`` and ``\\w``, inside brackets and outside."""
+#: A border of words where lookaround exists, before and after characters of words, and anywhere.
+BEGIN, END = rf"(?<![{WORD}])", rf"(?![{WORD}])"
+BORDER = rf"(?:(?<=[{WORD}]){END}|{BEGIN}(?=[{WORD}]))"
+
+
+def border(before: str, after: str) -> str:
+    """What ``\\b`` means between two parts of a pattern; a letter after it is looked for first, which is cheap."""
+    if re.match(r"\w", after):
+        return f"(?={after[0]}){BEGIN}"
+    if after.startswith(r"\w"):
+        return BEGIN
+    return END if re.search(r"(^|[^\\])\w$|\\w\+?$", before) else BORDER
+
+
+def portable(pattern: str, borders: bool = False) -> str:
+    """The pattern with explicit classes for ``\\s`` and ``\\w``, inside brackets and outside, and lookaround for ``\\b`` if ``borders``."""
     out, inside, i = [], False, 0
     while i < len(pattern):
         two = pattern[i : i + 2]
@@ -30,7 +46,7 @@ def portable(pattern: str) -> str:
             i += 2
             continue
         if two[0] == "\\":
-            out.append(two)
+            out.append(border(pattern[:i], pattern[i + 2 :]) if borders and two == r"\b" else two)
             i += 2
             continue
         if two[0] == "[":
@@ -115,7 +131,7 @@ class SparkSql(Dialect):
         return '"' + text.replace("\\", "\\\\").replace('"', '\\"').replace("\n", "\\n") + '"'
 
     def rx(self, pattern: str) -> str:
-        return self.lit("(?d)" + portable(pattern))
+        return self.lit("(?d)" + portable(pattern, True))
 
     def matches(self, s: str, pattern: str) -> str:
         return f"rlike({s}, {self.rx(pattern)})"
@@ -133,10 +149,14 @@ class SparkSql(Dialect):
         return f"split({s}, {self.rx(pattern)}, -1)"
 
     def has_word(self, s: str, word: str) -> str:
-        return f"rlike({s}, concat({self.lit(chr(92) + 'b' + chr(92) + 'Q')}, {word}, {self.lit(chr(92) + 'E' + chr(92) + 'b')}))"
+        return f"rlike({s}, {self._whole(word)})"
 
     def count_word(self, s: str, word: str) -> str:
-        return f"regexp_count({s}, concat({self.lit(chr(92) + 'b' + chr(92) + 'Q')}, {word}, {self.lit(chr(92) + 'E' + chr(92) + 'b')}))"
+        return f"regexp_count({s}, {self._whole(word)})"
+
+    def _whole(self, word: str) -> str:
+        quoted, end = chr(92) + "Q", chr(92) + "E"
+        return f"concat({self.lit(f'(?={quoted}')}, {word}, {self.lit(f'{end}){BORDER}{quoted}')}, {word}, {self.lit(end + BORDER)})"
 
     def filter(self, a: str, f: Callable[[str], str]) -> str:
         x = self.name()
@@ -171,20 +191,26 @@ class SparkSql(Dialect):
         x, y = self.name(), self.name()
         return f"aggregate({a}, CAST(0 AS DOUBLE), ({x}, {y}) -> {x} + {y})"
 
+    def sort(self, a: str) -> str:
+        return f"array_sort({a})"
+
     def repeated(self, a: str, times: int) -> str:
-        """Does a value occur at least so often? Equal values are neighbours once sorted."""
+        """Does a value occur at least so often in a sorted array of no nulls? Equal values are neighbours."""
         x, y = self.name(), self.name()
-        return f"exists(transform(array_sort({a}), ({x}, {y}) -> {x} <=> get(array_sort({a}), {y} + {times - 1})), {x} -> {x})"
+        return f"exists(zip_with({a}, slice({a}, {times}, greatest(0, size({a}) - {times - 1})), ({x}, {y}) -> {x} <=> {y}), {x} -> {x})"
 
     def literal_list(self, s: str) -> str:
         """A list literal in a string, with single or double quotes; else what stands in single quotes."""
         parsed = f"from_json({s}, 'array<string>', map('allowSingleQuotes', 'true'))"
         x = self.name()
-        return f"CASE WHEN {parsed} IS NOT NULL AND NOT exists({parsed}, {x} -> {x} IS NULL) THEN {parsed} ELSE {self.every(s, chr(92) + 'x27([^' + chr(92) + 'x27]+)' + chr(92) + 'x27', 1)} END"
+        return f"CASE WHEN {parsed} IS NOT NULL AND NOT exists({parsed}, {x} -> {x} IS NULL) THEN {parsed} ELSE {self.every(s, "'([^']+)'", 1)} END"
 
     def find(self, s: str, x: str) -> str:
         return f"(locate({x}, {s}) - 1)"
 
+    def trim(self, s: str, characters: str) -> str:
+        return f"trim(BOTH {self.lit(characters)} FROM {s})"
+
     def text_array(self, values: list[str]) -> str:
         return f"array({', '.join(self.lit(v) for v in values)})"
 
@@ -198,8 +224,14 @@ class DuckSql(Dialect):
     def rx(self, pattern: str) -> str:
         return "'" + portable(pattern).replace("'", "''") + "'"
 
+    def ascii(self, s: str) -> str:
+        """Other spaces as a blank, other letters and digits as an underscore, what is neither as a control character."""
+        for pattern, by in ((r"[\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]", "' '"), (r"[^\p{L}\p{N}\x{0}-\x{7f}]", "chr(1)"), (r"[^\x{0}-\x{7f}]", "'_'")):
+            s = f"regexp_replace({s}, '{pattern}', {by}, 'g')"
+        return s
+
     def matches(self, s: str, pattern: str) -> str:
-        return f"regexp_matches({s}, {self.rx(pattern)})"
+        return f"regexp_matches({self.ascii(s) if chr(92) + 'b' in pattern else s}, {self.rx(pattern)})"
 
     def first(self, s: str, pattern: str, group: int = 1) -> str:
         return f"regexp_extract({s}, {self.rx(pattern)}, {group})"
@@ -208,16 +240,23 @@ class DuckSql(Dialect):
         return f"regexp_extract_all({s}, {self.rx(pattern)}, {group})"
 
     def replace(self, s: str, pattern: str, by: str) -> str:
-        return f"regexp_replace({s}, {self.rx(pattern)}, {self.lit(by)}, 'g')"
+        return f"regexp_replace({self.ascii(s) if chr(92) + 'b' in pattern else s}, {self.rx(pattern)}, {self.lit(by)}, 'g')"
 
     def split(self, s: str, pattern: str) -> str:
         return f"regexp_split_to_array({s}, {self.rx(pattern)})"
 
     def has_word(self, s: str, word: str) -> str:
-        return rf"regexp_matches({s}, '\b' || regexp_escape({word}) || '\b')"
+        return f"(CASE WHEN {word} = '' THEN regexp_matches({s}, '[{WORD}]') ELSE regexp_matches({s}, {self._whole(word)}) END)"
 
     def count_word(self, s: str, word: str) -> str:
-        return rf"len(regexp_extract_all({s}, '\b' || regexp_escape({word}) || '\b'))"
+        twice = lambda x: rf"regexp_replace({x}, '([^{WORD}])', '\1\1', 'g')"  # noqa: E731 neighbours then share no border
+        return f"len(regexp_extract_all({twice(s)}, {self._whole(twice(word))}))"
+
+    def _whole(self, word: str) -> str:
+        """The word with the characters beside it, of the other kind than its ends."""
+        begin = f"CASE WHEN regexp_matches({word}, '^[{WORD}]') THEN '(?:^|[^{WORD}])' ELSE '[{WORD}]' END"
+        end = f"CASE WHEN regexp_matches({word}, '[{WORD}]$') THEN '(?:[^{WORD}]|$)' ELSE '[{WORD}]' END"
+        return f"{begin} || regexp_escape({word}) || {end}"
 
     def filter(self, a: str, f: Callable[[str], str]) -> str:
         x = self.name()
@@ -251,15 +290,21 @@ class DuckSql(Dialect):
     def total(self, a: str) -> str:
         return f"coalesce(list_sum({a}), CAST(0 AS DOUBLE))"
 
+    def sort(self, a: str) -> str:
+        return f"list_sort({a})"
+
     def repeated(self, a: str, times: int) -> str:
         x = self.name()
-        return f"(len(list_filter(range(1, len({a}) - {times - 2}), lambda {x}: list_extract(list_sort({a}), {x}) = list_extract(list_sort({a}), {x} + {times - 1}))) > 0)"
+        return f"(len(list_filter(range(1, len({a}) - {times - 2}), lambda {x}: list_extract({a}, {x}) = list_extract({a}, {x} + {times - 1}))) > 0)"
 
     def literal_list(self, s: str) -> str:
-        return self.every(s, r"\x27([^\x27]+)\x27", 1)
+        return self.every(s, "'([^']+)'", 1)
 
     def find(self, s: str, x: str) -> str:
         return f"(instr({s}, {x}) - 1)"
 
+    def trim(self, s: str, characters: str) -> str:
+        return f"trim({s}, {self.lit(characters)})"
+
     def text_array(self, values: list[str]) -> str:
         return f"[{', '.join(self.lit(v) for v in values)}]::VARCHAR[]"

@@ -15,7 +15,7 @@ from collections import Counter
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -206,6 +206,11 @@ def _scored(response: pd.Series, reference: pd.Series, ok: pd.Series) -> pd.Data
     return pd.DataFrame([_row(*x) for x in zip(response, reference, ok)], columns=NGRAM_METRICS)
 
 
+def ngram_columns() -> Column:
+    """A struct of the n-gram metrics of response, expected_output and success."""
+    return _scored("response", "expected_output", "success")
+
+
 def ngram_scores(responses: DataFrame, keys: list[str]) -> DataFrame:
     """keys, bleu, rouge1_f, rouge2_f, rougeL_f."""
-    return responses.select(F.struct(*keys).alias("k"), _scored("response", "expected_output", "success").alias("s")).select("k.*", "s.*")
+    return responses.select(F.struct(*keys).alias("k"), ngram_columns().alias("s")).select("k.*", "s.*")

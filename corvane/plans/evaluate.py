@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core_metrics import TOKEN_METRICS, cosine_similarity, token_scores
-from ..functions.ngram import NGRAM_METRICS, ngram_scores
+from ..functions.ngram import NGRAM_METRICS, ngram_columns
 from ..functions.registry import MetricRegistry
 
 STATS = ["mean", "std", "min", "max", "median"]
@@ -22,14 +22,14 @@ def paired(documents: DataFrame) -> DataFrame:
 
 
 def scores(responses: DataFrame, keys: list[str], with_ngrams: bool = True, vectors: tuple[str, str] | None = None) -> DataFrame:
-    """keys and the core metrics; semantic similarity if two vector columns are named."""
-    out = token_scores(responses, keys)
+    """keys and the core metrics, side by side; semantic similarity if two vector columns are named."""
+    more = {}
     if with_ngrams:
-        out = out.join(ngram_scores(responses, keys), keys)
+        more["ngrams"] = ngram_columns()
     if vectors:
-        similarity = F.when(F.coalesce(F.col("success"), F.lit(False)), cosine_similarity(*vectors)).otherwise(0.0)
-        out = out.join(responses.select(*keys, similarity.alias("semantic_similarity")), keys)
-    return out
+        more["semantic_similarity"] = F.when(F.coalesce(F.col("success"), F.lit(False)), cosine_similarity(*vectors)).otherwise(0.0)
+    out = token_scores(responses, keys, more)
+    return out.select("*", "ngrams.*").drop("ngrams") if with_ngrams else out
 
 
 def long_form(scored: DataFrame, keys: list[str], metrics: list[str] | None = None) -> DataFrame:
@@ -67,9 +67,9 @@ def processing_stats(responses: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def evaluate(responses: DataFrame, registry: MetricRegistry, by: list[str], row: str, with_ngrams: bool = True) -> DataFrame:
-    """by, metric and the five statistics of core and task metrics; ``by`` must hold setup."""
+def evaluate(responses: DataFrame, registry: MetricRegistry, by: list[str], row: str, with_ngrams: bool = True, vectors: tuple[str, str] | None = None) -> DataFrame:
+    """by, metric and the five statistics of core and task metrics and registered functions; ``by`` must hold setup."""
     keys = [*by, row]
-    core = long_form(scores(responses, keys, with_ngrams).where("generation_failed = 0").drop("generation_failed"), keys)
+    core = long_form(scores(responses, keys, with_ngrams, vectors).where("generation_failed = 0").drop("generation_failed"), keys)
     task = registry.long_scores(responses.where(F.coalesce(F.col("success"), F.lit(False))), "setup", keys)
     return five_stats(core.unionByName(task), [*by, "metric"])

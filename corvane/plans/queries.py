@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.core_metrics import TOKEN_METRICS, cosine_similarity, count_columns, prepared_columns, token_columns, token_metric, token_scores
 from ..functions.dialect import Dialect, DuckSql, SparkSql
 from ..functions.ngram import NGRAM_METRICS, ngram_scores
-from ..functions.registry import MetricRegistry, metric_sql, module_scores
+from ..functions.registry import MetricRegistry, metric_sql, module_scores, shared_columns
 from ..functions.task_metrics import MODULES
 from ..operators import paths, prompts, prune, sampling
 from ..operators.training import TrainingRequest, examples, formatted, split_examples
@@ -50,12 +50,12 @@ def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
 # ---- responses --------------------------------------------------------------------------------------
 
 
-def question_values(d: Dialect, answer: str = "substr(a, 1, 500)") -> str:
+def question_values(d: Dialect) -> str:
     """A question of eight words, four choices and the right one, from the benchmark text ``b`` and the response ``a``."""
     w = d.words("b")
     question = [d.at(w, i) for i in range(8)]
     blank = lambda x: f"coalesce({x}, '')"
-    items = [f"concat_ws(' ', {', '.join(map(blank, question))})", *[blank(d.at(w, i)) for i in (2, 5)], blank(d.at(d.words(answer), 1)), blank(d.at(w, 3)), blank(d.at(w, 2))]
+    items = [f"concat_ws(' ', {', '.join(map(blank, question))})", *[blank(d.at(w, i)) for i in (2, 5)], d.first("a", r"^\s*[^\s]+\s+([^\s]+)"), blank(d.at(w, 3)), blank(d.at(w, 2))]
     return f"array({', '.join(items)})" if isinstance(d, SparkSql) else f"[{', '.join(items)}]"
 
 
@@ -67,25 +67,26 @@ FROM (SELECT d.doc_id, d.text AS a, i.text AS b, d.lang AS setup, d.source AS mo
 """
 
 
-def responses(spark: SparkSession, sf_dir: str, answer: str = "substr(a, 1, 500)") -> DataFrame:
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as responses to benchmark items; setup is the language, model the source, prompt the quality label."""
     docs, items, labels = (table(spark, sf_dir, t) for t in ("documents", "benchmark", "labels"))
     n = items.agg(F.count("*").alias("n_items"))
     asked = docs.crossJoin(F.broadcast(n)).withColumn("item_id", F.col("doc_id") % F.col("n_items")).join(items.select("item_id", F.col("text").alias("b")), "item_id")
     asked = asked.join(labels, "doc_id", "left")
     base = asked.select("doc_id", F.col("text").alias("a"), "b", F.col("lang").alias("setup"), F.col("source").alias("model"), F.concat(F.lit("q"), F.coalesce(F.col("quality"), F.lit(9)).cast("string")).alias("prompt"), (F.coalesce(F.col("toxic"), F.lit(0)) == 0).alias("success"), (F.col("n_chars") / 1000.0).alias("processing_time"))
-    return base.select("doc_id", F.col("a").alias("response"), F.col("b").alias("expected_output"), "setup", "model", "prompt", "success", "processing_time", F.expr(question_values(SparkSql(), answer)).alias("question_values"))
+    return base.select("doc_id", F.col("a").alias("response"), F.col("b").alias("expected_output"), "setup", "model", "prompt", "success", "processing_time", F.expr(question_values(SparkSql())).alias("question_values"))
 
 
-def _duck_prepared(source: str, keys: str) -> str:
-    d = DuckSql()
-    return f"SELECT {keys}, {', '.join(f'{sql} AS {name}' for name, sql in prepared_columns(d).items())} FROM ({source})"
+def _duck_stages(source: str, stages: list[dict[str, str]]) -> str:
+    """SQL with further columns, each stage over those before it."""
+    for stage in stages:
+        source = f"SELECT *, {', '.join(f'{sql} AS {name}' for name, sql in stage.items())} FROM ({source})"
+    return source
 
 
 def duck_token_scores(source: str, keys: str) -> str:
     d = DuckSql()
-    one = f"SELECT *, {', '.join(f'{s} AS {n}' for n, s in token_columns(d).items())} FROM ({_duck_prepared(source, keys)})"
-    two = f"SELECT *, {', '.join(f'{s} AS {n}' for n, s in count_columns(d).items())} FROM ({one})"
+    two = _duck_stages(source, [*prepared_columns(d), token_columns(d), count_columns(d)])
     return f"SELECT {keys}, {', '.join(f'{token_metric(d, m)} AS {m}' for m in TOKEN_METRICS)}, CASE WHEN ok THEN CAST(0 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS generation_failed FROM ({two})"
 
 
@@ -160,48 +161,33 @@ def case_rows(spark: SparkSession) -> DataFrame:
 
 
 def task_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The hand-written cases, and the responses whose text is English: engines differ on word borders beside other letters."""
-    english = responses(spark, sf_dir).where("setup = 'en'")
-    return english.select("doc_id", "response", "expected_output", "question_values", "success").unionByName(case_rows(spark))
+    """The hand-written cases, and the responses of all languages and of none."""
+    return responses(spark, sf_dir).select("doc_id", "response", "expected_output", "question_values", "success").unionByName(case_rows(spark))
 
 
-_TASK_ROWS = f"SELECT doc_id, response, expected_output, question_values, success FROM ({_RESPONSES}) WHERE setup = 'en' UNION ALL {_duck_cases()}"
+_TASK_ROWS = f"SELECT doc_id, response, expected_output, question_values, success FROM ({_RESPONSES}) UNION ALL {_duck_cases()}"
 
 
 def _task_query(module: str) -> None:
     d = DuckSql()
     metrics = ", ".join(f"round({metric_sql(d, module, m)}, 6) AS {m}" for m in MODULES[module])
+    source = _duck_stages(_TASK_ROWS, [*prepared_columns(d), *shared_columns(d, module)])
 
-    @query(f"SELECT doc_id, {metrics} FROM ({_duck_prepared(_TASK_ROWS, 'doc_id')})", f"task_{module}")
+    @query(f"SELECT doc_id, {metrics} FROM ({source})", f"task_{module}")
     def run(spark, sf_dir):
         return rounded(module_scores(task_rows(spark, sf_dir), module, ["doc_id"]), *MODULES[module])
 
 
-def all_task_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The hand-written cases, and the responses of all languages and of none, with the choices of their whole texts."""
-    whole = responses(spark, sf_dir, "a")
-    return whole.select("doc_id", "response", "expected_output", "question_values", "success").unionByName(case_rows(spark))
-
-
-def _all_task_query(module: str) -> None:
-    """Without SQL: engines differ on word borders beside other letters."""
-
-    @query(name=f"task_{module}_all")
-    def run(spark, sf_dir):
-        return rounded(module_scores(all_task_rows(spark, sf_dir), module, ["doc_id"]), *MODULES[module])
-
-
 for _module in MODULES:
     _task_query(_module)
-    _all_task_query(_module)
 
 
 @query()
 def task_registered_function(spark, sf_dir):
-    """A function added by a user, beside a setup's own metrics, over the responses of all languages."""
+    """A function added by a user, beside a setup's own metrics."""
     registry = MetricRegistry()
     registry.register("response_length_share", lambda r: len(r["response"]) / max(1, len(r["expected_output"])))
-    return registry.scores(all_task_rows(spark, sf_dir), "pubmedqa_reasoning_free", ["doc_id"])
+    return registry.scores(task_rows(spark, sf_dir), "pubmedqa_reasoning_free", ["doc_id"])
 
 
 # ---- summaries --------------------------------------------------------------------------------------------

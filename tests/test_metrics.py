@@ -171,7 +171,11 @@ def test_registered_functions(spark):
     assert (row[0].size, row[0].broken, row[0].text, row[0].flag) == (3, 0, 0, 1)
     assert row[1].size == 0
     long = registry.long_scores(frame(spark, [("abc", "x", None, True)]).withColumn("setup", F.lit("gmeg")), "setup", ["setup", "id"])
-    assert sorted(r.metric for r in long.collect()) == sorted(MODULES["gmeg"])
+    assert sorted(r.metric for r in long.collect()) == sorted([*MODULES["gmeg"], "size", "broken", "text", "flag"])
+    twice = registry.scores(frame(spark, [("abc", "x", None, True), ("abcd", "x", None, True)]).withColumn("id", F.lit(None).cast("long")), "gmeg", ["id"])
+    assert sorted(r["size"] for r in twice.collect()) == [3, 4]  # null and repeated keys keep their rows
+    other = registry.long_scores(frame(spark, [("abc", "x", None, True)]).withColumn("setup", F.lit("none")), "setup", ["setup", "id"])
+    assert sorted(r.metric for r in other.collect()) == ["broken", "flag", "size", "text"]
 
 
 def test_bleu_by_hand():
