@@ -12,8 +12,10 @@ from .sources import sinks
 from .sources.download import fetch_datasets
 
 
-def _names(text: str | None) -> list[str] | None:
-    return [x.strip() for x in text.split(",") if x.strip()] if text else None
+def _names(given: list[str] | str | None) -> list[str] | None:
+    """Names parted by blanks or commas; None for ``all`` or none."""
+    out = [x for text in ([given] if isinstance(given, str) else given or []) for x in text.replace(",", " ").split()]
+    return None if out in ([], ["all"]) else out
 
 
 def parser() -> argparse.ArgumentParser:
@@ -25,8 +27,10 @@ def parser() -> argparse.ArgumentParser:
 
     run = commands.add_parser("run-experiment", help="ask models and store their responses")
     run.add_argument("--generator", required=True, help="module:function; the function takes a model's name and returns a function from prompt to text")
-    for name in ("model", "setup", "prompt", "mode"):
-        run.add_argument(f"--{name}")
+    for name in ("model", "setup", "prompt"):
+        run.add_argument(f"--{name}", nargs="+", help="names, or all")
+    run.add_argument("--mode")
+    run.add_argument("--few-shot-row", type=int, help="the example row of few-shot prompts")
     run.add_argument("--size", type=int, default=DEFAULT_SIZE)
     run.add_argument("--temperature", type=float, default=DEFAULT_TEMPERATURE)
     run.add_argument("--force", action="store_true")
@@ -66,11 +70,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
 def run_experiment(engine: Engine, args) -> int:
     module, function = args.generator.split(":")
     load = getattr(importlib.import_module(module), function)
-    planned = engine.plan(_names(args.model), _names(args.setup), _names(args.prompt), args.mode, args.size, args.temperature, args.force, args.skip)
+    planned = engine.plan(_names(args.model), _names(args.setup), _names(args.prompt), args.mode, args.size, args.temperature, args.force, args.skip, args.few_shot_row)
     _show(planned.select("experiment_name").orderBy("experiment_name"))
     if planned.isEmpty():
         return 1
-    engine.save(engine.run(planned, load, args.size))
+    engine.save(engine.run(planned, load, args.size, args.few_shot_row))
     return 0
 
 

@@ -112,21 +112,21 @@ class Engine:
 
     # ---- experiments -----------------------------------------------------------------------------------------
 
-    def plan(self, models: list[str] | None = None, setups: list[str] | None = None, prompt_names: list[str] | None = None, mode: str | None = None, size: int = DEFAULT_SIZE, temperature: float = DEFAULT_TEMPERATURE, force: bool = False, skip: bool = False) -> DataFrame:
-        """The experiments to run; ``skip`` leaves out those that have responses already."""
+    def plan(self, models: list[str] | None = None, setups: list[str] | None = None, prompt_names: list[str] | None = None, mode: str | None = None, size: int = DEFAULT_SIZE, temperature: float = DEFAULT_TEMPERATURE, force: bool = False, skip: bool = False, few_shot_row: int | None = None) -> DataFrame:
+        """The experiments to run; ``skip`` leaves out those that have responses already. ``few_shot_row`` is part of few-shot names."""
         for what, wanted, known in (("model", models, self.models), ("setup", setups, self.setups), ("prompt", prompt_names, self.prompts)):
             if unknown := [w for w in wanted or [] if w not in known]:
                 raise ValueError(f"unknown {what}: {', '.join(unknown)}")
         found = grid.triplets(self.prompt_table(), self.setup_table(), setups, prompt_names, mode, force)
-        planned = grid.plan(self.model_table(), found, models, size, temperature)
+        planned = grid.plan(self.model_table(), found, models, size, temperature, few_shot_row)
         return grid.missing(planned, self.responses().select("experiment_name")) if skip and self.has_responses() else planned
 
-    def run(self, planned: DataFrame, load: Callable[[str], Callable[[str], str]], size: int = DEFAULT_SIZE) -> DataFrame:
+    def run(self, planned: DataFrame, load: Callable[[str], Callable[[str], str]], size: int = DEFAULT_SIZE, few_shot_row: int | None = None) -> DataFrame:
         """Responses to all planned prompts in one plan; ``load(model)`` returns a function from prompt to text."""
         todo = planned.select("experiment_name", "setup", F.col("prompt").alias("prompt_name"), "model")
         asked = []
         for name in [r["prompt"] for r in planned.select("prompt").distinct().orderBy("prompt").collect()]:
-            rows = self.rendered(name, size).select(sampling.ROW, "prompt", "question_values", "expected_output", F.lit(name).alias("prompt_name"))
+            rows = self.rendered(name, size, few_shot_row).select(sampling.ROW, "prompt", "question_values", "expected_output", F.lit(name).alias("prompt_name"))
             asked.append(rows.join(F.broadcast(todo), "prompt_name"))  # the plan is a configuration's product
         if not asked:
             return self.spark.createDataFrame([], f"experiment_name string, setup string, prompt_name string, model string, row_idx long, prompt string, question_values array<string>, expected_output string, {inference.RESPONSE}")
@@ -149,10 +149,16 @@ class Engine:
 
     # ---- evaluation ------------------------------------------------------------------------------------------
 
-    def evaluated(self, responses: DataFrame | None = None, experiments: list[str] | None = None, with_ngrams: bool = True) -> DataFrame:
-        """experiment_name, setup, prompt, model, metric and its five statistics."""
+    def evaluated(self, responses: DataFrame | None = None, experiments: list[str] | None = None, with_ngrams: bool = True, load_embedder: Callable[[], Callable[[list[str]], list[list[float]]]] | None = None) -> DataFrame:
+        """experiment_name, setup, prompt, model, metric and its five statistics.
+
+        ``load_embedder()`` returns a function from texts to vectors; with it, semantic similarity is among the metrics.
+        """
         rows = self.responses() if responses is None else responses
         rows = rows.where(F.col("experiment_name").isin(experiments)) if experiments else rows
+        if load_embedder:
+            rows = inference.embed(inference.embed(rows, "response", load_embedder, "__given"), "expected_output", load_embedder, "__expected")
+            return evaluate.evaluate(rows, self.registry, ["experiment_name", "setup", "prompt", "model"], sampling.ROW, with_ngrams, ("__given", "__expected"))
         return evaluate.evaluate(rows, self.registry, ["experiment_name", "setup", "prompt", "model"], sampling.ROW, with_ngrams)
 
     def summarised(self, stats: DataFrame) -> dict[str, DataFrame]:

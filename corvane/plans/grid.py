@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.paths import experiment_name
+from ..operators.prompts import FEW_SHOT
 
 DEFAULT_MODE = "zero-shot"
 
@@ -43,11 +44,17 @@ def triplets(prompts: DataFrame, setups: DataFrame, wanted_setups: list[str] | N
     return first.select("setup", "prompt", "mode", "at")
 
 
-def plan(models: DataFrame, found: DataFrame, wanted_models: list[str] | None = None, size: int = 50, temperature: float = 0.1) -> DataFrame:
-    """models x triplets with experiment names; the configuration tables are small, so the product is broadcast."""
+def plan(models: DataFrame, found: DataFrame, wanted_models: list[str] | None = None, size: int = 50, temperature: float = 0.1, few_shot_row: int | None = None) -> DataFrame:
+    """models x triplets with experiment names; the configuration tables are small, so the product is broadcast.
+
+    A given example row stands in the names of few-shot experiments.
+    """
+    if few_shot_row is not None and few_shot_row < 0:
+        raise ValueError(f"the example row must not be negative: {few_shot_row}")
+    shown = F.when(F.col("mode") == FEW_SHOT, F.lit(few_shot_row).cast("long"))
     chosen = models.where(F.col("model").isin(wanted_models)) if wanted_models else models
     grid = chosen.select("model", F.col("ord").alias("model_ord")).crossJoin(F.broadcast(found))
-    return grid.withColumn("experiment_name", experiment_name(F.col("setup"), F.col("model"), F.col("mode"), F.col("prompt"), F.lit(size), F.lit(temperature)))
+    return grid.withColumn("experiment_name", experiment_name(F.col("setup"), F.col("model"), F.col("mode"), F.col("prompt"), F.lit(size), F.lit(temperature), shown))
 
 
 def missing(planned: DataFrame, existing: DataFrame) -> DataFrame:

@@ -415,6 +415,25 @@ def grid_all(spark, sf_dir):
     return grid.plan(models, grid.triplets(listed, setups)).select("model", "setup", "prompt", "mode", "experiment_name")
 
 
+@query(f"WITH {_DIMENSIONS} SELECT model, prompt, concat(setup, '__', model, '__', mode, CASE WHEN mode = 'few-shot' THEN '-7' ELSE '' END, '__', prompt, '__50__0p100') AS experiment_name FROM models, prompts")
+def grid_few_shot_row(spark, sf_dir):
+    models, setups, listed = dimensions(spark, sf_dir)
+    return grid.plan(models, grid.triplets(listed, setups), few_shot_row=7).select("model", "prompt", "experiment_name")
+
+
+_ALL_LONG = " UNION ALL ".join(f"SELECT setup, prompt, model, '{m}' AS metric, {m} AS value FROM valid" for m in [*TOKEN_METRICS, "answer_length"])
+
+
+@query(f"""WITH valid AS MATERIALIZED (SELECT s.*, CAST(length(t.text) AS DOUBLE) AS answer_length FROM ({_SCORES}) s JOIN documents t USING (doc_id) WHERE generation_failed = 0), long AS ({_ALL_LONG})
+SELECT setup, prompt, model, metric, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(min(value), 6) AS min, round(max(value), 6) AS max, round(median(value), 6) AS median FROM long GROUP BY setup, prompt, model, metric""")
+def evaluate_end_to_end(spark, sf_dir):
+    """Core metrics and a registered function of all responses, to statistics of each experiment."""
+    registry = MetricRegistry()
+    registry.register("answer_length", lambda r: len(r["response"]))
+    rows = responses(spark, sf_dir)
+    return rounded(evaluate.evaluate(rows, registry, ["setup", "prompt", "model"], "doc_id", with_ngrams=False), "mean", "std", "median").withColumns({c: F.round(c, 6) for c in ("min", "max")})
+
+
 @query(f"WITH {_DIMENSIONS} SELECT setup, prompt, mode FROM prompts WHERE setup IN ('de', 'en') AND mode = 'zero-shot'")
 def grid_setups_and_mode(spark, sf_dir):
     _, setups, listed = dimensions(spark, sf_dir)

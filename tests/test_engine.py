@@ -7,6 +7,8 @@ import types
 import pytest
 from corvane import cli
 from corvane.engine import Engine
+from corvane.functions.registry import MetricRegistry
+from corvane.plans import grid
 
 CONFIG = {
     "setups": {
@@ -112,3 +114,31 @@ def test_configuration_errors(spark, tmp_path):
         (tmp_path / "setups.json").write_text(text)
         with pytest.raises(ValueError):
             Engine(spark, str(tmp_path))
+
+
+def test_names_of_commands():
+    assert cli._names(["a,b", "c d"]) == ["a", "b", "c", "d"]
+    assert cli._names(["all"]) is None and cli._names(None) is None and cli._names("x") == ["x"]
+    args = cli.parser().parse_args(["run-experiment", "--generator", "m:f", "--model", "one", "two", "--setup", "all", "--few-shot-row", "3"])
+    assert (args.model, args.setup, args.few_shot_row) == (["one", "two"], ["all"], 3)
+
+
+def test_example_row_in_names(spark):
+    models = spark.createDataFrame([("m", 0)], "model string, ord int")
+    found = spark.createDataFrame([("s", "p", "zero-shot", 0), ("s", "q", "few-shot", 1)], "setup string, prompt string, mode string, at int")
+    names = {r.experiment_name for r in grid.plan(models, found, size=5, few_shot_row=12).collect()}
+    assert names == {"s__m__zero-shot__p__5__0p100", "s__m__few-shot-12__q__5__0p100"}
+    with pytest.raises(ValueError):
+        grid.plan(models, found, few_shot_row=-1)
+
+
+def test_similarity_and_functions_in_an_evaluation(spark):
+    engine = Engine.__new__(Engine)
+    engine.registry = MetricRegistry()
+    engine.registry.register("size", lambda r: len(r["response"]))
+    rows = [("e", "none", "p", "m", 0, "ab", "ab", True), ("e", "none", "p", "m", 0, "b", "a", True), ("e", "none", "p", "m", None, "a", "a", False)]
+    df = spark.createDataFrame(rows, "experiment_name string, setup string, prompt string, model string, row_idx long, response string, expected_output string, success boolean")
+    embedder = lambda: lambda texts: [[float("a" in t), float("b" in t)] for t in texts]
+    found = {r.metric: (r["mean"], r["max"]) for r in engine.evaluated(df, with_ngrams=False, load_embedder=embedder).collect()}
+    assert found["semantic_similarity"] == pytest.approx((0.5, 1.0))
+    assert found["size"] == (1.5, 2.0) and found["exact_match"] == (0.5, 1.0)
