@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,11 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where it is unset (tests on one machine) a temporary folder is made and set."""
+    """``spark.checkpoint.dir``; only where it is unset and all runs in one process (tests) a temporary folder is made and set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", master := spark.sparkContext.master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that driver and executors share (master {master})")
         base = "file://" + tempfile.mkdtemp(prefix="corvane-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
