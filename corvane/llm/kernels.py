@@ -94,14 +94,6 @@ def words_of(texts: list[bytes], inside: np.ndarray) -> tuple[np.ndarray, np.nda
     return span_hashes(buf, s, e), np.searchsorted(s, starts)
 
 
-def crc32_table() -> np.ndarray:
-    """The table of the CRC-32 that zlib computes, by its rule."""
-    t = np.arange(256, dtype=np.uint32)
-    for _ in range(8):
-        t = np.where(t & 1, (t >> 1) ^ np.uint32(0xEDB88320), t >> 1).astype(np.uint32)
-    return t
-
-
 def _times(matrix: list[int], vector: int) -> int:
     out = i = 0
     while vector:
