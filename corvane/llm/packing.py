@@ -5,7 +5,8 @@ shards of bounded size. A shard packs its pieces best-fit, longest first, and
 then takes its least filled sequences one by one: it moves pieces out of it,
 exchanges one of its pieces for a shorter one of a fuller sequence, or two for
 one, always so that the sum of squared fills rises, until it is empty or no
-exchange is left.
+exchange is left. It goes over its sequences again until a pass changes
+nothing, and stops where their number meets the total length's lower bound.
 
 Defined results: null text is the empty text and gives one piece with the end
 id alone; repeated rows are documents of their own; an empty table gives no
@@ -14,7 +15,9 @@ rows; very long texts are cut into as many pieces as they need.
 
 from __future__ import annotations
 
+import heapq
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from typing import Any
 
@@ -76,73 +79,116 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def improve(lengths: list[int], bins: list[list[int]], capacity: int) -> list[list[int]]:
-    """Empty underfull bins by moves and swaps that raise the sum of squared fills."""
-    size = np.asarray(lengths, np.int64)
-    fill = np.array([size[b].sum() for b in bins], np.int64)
-    least = -(-int(fill.sum()) // capacity)
-    live = [b for b in range(len(bins)) if fill[b] < capacity]
-    n_bins = len(bins)
-    item = np.array([i for b in live for i in bins[b]], np.int64)
-    place = np.array([b for b in live for _ in bins[b]], np.int64)
-    long = size[item]
-    for low in sorted(live, key=lambda b: (fill[b], b)):
-        if n_bins <= least:
-            break
-        undo = place.copy(), fill.copy()
-        while True:  # the sum of squared fills rises with every step and is bounded
-            own = np.flatnonzero(place == low)
-            if not len(own):
+class _Open:
+    """Bins that may take pieces: by room, and for each length the roomiest bin that holds a piece of it."""
+
+    def __init__(self, held: list[dict[int, list[int]]], room: list[int], capacity: int):
+        self.held, self.room = held, room
+        self.by_room: list[set[int]] = [set() for _ in range(capacity + 1)]
+        self.rooms = 0  # bit r is set if an open bin has r left
+        self.open: set[int] = set()
+        self.heaps: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]
+        self.most = np.zeros(capacity + 1, np.int64)  # by length; 0: no open bin holds it
+
+    def enter(self, b: int) -> None:
+        r = self.room[b]
+        if not r:
+            return
+        self.open.add(b)
+        self.by_room[r].add(b)
+        self.rooms |= 1 << r
+        for n in self.held[b]:
+            heapq.heappush(self.heaps[n], (-r, b))
+            if r > self.most[n]:
+                self.most[n] = r
+
+    def leave(self, b: int) -> None:
+        if b not in self.open:
+            return
+        self.open.remove(b)
+        r = self.room[b]
+        self.by_room[r].remove(b)
+        if not self.by_room[r]:
+            self.rooms ^= 1 << r
+        for n in self.held[b]:
+            heap = self.heaps[n]
+            while heap and not (heap[0][1] in self.open and self.room[heap[0][1]] == -heap[0][0] and n in self.held[heap[0][1]]):
+                heapq.heappop(heap)
+            self.most[n] = -heap[0][0] if heap else 0
+
+    def tightest(self, n: int) -> int | None:
+        """An open bin with the least room for ``n``."""
+        fits = self.rooms >> n
+        return next(iter(self.by_room[n + (fits & -fits).bit_length() - 1])) if fits else None
+
+
+def improve(lengths: list[int], bins: list[list[int]], capacity: int, tally: Counter | None = None) -> list[list[int]]:
+    """Empty underfull bins by moves and swaps that raise the sum of squared fills.
+
+    ``tally`` counts moves, swaps of one for one and of two for one, and emptied bins.
+    """
+    tally = Counter() if tally is None else tally
+    held: list[dict[int, list[int]]] = []  # of a bin: length to pieces
+    for b in bins:
+        by: dict[int, list[int]] = {}
+        for i in b:
+            by.setdefault(lengths[i], []).append(i)
+        held.append(by)
+    room = [capacity - sum(lengths[i] for i in b) for b in bins]
+    least = -(-sum(lengths) // capacity)
+    left = len(bins)
+
+    def shift(n: int, source: int, to: int) -> None:
+        i = held[source][n].pop()
+        if not held[source][n]:
+            del held[source][n]
+        held[to].setdefault(n, []).append(i)
+        room[source] += n
+        room[to] -= n
+
+    steps = -1
+    while steps != (steps := tally.total()) and left > least:
+        order = sorted((b for b in range(len(bins)) if room[b] and held[b]), key=lambda b: (-room[b], b))
+        state = _Open(held, room, capacity)
+        for b in order:
+            state.enter(b)
+        # Bins still open are at least as full as the one that is emptied, so every step raises the sum.
+        for low in order:
+            if left <= least:
                 break
-            room = capacity - fill
-            other = (place != low) & (fill[place] >= fill[low])
-            # Moves: the longest own piece that fits, where it fits best.
-            open_bins = np.unique(place[other])
-            moved = False
-            for a in own[np.argsort(-long[own], kind="stable")]:
-                fits = open_bins[room[open_bins] >= long[a]] if len(open_bins) else open_bins
-                if len(fits):
-                    to = fits[np.argmin(room[fits])]
-                    place[a], moved = to, True
-                    fill[to] += long[a]
-                    fill[low] -= long[a]
-                    break
-            if moved:
-                continue
-            # Exchanges: one or two own pieces for one shorter piece of a fuller bin; the largest gain first.
-            best = (0, None, None)
-            _, first, times = np.unique(long[own], return_index=True, return_counts=True)
-            own = own[np.sort(np.concatenate([first, [np.flatnonzero(long[own] == long[own[f]])[1] for f in first[times > 1]]]).astype(np.int64))]  # two of a length are enough
-            singles = [(int(long[a]), (a,)) for a in own]
-            pairs = [(int(long[own[i]] + long[own[j]]), (own[i], own[j])) for i in range(len(own)) for j in range(i)]
-            theirs = np.flatnonzero(other)
-            tried = set()
-            for total, given in singles + pairs:
-                if total in tried or total <= best[0]:
+            state.leave(low)
+            while held[low]:
+                own = sorted(held[low], reverse=True)
+                fits = next((n for n in own if n < state.rooms.bit_length()), None)
+                if fits is not None:  # the longest own piece that fits, where it fits best
+                    to = state.tightest(fits)
+                    state.leave(to)
+                    shift(fits, low, to)
+                    state.enter(to)
+                    tally["moves"] += 1
                     continue
-                tried.add(total)
-                gain = total - long[theirs]
-                gain[(gain <= 0) | (gain > room[place[theirs]])] = 0
-                if len(gain) and gain.max() > best[0]:
-                    best = (int(gain.max()), given, theirs[int(np.argmax(gain))])
-            if best[1] is None:
-                break
-            gain, given, taken = best
-            to = place[taken]
-            place[taken] = low
-            place[list(given)] = to
-            fill[to] += gain
-            fill[low] -= gain
-        if fill[low]:
-            if (fill**2).sum() <= (undo[1] ** 2).sum():
-                place, fill = undo
-        else:
-            n_bins -= 1
-    out = [bins[b] for b in range(len(bins)) if b not in set(live)]
-    by = {}
-    for i, b in zip(item.tolist(), place.tolist()):
-        by.setdefault(b, []).append(i)
-    return out + list(by.values())
+                # One or two own pieces for one shorter piece of another bin; the largest gain first.
+                given = {own[i] + own[j]: (own[i], own[j]) for i in range(len(own)) for j in range(i + 1) if i != j or len(held[low][own[i]]) > 1}
+                given |= {n: (n,) for n in own}
+                totals = np.array(sorted(given), np.int64)
+                theirs = np.flatnonzero(state.most)
+                at = np.searchsorted(totals, theirs + state.most[theirs], "right") - 1
+                gain = np.where(at >= 0, totals[at] - theirs, 0)
+                if not len(gain) or gain.max() <= 0:
+                    break
+                k = int(np.argmax(gain))
+                taken, pieces = int(theirs[k]), given[int(totals[at[k]])]
+                to = state.heaps[taken][0][1]
+                state.leave(to)
+                shift(taken, to, low)
+                for n in pieces:
+                    shift(n, low, to)
+                state.enter(to)
+                tally["one for one" if len(pieces) == 1 else "two for one"] += 1
+            if not held[low]:
+                left -= 1
+                tally["emptied"] += 1
+    return [[i for own in by.values() for i in own] for by in held if by]
 
 
 def _pack_shard(capacity: int):
