@@ -4,7 +4,8 @@ The automaton holds the word sequences of all templates. Streaming a text
 through it gives, after each word, the longest run of words ending there that
 occurs in some template (its matching statistic). Base phrases are found from
 the same states. Runs of ``LEAST`` words or more become matches; for each
-template the matches are chained in order of both text and template into
+template the matches are chained in order of both text and template, so that a
+chain covers as many words as can be (dynamic programming, not greedily), into
 covered spans, and a template whose chain covers enough of it gives a label.
 
 Defined results: null and empty texts have no words, no label and score 0;
@@ -14,6 +15,8 @@ any length are streamed whole.
 
 from __future__ import annotations
 
+import bisect
+import heapq
 import re
 
 import pyarrow as pa
@@ -152,6 +155,31 @@ class Automaton:
         return out
 
 
+def chained(matches: list[tuple[int, int, int]], gap: int) -> tuple[list[int], list[int]]:
+    """For each of the sorted matches (text start, template start, words): words of the best chain that ends with it, and the match before it (-1: none).
+
+    A match may follow another that ends before it in text and template, with
+    at most ``gap`` words between them in either; words of an overlap count
+    once, and the later match must add some. Only matches that end near enough
+    in the text are looked at, and the template bounds how many those are.
+    """
+    score, before = [], []
+    reach = max((size for _, _, size in matches), default=0) + gap
+    low = 0
+    for i, (s, t, size) in enumerate(matches):
+        while matches[low][0] < s - reach:
+            low += 1
+        most, link = size, -1
+        for j in range(low, i):
+            ls, lt, lsize = matches[j]
+            over = max(0, ls + lsize - s, lt + lsize - t)
+            if over < size and s + over - (ls + lsize) <= gap and t + over - (lt + lsize) <= gap and score[j] + size - over > most:
+                most, link = score[j] + size - over, j
+        score.append(most)
+        before.append(link)
+    return score, before
+
+
 class Scanner:
     def __init__(self, least: int = LEAST, covered: float = COVERED, gap: int = GAP):
         self.automaton = Automaton(TEMPLATES, PHRASES)
@@ -193,29 +221,37 @@ class Scanner:
                     matches.setdefault(template, []).append((base + i + 1 - held, end - held, held))
 
     def _chains(self, template: int, found: list[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
-        """Chain matches (text start, template start, words) that follow one another in both."""
+        """Chains of matches (text start, template start, words) that cover the most, best first and apart in the text."""
         label, sequence = self.automaton.sources[template]
-        out, chain = [], []
-
-        def close() -> None:
-            share = sum(c[2] for c in chain) / len(sequence)
-            if share >= self.covered:
-                out.append((label, chain[0][0], chain[-1][0] + chain[-1][2], share))
-
-        for s, t, size in sorted(set(found)):
-            if chain:
-                ls, lt, lsize = chain[-1]
-                # An overlap counts once: the later match gives up its first words.
-                over = max(0, ls + lsize - s, lt + lsize - t)
-                if over >= size:
-                    continue
-                if t + over >= lt + lsize and s + over - (ls + lsize) <= self.gap and t + over - (lt + lsize) <= self.gap:
-                    chain.append((s + over, t + over, size - over))
-                    continue
-                close()
-            chain = [(s, t, size)]
-        if chain:
-            close()
+        matches = sorted(set(found))
+        score, before = chained(matches, self.gap)
+        least = self.covered * len(sequence)
+        heap = [(-n, i) for i, n in enumerate(score) if n >= least]
+        heapq.heapify(heap)
+        taken: list[tuple[int, int]] = []
+        out = []
+
+        def free(start: int, end: int) -> bool:
+            at = bisect.bisect_left(taken, (end, 0))
+            return not at or taken[at - 1][1] <= start
+
+        while heap:
+            n, i = heapq.heappop(heap)
+            end = matches[i][0] + matches[i][2]
+            if not free(matches[i][0], end):
+                continue
+            first = i
+            while before[first] >= 0 and free(matches[before[first]][0], end):
+                first = before[first]
+            # A chain that runs into a taken span is cut there and waits for its turn.
+            held = score[i] - (score[first] - matches[first][2])
+            if held < -n:
+                if held >= least:
+                    heapq.heappush(heap, (-held, i))
+                continue
+            start = matches[first][0]
+            bisect.insort(taken, (start, end))
+            out.append((label, start, end, held / len(sequence)))
         return out
 
     def digest(self, texts: list[bytes]) -> dict[str, pa.Array]:
