@@ -39,6 +39,7 @@ TIMESTAMP_SCALE, MUXING_APP, WRITING_APP, DURATION = 0x2AD7B1, 0x4D80, 0x5741, 0
 TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, FLAG_LACING, CODEC_ID, AUDIO, SAMPLING, CHANNELS, BIT_DEPTH = 0xAE, 0xD7, 0x73C5, 0x83, 0x9C, 0x86, 0xE1, 0xB5, 0x9F, 0x6264
 DEFAULT_DURATION = 0x23E383
 CLUSTER_TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, REFERENCE = 0xE7, 0xA3, 0xA0, 0xA1, 0xFB
+TAGS, CHAPTERS, ATTACHMENTS = 0x1254C367, 0x1043A770, 0x1941A469
 CUE_POINT, CUE_TIME, CUE_TRACK_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 
 MASTERS = {SEGMENT, INFO, TRACKS, TRACK_ENTRY, AUDIO, CLUSTER, BLOCK_GROUP, CUES, CUE_POINT, CUE_TRACK_POSITIONS}
@@ -152,7 +153,7 @@ def _elements(data: bytes, at: int, end: int) -> Iterator[tuple[int, int, int, i
             look = start
             while look < end:
                 i, a = read_vint(data, look, True)
-                if i in (CLUSTER, CUES, TRACKS, INFO, SEEK_HEAD):
+                if i in (CLUSTER, CUES, TRACKS, INFO, SEEK_HEAD, TAGS, CHAPTERS, ATTACHMENTS):
                     break
                 s, b = read_vint(data, look + a)
                 look += a + b + (s or 0)
@@ -203,7 +204,14 @@ def _packets(data: bytes, start: int, end: int, base: int, key: bool | None, sca
 
 
 def parse(data: bytes) -> Parsed:
-    """Packet table of a Matroska file; cues are checked against the clusters."""
+    """Packet table of a Matroska file; cues are checked against the clusters. ``ValueError`` where bytes are damaged."""
+    try:
+        return _parsed(data)
+    except (IndexError, KeyError, TypeError, OverflowError, struct.error) as e:
+        raise ValueError(f"damaged Matroska bytes: {e!r}") from e
+
+
+def _parsed(data: bytes) -> Parsed:
     out = Parsed([], {}, [], [], None)
     for ident, _, start, end in _elements(data, 0, len(data)):
         if ident != SEGMENT:
