@@ -1,6 +1,6 @@
 """Secret scans: fixed patterns, and character Markov models for what they miss.
 
-Two first-order Markov models over character classes, one of random strings and
+Two first-order Markov models over characters, one of random strings and
 one of ordinary identifiers, are trained from labelled samples. A candidate
 token is a secret if its log-likelihood ratio per character is above a
 threshold. Candidates are runs of ``[A-Za-z0-9+/_=-]`` of 20 characters or more, of any
@@ -10,7 +10,8 @@ it is scored for itself, beside an access key or a hex string also if it is shor
 
 Defined results: null and empty texts have no spans; repeated rows are
 documents of their own; other columns are ignored; texts of any length are
-scanned whole; positions are code points, ends exclusive.
+scanned whole; positions are code points, ends exclusive. ``redact`` leaves a column
+``n_chars`` that holds no numbers as it is.
 """
 
 from __future__ import annotations
@@ -207,6 +208,10 @@ def scan(docs: DataFrame) -> DataFrame:
     return source.transform(mapped, by_block(_digest), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
+def _numeric(kind: pa.DataType) -> bool:
+    return pa.types.is_integer(kind) or pa.types.is_floating(kind)
+
+
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """``docs`` with secrets replaced in ``text`` (and ``n_chars``, if there, where the text changes); null stays null."""
 
@@ -217,7 +222,7 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
             old = batch.column("text").to_pylist()
             new = [t if t is None else scanner.redacted(t, mark) for t in old]
             columns = {"text": new}
-            if "n_chars" in names:
+            if "n_chars" in names and _numeric(batch.column("n_chars").type):
                 columns["n_chars"] = [n if a == b else len(b) for n, a, b in zip(batch.column("n_chars").to_pylist(), old, new)]
             for name, values in columns.items():
                 i = names.index(name)
