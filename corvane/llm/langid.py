@@ -6,9 +6,10 @@ language has several centroids from spherical k-means. A text takes the
 language of the centroid with the largest cosine; it is rejected if that cosine
 falls short of what learned texts of its length reach.
 
-``fit`` takes a sample of at most about ``PER_LANGUAGE`` labelled texts a
-language for centroids and radii (the documented bound); document frequencies
-come from all labelled rows.
+``fit`` takes a sample of at most ``PER_LANGUAGE`` labelled texts a language,
+``SAMPLE`` in all, for centroids and radii, and learns the ``LANGUAGES`` values
+of lang with the most rows (the documented bounds, which hold at any size);
+document frequencies come from all labelled rows.
 
 Defined results: null texts and texts without a letter are ``und`` with score
 0 and rejected; without any labelled row every text is ``und``; ties go to the
@@ -23,15 +24,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels
 from .common import blocks, mapped, utf8
 
 DIMENSIONS = 4096
-#: Labelled texts of a language that the centroids are fitted on, as expected by the sampling rate.
-PER_LANGUAGE = 256
+#: Labelled texts that the centroids are fitted on: of a language, of all together; languages learned. At most, all three.
+PER_LANGUAGE, SAMPLE, LANGUAGES = 256, 16_384, 1024
 CENTROIDS = 4
 #: A text is rejected below this share of the cosine that is usual at its length.
 REJECT = 0.4
@@ -142,10 +143,10 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"lang": batch.column("lang").slice(part.start, part.stop - part.start), "raw": pa.array([r.astype("<f4").tobytes() for r in raw], pa.binary())})
 
 
-def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, centroids: int = CENTROIDS) -> Model:
+def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, centroids: int = CENTROIDS, sample: int = SAMPLE, languages: int = LANGUAGES) -> Model:
     """Learn from rows of doc_id, text and lang; rows with a null in text or lang are left out."""
     rows = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
-    total = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    total = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
     if not total:
         return Model(np.ones(DIMENSIONS), np.zeros((0, DIMENSIONS)), [], np.zeros(1), np.zeros(1))
     frequency = np.zeros(DIMENSIONS)
@@ -156,10 +157,12 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, centroids: int =
         else:
             frequency[r["cell"]] = r["held"]
     idf = np.log((1 + n) / (1 + frequency)) + 1
-    chance = F.lit(0)
-    for lang, count in total.items():
-        chance = F.when(F.col("lang") == lang, F.lit(int(1_000_000 * min(1.0, per_language / count)) + 1)).otherwise(chance)
-    picked = rows.where(F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1_000_000)) < chance).select("lang", "text").transform(mapped, _vectors, "lang string, raw binary").collect()
+    each = max(1, min(per_language, sample // len(total)))
+    # The rows of the least hashes: twice as many as wanted by rate, then exactly so many by rank.
+    below = F.create_map(*(F.lit(x) for lang, count in total.items() for x in (lang, int(min(1.0, 2 * each / count) * (2**53 - 1)))))
+    drawn = rows.withColumn("draw", F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("langid")), 11)).where(F.col("draw") <= F.element_at(below, F.col("lang")))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id", F.xxhash64("text")))
+    picked = drawn.withColumn("rank", rank).where(F.col("rank") <= each).select("lang", "text").transform(mapped, _vectors, "lang string, raw binary").collect()
     by: dict[str, list[np.ndarray]] = {}
     for r in picked:
         by.setdefault(r["lang"], []).append(np.frombuffer(r["raw"], "<f4"))
