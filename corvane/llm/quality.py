@@ -6,8 +6,8 @@ an expected grade and the probability of the upper tail, by which documents are
 selected. Features: lower-case words, runs of symbols, and shape features
 (shares of capitals, symbols and distinct words, mean word length).
 
-``fit`` learns from at most about ``SAMPLE`` labelled rows (the documented
-bound, as expected by the sampling rate).
+``fit`` learns from at most ``SAMPLE`` labels (the documented bound, which holds
+at any size), those with the least hashes.
 
 Defined results: null text is the empty text; rows without a label are only
 scored; labels that are null are left out; without labelled rows every document
@@ -29,7 +29,7 @@ from . import kernels
 from .common import blocks, mapped, utf8
 
 BITS = 18
-#: Labelled rows that the weights are fitted on.
+#: Labels that the weights are fitted on, at most.
 SAMPLE = 6000
 #: A feature counts if at least so many sampled rows have it.
 LEAST_ROWS = 3
@@ -140,9 +140,10 @@ def fit(docs: DataFrame, ratings: DataFrame, n_grades: int, sample: int = SAMPLE
     total = rated.count()
     if not total:
         return Model(np.zeros(1 << BITS, np.float32), np.zeros(0))
-    rate = int(1_000_000 * min(1.0, sample / total)) + 1
-    # Bounded by the sample's size, so it may be broadcast.
-    picked = rated.where(F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1_000_000)) < rate)
+    below = int(min(1.0, 2 * sample / total) * (2**53 - 1))
+    # Twice as many as wanted by rate, then exactly so many by rank; bounded by the sample's size, so it may be broadcast.
+    draw = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("quality")), 11)
+    picked = rated.where(draw <= below).orderBy(draw, "doc_id", "grade").limit(sample)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select("grade", "text").transform(mapped, _sampled, "grade int, cells array<int>").collect()
     rows.sort(key=lambda r: (r["grade"], r["cells"]))
     if not rows:
