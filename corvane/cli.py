@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import argparse
 import importlib
+import json
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .engine import DEFAULT_SIZE, DEFAULT_TEMPERATURE, Engine
+from .engine import DEFAULT_SIZE, DEFAULT_TEMPERATURE, STORED, Engine
 from .sources import sinks
 from .sources.download import fetch_datasets
 
@@ -42,17 +43,25 @@ def parser() -> argparse.ArgumentParser:
     show.add_argument("--prompt", required=True)
     show.add_argument("--row", type=int)
     commands.add_parser("validate-prompts", help="prompts that don't fit their setups").add_argument("--prompt")
-    commands.add_parser("list-prompts", help="prompts with setup and mode").add_argument("--mode")
+    listed = commands.add_parser("list-prompts", help="prompts with setup and mode")
+    listed.add_argument("--mode")
+    listed.add_argument("--details", action="store_true", help="with field paths and problems")
     commands.add_parser("inspect-prompt", help="a prompt's template and problems").add_argument("--prompt", required=True)
     commands.add_parser("download-datasets", help="fetch the files that datasets link to").add_argument("--setup")
     dataset = commands.add_parser("dataset", help="datasets of the setups")
     dataset.add_argument("action", choices=["list", "status", "validate"])
     dataset.add_argument("--setup")
     tune = commands.add_parser("finetune", help="training sets")
-    tune.add_argument("action", choices=["prepare", "list"])
+    tune.add_argument("action", choices=["prepare", "list", "models"])
     tune.add_argument("--name")
     tune.add_argument("--style", default="messages")
     commands.add_parser("list-options", help="setups, prompts and models")
+    commands.add_parser("status", help="entries of the configuration and stored files")
+    clean = commands.add_parser("cleanup", help="delete stored results")
+    clean.add_argument("--target", nargs="+", default=["all"], help=f"{', '.join(STORED)}, or all")
+    clean.add_argument("--dry-run", action="store_true")
+    for name in ("list-commands", "show-commands", "help"):
+        commands.add_parser(name, help="all commands and their arguments")
     return out
 
 
@@ -62,6 +71,9 @@ def _show(df: DataFrame, rows: int = 100) -> None:
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = parser().parse_args(argv)
+    if args.command in ("list-commands", "show-commands", "help"):
+        print(described())
+        return 0
     spark = spark or SparkSession.builder.appName("corvane").getOrCreate()
     engine = Engine(spark, args.config, args.data, args.output)
     return COMMANDS[args.command](engine, args)
@@ -108,7 +120,19 @@ def validate_prompts(engine: Engine, args) -> int:
     return int(any(problems[n] for n in wanted))
 
 
+def described() -> str:
+    """Every command with its usage."""
+    (commands,) = (a for a in parser()._actions if isinstance(a, argparse._SubParsersAction))
+    return "\n".join(p.format_help() for p in commands.choices.values())
+
+
 def list_prompts(engine: Engine, args) -> int:
+    if args.details:
+        for name, p in engine.prompts.items():
+            if args.mode in (None, p.mode):
+                print(name, p.description)
+                print(json.dumps(engine.prompt_requirements(name) if p.setup in engine.setups else {"problems": engine.prompt_problems()[name]}, indent=1))
+        return 0
     _show(engine.prompt_table(args.mode))
     return 0
 
@@ -142,6 +166,10 @@ def finetune(engine: Engine, args) -> int:
         for name in engine.finetunes:
             print(name, engine.training_request(name))
         return 0
+    if args.action == "models":
+        for name, found in engine.finetuned_models().items():
+            print(name, json.dumps(found))
+        return 0
     engine.training_set(args.name, args.style).write.mode("overwrite").json(f"{engine.output_dir}/training/{args.name}")
     return 0
 
@@ -152,7 +180,19 @@ def list_options(engine: Engine, args) -> int:
     return 0
 
 
-COMMANDS = {"run-experiment": run_experiment, "evaluate": evaluate, "summary": summary, "show-prompt": show_prompt, "validate-prompts": validate_prompts, "list-prompts": list_prompts, "inspect-prompt": inspect_prompt, "download-datasets": download_datasets, "dataset": dataset, "finetune": finetune, "list-options": list_options}
+def status(engine: Engine, args) -> int:
+    for what, n in engine.status().items():
+        print(what, n)
+    return 0
+
+
+def cleanup(engine: Engine, args) -> int:
+    for kind, n in engine.cleanup(_names(args.target), args.dry_run).items():
+        print(kind, n, "files" if args.dry_run else "files deleted")
+    return 0
+
+
+COMMANDS = {"run-experiment": run_experiment, "evaluate": evaluate, "summary": summary, "show-prompt": show_prompt, "validate-prompts": validate_prompts, "list-prompts": list_prompts, "inspect-prompt": inspect_prompt, "download-datasets": download_datasets, "dataset": dataset, "finetune": finetune, "list-options": list_options, "status": status, "cleanup": cleanup}
 
 
 if __name__ == "__main__":

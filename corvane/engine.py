@@ -21,16 +21,19 @@ from .plans import evaluate, grid, inference, summary
 from .sources import readers, sinks
 
 DEFAULT_SIZE, DEFAULT_TEMPERATURE = 50, 0.1
+#: What an engine stores in its output folder.
+STORED = ("responses", "evaluations", "summary", "training")
 
 
 class Engine:
     def __init__(self, spark: SparkSession, config_dir: str, data_dir: str = "", output_dir: str = "", registry: MetricRegistry | None = None):
         self.spark, self.data_dir, self.output_dir = spark, data_dir, output_dir
         self.registry = registry or MetricRegistry()
+        self._tables: dict[tuple[str, ...], DataFrame] = {}  # of the setups, numbered once
         load = lambda name, optional=False: self._load(Path(config_dir) / f"{name}.json", optional)
         self.setups, self.models = load("setups"), load("models")
         self.finetunes = load("finetunes", True)
-        self.prompts = {n: prompts.Prompt(n, p.get("mode", prompts.ZERO_SHOT), p.get("compatible_setup", ""), p["template"], p.get("few_shot_example", "")) for n, p in load("prompts").items()}
+        self.prompts = {n: prompts.Prompt(n, p.get("mode", prompts.ZERO_SHOT), p.get("compatible_setup", ""), p["template"], p.get("few_shot_example", ""), p.get("description", "")) for n, p in load("prompts").items()}
 
     @staticmethod
     def _load(path: Path, optional: bool) -> dict:
@@ -69,9 +72,15 @@ class Engine:
     # ---- datasets --------------------------------------------------------------------------------------------
 
     def dataset(self, setup: str) -> DataFrame:
-        """The rows of a setup's file, numbered from 0 in file order."""
-        df = readers.read_dataset(self.spark, self.setups[setup]["dataset"], self.data_dir)
-        return sampling.with_row_index(df.withColumn("__at", F.monotonically_increasing_id()), "__at").drop("__at")
+        """The rows of a setup's file, numbered from 0 in file order; read and numbered on the first call, until ``forget``."""
+        if (setup,) not in self._tables:
+            df = readers.read_dataset(self.spark, self.setups[setup]["dataset"], self.data_dir)
+            self._tables[(setup,)] = sampling.with_row_index(df.withColumn("__at", F.monotonically_increasing_id()), "__at").drop("__at")
+        return self._tables[(setup,)]
+
+    def forget(self) -> None:
+        """Read the datasets anew."""
+        self._tables.clear()
 
     def marked(self, setup: str, null_as: str = "blank") -> DataFrame:
         questions, answer = self.fields(setup)
@@ -79,8 +88,10 @@ class Engine:
 
     def pruned(self, setup: str, null_as: str = "blank") -> DataFrame:
         """The rows that stay, numbered anew."""
-        kept = self.marked(setup, null_as).where("prune_reason IS NULL").drop("prune_reason").withColumnRenamed(sampling.ROW, "source_row")
-        return sampling.with_row_index(kept, "source_row")
+        if (setup, null_as) not in self._tables:
+            kept = self.marked(setup, null_as).where("prune_reason IS NULL").drop("prune_reason").withColumnRenamed(sampling.ROW, "source_row")
+            self._tables[(setup, null_as)] = sampling.with_row_index(kept, "source_row")
+        return self._tables[(setup, null_as)]
 
     def validate_fields(self, setup: str) -> DataFrame:
         questions, answer = self.fields(setup)
@@ -110,6 +121,12 @@ class Engine:
         setups = list(self.setups)
         return {n: p.problems(self.fields(p.setup)[0] if p.setup in self.setups else [], setups) for n, p in self.prompts.items()}
 
+    def prompt_requirements(self, prompt: str) -> dict:
+        if prompt not in self.prompts:
+            raise ValueError(f"unknown prompt {prompt}")
+        p = self.prompts[prompt]
+        return p.requirements(*self.fields(p.setup), list(self.setups))
+
     # ---- experiments -----------------------------------------------------------------------------------------
 
     def plan(self, models: list[str] | None = None, setups: list[str] | None = None, prompt_names: list[str] | None = None, mode: str | None = None, size: int = DEFAULT_SIZE, temperature: float = DEFAULT_TEMPERATURE, force: bool = False, skip: bool = False, few_shot_row: int | None = None) -> DataFrame:
@@ -131,7 +148,8 @@ class Engine:
         if not asked:
             return self.spark.createDataFrame([], f"experiment_name string, setup string, prompt_name string, model string, row_idx long, prompt string, question_values array<string>, expected_output string, {inference.RESPONSE}")
         rows = reduce(DataFrame.unionByName, asked)
-        made = inference.generate(rows, load)
+        tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        made = inference.generate(rows, load, tasks_per_model=-(-tasks // max(1, planned.select("model").distinct().count())))
         return made.withColumn("response", paths.without_echo(F.col("response"), F.col("prompt")))
 
     def _folder(self, kind: str) -> str:
@@ -175,6 +193,38 @@ class Engine:
             "global": summary.global_stats(stats),
         }
 
+    # ---- the store of an engine ------------------------------------------------------------------------------
+
+    def finetuned_models(self) -> dict[str, dict]:
+        """What the configuration says of the models that were fine-tuned."""
+        named = ("description", "base_model", "tune_name", "model_path", "training_info")
+        return {n: {k: m.get(k) for k in named} for n, m in self.models.items() if m.get("finetuned")}
+
+    def status(self) -> dict[str, int]:
+        """How many entries the configuration has, datasets that are there, and files of each stored kind."""
+        there = 0
+        for s in self.setups.values():
+            try:
+                there += self._files(readers.dataset_file(s.get("dataset", {}), self.data_dir)[1]) > 0
+            except ValueError:  # a setup that names no file
+                continue
+        return {"setups": len(self.setups), "prompts": len(self.prompts), "models": len(self.models), "finetunes": len(self.finetunes), "datasets": there} | {k: self._files(self._folder(k)) for k in STORED}
+
+    def _files(self, folder: str) -> int:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return fs.getContentSummary(path).getFileCount() if fs.exists(path) else 0
+
+    def cleanup(self, kinds: list[str] | None = None, dry_run: bool = False) -> dict[str, int]:
+        """Delete stored results of the kinds named, or of all; the files of each. ``dry_run`` only counts them."""
+        if unknown := [k for k in kinds or [] if k not in STORED]:
+            raise ValueError(f"unknown kind: {', '.join(unknown)}")
+        found = {k: self._files(self._folder(k)) for k in kinds or STORED}
+        for kind in [] if dry_run else found:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self._folder(kind))
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        return found
+
     # ---- training sets ---------------------------------------------------------------------------------------
 
     def training_request(self, name: str) -> training.TrainingRequest:

@@ -35,6 +35,21 @@ class Prompt:
     setup: str
     template: str
     few_shot_example: str = ""
+    description: str = ""
+
+    def requirements(self, question_fields: list[str], answer_field: str, setups: list[str]) -> dict:
+        """What the prompt needs of a row, and whether it fits."""
+        return {
+            "prompt": self.name,
+            "setup": self.setup,
+            "mode": self.mode,
+            "template": self.template,
+            "places": placeholders(self.template),
+            "question_fields": question_fields,
+            "answer_field": answer_field,
+            "few_shot_example": self.few_shot_example if self.mode == FEW_SHOT else None,
+            "problems": self.problems(question_fields, setups),
+        }
 
     def problems(self, question_fields: list[str], setups: list[str]) -> list[str]:
         """Why this prompt can't be used with the fields; nothing if it can."""
@@ -74,6 +89,20 @@ def render(df: DataFrame, prompt: Prompt, question_fields: list[str], answer_fie
     return out.withColumn("success", F.lit(True))
 
 
+def batch(df: DataFrame, prompt: Prompt, question_fields: list[str], answer_field: str, example_row: DataFrame | None = None) -> DataFrame:
+    """``render`` with success and error for each row: a template that can't be filled gives rows without a prompt.
+
+    A few-shot prompt without an example row gives no rows.
+    """
+    if prompt.mode == FEW_SHOT and example_row is None:
+        df, example_row = df.limit(0), df.limit(0)
+    try:
+        return render(df, prompt, question_fields, answer_field, example_row).withColumn("error", F.lit(None).cast("string"))
+    except ValueError as e:
+        bare = df.select(*df.schema.names, extract(df.schema, question_fields).alias("question_values"), F.coalesce(resolve(df.schema, answer_field), F.lit("")).alias("expected_output"))
+        return bare.withColumns({"prompt": F.lit(""), "success": F.lit(False), "error": F.lit(str(e))})
+
+
 def chat_format(style: str, prompt: Column, answer: Column) -> Column:
     """A training example as ``conversations``, ``messages`` or one ``text``."""
     if style == "conversations":

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .paths import resolve
+from .paths import Path, resolve
 
 REGEX = "regex:"
 #: All question fields and the answer field.
@@ -28,8 +28,9 @@ def _matches(value: Column, pattern: str) -> Column:
 def prune_reason(schema: T.StructType, rules: dict[str, list[str]], question_fields: list[str], answer_field: str = "", null_as: str = "blank") -> Column:
     """Why a row goes; null if it stays. The first match in order wins, rules for all fields first.
 
-    ``null_as``: "blank" lets a null match the empty pattern; "nan" reads it as
-    the text ``nan``, as data frames that hold missing cells as floats do.
+    ``null_as``: "blank" lets an empty cell match the empty pattern; "nan" reads it as
+    the text ``nan``, as data frames that hold missing cells as floats do. A path into
+    a cell that leads nowhere has no value and matches nothing.
     """
     if null_as not in ("blank", "nan"):
         raise ValueError(f"null_as must be blank or nan, not {null_as!r}")
@@ -37,7 +38,9 @@ def prune_reason(schema: T.StructType, rules: dict[str, list[str]], question_fie
     tests: list[tuple[Column, Column]] = []
 
     def add(path: str, pattern: str, said: str) -> None:
-        value = F.coalesce(resolve(schema, path), missing) if path.removeprefix("json:").split(".")[0].split("[")[0] in schema.names else F.lit(None).cast("string")
+        value, parsed = resolve(schema, path), Path.parse(path)
+        if parsed.column in schema.names and not parsed.steps:
+            value = F.coalesce(value, missing)
         tests.append((_matches(value, pattern), F.concat(F.lit(said), F.lit(" with value '"), value, F.lit("'"))))
 
     for pattern in rules.get(EVERY, []):

@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 RESPONSE = "response string, processing_time double, success boolean, error string"
 
 
-def generate(prompts: DataFrame, load: Callable[[str], Callable[[str], str]], model: str = "model", batch_keys: list[str] | None = None) -> DataFrame:
+def generate(prompts: DataFrame, load: Callable[[str], Callable[[str], str]], model: str = "model", tasks_per_model: int = 8) -> DataFrame:
     """``prompts`` (with a prompt and a model column) and response, processing_time, success, error.
 
     ``load(name)`` returns a function from prompt to text. Rows are dealt by
-    model, so that a task loads few models, each once. A call that raises gives
-    an error row.
+    model, ``tasks_per_model`` tasks to each, so that a task loads few models,
+    each once. A call that raises gives an error row.
     """
     kept = prompts.columns
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema.fields if f.name not in ("response", "processing_time", "success", "error")], RESPONSE])
@@ -39,7 +39,7 @@ def generate(prompts: DataFrame, load: Callable[[str], Callable[[str], str]], mo
             yield pd.concat([frame[names], made], axis=1)
 
     # Dealt by model and a few buckets, so that one model with most rows doesn't end in one task.
-    dealt = prompts.repartition(model, F.pmod(F.xxhash64("prompt"), F.lit(8)))
+    dealt = prompts.repartition(model, F.pmod(F.xxhash64("prompt"), F.lit(tasks_per_model)))
     return dealt.select(*names).mapInPandas(run, schema)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import warnings
 from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,9 +16,12 @@ FORMAT_KEYS = {"csv_file": "csv", "parquet_file": "parquet", "json_file": "json"
 MISSING = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, na_as_null: bool = True) -> DataFrame:
-    """Quoted fields may hold newlines and doubled quotes; blank cells and the usual marks of missing cells are null."""
-    reader = spark.read.options(header=True, multiLine=True, quote='"', escape='"', emptyValue="", nullValue="", inferSchema=schema is None)
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, na_as_null: bool = True, multi_line: bool = True) -> DataFrame:
+    """Quoted fields may hold newlines and doubled quotes; blank cells and the usual marks of missing cells are null.
+
+    A file whose fields may hold newlines is read by one task; ``multi_line=False`` lets large files without such be split.
+    """
+    reader = spark.read.options(header=True, multiLine=multi_line, quote='"', escape='"', emptyValue="", nullValue="", inferSchema=schema is None)
     df = reader.schema(schema).csv(path) if schema else reader.csv(path)
     if not na_as_null:
         return df
@@ -33,8 +37,20 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     return df
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """One object a line; blank and malformed lines are left out, and no valid line at all is an error."""
+def malformed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line: the lines of JSON Lines files that are neither blank nor an object."""
+    line = F.trim("value")
+    sound = line.startswith("{") & F.get_json_object("value", "$").isNotNull()
+    return spark.read.text(path).where((line != "") & ~sound).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
+
+
+def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | None = None, warn: bool = False) -> DataFrame:
+    """One object a line; blank and malformed lines are left out, and no valid line at all is an error.
+
+    ``warn`` reads the lines once more and warns of those left out.
+    """
+    if warn and (n := malformed_lines(spark, path).count()):
+        warnings.warn(f"{path}: {n} malformed lines are left out", stacklevel=2)
     reader = spark.read.option("mode", "DROPMALFORMED")
     df = reader.schema(schema).json(path) if schema else reader.json(path)
     if not df.columns or df.isEmpty():
