@@ -47,6 +47,8 @@ POSITION_BITS = 24
 CHUNK = 1 << 22
 #: Bytes of contexts in a shard, contexts of one hash in a shard, buckets of hashes for each task.
 SHARD_BYTES, SHARD_CONTEXTS = 2 << 20, 8000
+#: Hashes with more contexts than a shard holds that are sent to all tasks, at most.
+HOT_HASHES = 100_000
 BLOCK = 1 << 20
 
 
@@ -464,7 +466,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"name": batch.column("name"), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(n, pa.int64()), "kept": pa.array(sha, pa.binary()), "spans": pa.array(spans, _SPANS)})
 
 
-def find(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, shard_contexts: int = SHARD_CONTEXTS) -> DataFrame:
+def find(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, shard_contexts: int = SHARD_CONTEXTS, hot_hashes: int = HOT_HASHES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (byte ranges that go) for each row of ``docs``."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -476,8 +478,11 @@ def find(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: i
     found = scanned.where("kind = 1").select("name", "hash", "first", "last").union(dealt).groupBy("name").agg(F.collect_list(F.struct("hash", "first", "last")).alias("parts")).join(copies, "name")
     made = stored(docs.select("text").transform(mapped, _texts(length), "name long, raw binary").join(found, "name").transform(mapped, _contexts(length), _CONTEXTS), "contexts")
     contexts = made.where("kind = 0").select("hash", "context", "bytes", "weight")
-    many = contexts.groupBy("hash").agg(F.count("*").alias("m")).select("hash", F.ceil(F.col("m") / shard_contexts).cast("long").alias("salts"))
-    salted = contexts.join(many, "hash").withColumn("salt", F.pmod(F.xxhash64("context"), "salts"))
+    # Only hashes with more contexts than a shard holds are salted. They go to all tasks if they are few; beyond that
+    # it is a join on the hash, whose skewed side Spark may split.
+    many = contexts.groupBy("hash").agg(F.count("*").alias("m")).where(F.col("m") > shard_contexts)
+    hot = stored(many.select("hash", F.ceil(F.col("m") / shard_contexts).cast("long").alias("hot_salts")), "hot")
+    salted = contexts.join(F.broadcast(hot) if hot.count() <= hot_hashes else hot, "hash", "left").withColumn("salts", F.coalesce("hot_salts", F.lit(1).cast("long"))).drop("hot_salts").withColumn("salt", F.pmod(F.xxhash64("context"), "salts"))
     verdicts = stored(salted.repartition(F.col("hash"), F.col("salt")).sortWithinPartitions("hash", "salt", "context").transform(mapped, _shards(length, shard_bytes), _VERDICTS), "verdicts")
     across = verdicts.where("kind = 1").groupBy("hash", "part").applyInArrow(_merged(length), "context binary, spans array<struct<s:int,e:int>>")
     spans = verdicts.where("kind = 0").select("context", "spans").union(across)

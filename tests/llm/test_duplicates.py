@@ -62,11 +62,11 @@ def pieces(seed=3, n=90):
     return texts + [texts[3], texts[3], b""]
 
 
-@pytest.mark.parametrize("shard_contexts", [8000, 3])
-def test_removal(spark, shard_contexts):
+@pytest.mark.parametrize("shard_contexts, hot_hashes", [(8000, 100), (3, 100), (3, 0)])
+def test_removal(spark, shard_contexts, hot_hashes):
     texts = pieces()
     df = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
-    got = {r.doc_id: (r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.find(df, length=40, gram=16, shard_contexts=shard_contexts, shard_bytes=3000).collect()}
+    got = {r.doc_id: (r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.find(df, length=40, gram=16, shard_contexts=shard_contexts, hot_hashes=hot_hashes, shard_bytes=3000).collect()}
     assert [got[i] for i in range(len(texts))] == plain_removal(texts, 40)
 
 
