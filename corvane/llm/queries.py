@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cas_store, decontam, jaccard, langid, licenses, matroska, packing, quality, secret_scan, suffix_dedup
+from . import cas_store, decontam, jaccard, langid, layout, licenses, matroska, packing, quality, secret_scan, suffix_dedup
 
 #: The tokenizer file of the queries; operators take any file of the tokenizers library.
 TOKENIZER = "word_bpe_49k.json"
@@ -72,8 +72,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), end_id=0)
 
 
+def op11_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.plan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_license_scan, op3_matroska, op4_suffix_dedup, op5_secret_scan, op6_quality, op7_token_store, op8_jaccard_join, op9_decontamination, op10_packing)}
+    return {f.__name__: f for f in (op1_language_id, op2_license_scan, op3_matroska, op4_suffix_dedup, op5_secret_scan, op6_quality, op7_token_store, op8_jaccard_join, op9_decontamination, op10_packing, op11_layout)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -105,7 +109,27 @@ SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
+# CRC-32 bit by bit; coordinates by counting smaller rows; boxes and cells compared one by one.
+_OP11 = r"""
+WITH d AS (SELECT doc_id, encode(source) AS a, encode(lang) AS b, coalesce(strlen(text), -1) AS c,
+  xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+     lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), CAST(range(8) AS BIGINT[])), lambda h, k: xor(h >> 1, (h & 1) * 3988292384))), 4294967295) % 365 AS e
+  FROM documents),
+r AS (SELECT doc_id, (rank() OVER (ORDER BY a NULLS FIRST) - 1) * 16 // count(*) OVER () AS c0, (rank() OVER (ORDER BY b NULLS FIRST) - 1) * 16 // count(*) OVER () AS c1,
+  (rank() OVER (ORDER BY c) - 1) * 16 // count(*) OVER () AS c2, (rank() OVER (ORDER BY e NULLS FIRST) - 1) * 16 // count(*) OVER () AS c3 FROM d),
+z AS (SELECT *, CAST(list_sum(list_transform(range(4), lambda i: ((c0 >> i) & 1) * (8 << (4 * i)) + ((c1 >> i) & 1) * (4 << (4 * i)) + ((c2 >> i) & 1) * (2 << (4 * i)) + ((c3 >> i) & 1) * (1 << (4 * i)))) AS BIGINT) AS z FROM r),
+p AS (SELECT *, row_number() OVER (ORDER BY z, doc_id NULLS FIRST) - 1 AS position FROM z),
+f AS (SELECT *, position // 1000 AS file FROM p),
+b AS (SELECT file, min(c0) AS l0, max(c0) AS h0, min(c1) AS l1, max(c1) AS h1, min(c2) AS l2, max(c2) AS h2, min(c3) AS l3, max(c3) AS h3 FROM f GROUP BY file),
+q AS (SELECT DISTINCT z, c0, c1, c2, c3 FROM f),
+fc AS (SELECT DISTINCT file, c0, c1, c2, c3 FROM f),
+t AS (SELECT z, count(*) AS files_touched FROM q JOIN b ON c0 BETWEEN l0 AND h0 AND c1 BETWEEN l1 AND h1 AND c2 + 2 >= l2 AND c2 - 2 <= h2 AND c3 + 2 >= l3 AND c3 - 2 <= h3 GROUP BY z),
+m AS (SELECT q.z, count(DISTINCT file) AS files_matching FROM q JOIN fc ON q.c0 = fc.c0 AND q.c1 = fc.c1 AND abs(q.c2 - fc.c2) <= 2 AND abs(q.c3 - fc.c3) <= 2 GROUP BY q.z)
+SELECT doc_id, z, position, file, files_touched, files_matching, concat_ws(',', l0, h0, l1, h1, l2, h2, l3, h3) AS file_bounds
+FROM f JOIN b USING (file) JOIN t USING (z) JOIN m USING (z)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """The other operators need models, tokenizers, file formats or byte windows and are tested against brute force."""
-    return {"op8_jaccard_join": _OP8, "op9_decontamination": _OP9}
+    return {"op8_jaccard_join": _OP8, "op9_decontamination": _OP9, "op11_layout": _OP11}
