@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cas_store, decontam, jaccard, langid, layout, licenses, matroska, packing, quality, secret_scan, suffix_dedup
+from . import cas_store, decontam, hard_negatives, jaccard, langid, layout, licenses, matroska, packing, quality, secret_scan, suffix_dedup, vector_dedup
 
 #: The tokenizer file of the queries; operators take any file of the tokenizers library.
 TOKENIZER = "word_bpe_49k.json"
@@ -76,8 +76,17 @@ def op11_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.plan(table(spark, sf_dir, "documents"))
 
 
+def op12_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.classes(table(spark, sf_dir, "embeddings"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_license_scan, op3_matroska, op4_suffix_dedup, op5_secret_scan, op6_quality, op7_token_store, op8_jaccard_join, op9_decontamination, op10_packing, op11_layout)}
+    return {f.__name__: f for f in (op1_language_id, op2_license_scan, op3_matroska, op4_suffix_dedup, op5_secret_scan, op6_quality, op7_token_store, op8_jaccard_join, op9_decontamination, op10_packing, op11_layout, op12_vector_dedup, op13_hard_negatives)}
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -129,7 +138,27 @@ SELECT doc_id, z, position, file, files_touched, files_matching, concat_ws(',',
 FROM f JOIN b USING (file) JOIN t USING (z) JOIN m USING (z)
 """
 
+_OP12 = r"""
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda c: CAST(c AS DOUBLE)) AS x FROM embeddings),
+n AS (SELECT vec_id, x, sqrt(list_dot_product(x, x)) AS norm FROM v WHERE x IS NOT NULL AND len(list_filter(x, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0),
+u AS (SELECT * FROM n WHERE norm > 0),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND list_dot_product(a.x, b.x) / (a.norm * b.norm) >= 0.9),
+r(vec_id, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT e.a, r.c FROM r JOIN e ON e.b = r.vec_id),
+k AS (SELECT a AS vec_id, count(*) AS n FROM e GROUP BY a)
+SELECT r.vec_id, CAST(coalesce(max(n), 0) AS BIGINT) AS n_links, min(c) AS component_id, r.vec_id = min(c) AS kept FROM r LEFT JOIN k ON k.vec_id = r.vec_id GROUP BY r.vec_id
+"""
+
+_OP13 = r"""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda c: floor(256 * CAST(c AS DOUBLE))) AS x FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.x, b.x) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY row_number() OVER w <= 5 WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """The other operators need models, tokenizers, file formats or byte windows and are tested against brute force."""
-    return {"op8_jaccard_join": _OP8, "op9_decontamination": _OP9, "op11_layout": _OP11}
+    return {"op8_jaccard_join": _OP8, "op9_decontamination": _OP9, "op11_layout": _OP11, "op12_vector_dedup": _OP12, "op13_hard_negatives": _OP13}
