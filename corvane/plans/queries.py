@@ -477,6 +477,15 @@ def source_csv_round_trip(spark, sf_dir):
     return readers.read_csv(spark, path).select(F.col("s_suppkey").cast("long"), "s_name")
 
 
+@query("SELECT doc_id, lang, sha256(text) AS text_sha FROM documents")
+def source_csv_parallel(spark, sf_dir):
+    """Whole texts with their newlines and quotes, written as few CSV files and read by a task for each split."""
+    path = new_path(spark, "csv")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    docs.coalesce(4).write.options(header=True, quote='"', escape='"').csv(path)
+    return readers.read_csv(spark, path, docs.schema).select("doc_id", "lang", F.sha2("text", 256).alias("text_sha"))
+
+
 @query("SELECT conv_id, turn, role, text FROM conversations")
 def source_jsonl_round_trip(spark, sf_dir):
     path = new_path(spark, "jsonl")

@@ -10,19 +10,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import split_csv
+
 #: Keys of a dataset's configuration, first come first served, with the format each names.
 FORMAT_KEYS = {"csv_file": "csv", "parquet_file": "parquet", "json_file": "json", "jsonl_file": "jsonl"}
 # Texts that data frames read as missing cells.
 MISSING = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, na_as_null: bool = True, multi_line: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, na_as_null: bool = True, multi_line: bool = True, in_splits: bool = True) -> DataFrame:
     """Quoted fields may hold newlines and doubled quotes; blank cells and the usual marks of missing cells are null.
 
-    A file whose fields may hold newlines is read by one task; ``multi_line=False`` lets large files without such be split.
+    Large files are read by a task for each split, wherever their fields have newlines. ``in_splits=False`` reads each file
+    by one task with Spark's own reader; ``multi_line=False`` too, in splits, for files without newlines in fields.
     """
-    reader = spark.read.options(header=True, multiLine=multi_line, quote='"', escape='"', emptyValue="", nullValue="", inferSchema=schema is None)
-    df = reader.schema(schema).csv(path) if schema else reader.csv(path)
+    if multi_line and in_splits:
+        df = split_csv.read(spark, path, schema)
+    else:
+        reader = spark.read.options(header=True, multiLine=multi_line, quote='"', escape='"', emptyValue="", nullValue="", inferSchema=schema is None)
+        df = reader.schema(schema).csv(path) if schema else reader.csv(path)
     if not na_as_null:
         return df
     blank = lambda f: F.when(F.col(f"`{f.name}`").isin(MISSING), None).otherwise(F.col(f"`{f.name}`")).alias(f.name)
