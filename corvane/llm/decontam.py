@@ -58,7 +58,7 @@ class Index:
         self.begin, self.end = at[:-1], at[1:]
         self.names = [name for name, _ in items]
         length = np.diff(at)
-        grams = kernels.gram_hashes(words, k)
+        grams = kernels.shingle_hashes(words, k)
         full = np.zeros(max(0, len(words) - window + 1), bool)
         if len(full):
             full[:] = self.item[: len(full)] == self.item[window - 1 :]
@@ -69,7 +69,7 @@ class Index:
         for m in range(1, window):
             own = np.flatnonzero(length == m)
             if len(own):
-                h = kernels.gram_hashes(words, m)[at[own]]
+                h = kernels.shingle_hashes(words, m)[at[own]]
                 order = np.argsort(h, kind="stable")
                 self.short[m] = (h[order], own[order])
 
@@ -79,7 +79,7 @@ class Index:
         n = len(words)
         doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
         if len(self.prints) and n >= self.window:
-            grams = kernels.gram_hashes(words, self.k)
+            grams = kernels.shingle_hashes(words, self.k)
             within = doc[: n - self.window + 1] == doc[self.window - 1 :]
             places = winnowed(grams, self.window - self.k + 1, within)
             found = grams[places]
@@ -98,7 +98,7 @@ class Index:
                         out[d][0].append((p - left - int(at[d]), p + right - int(at[d])))
                         out[d][1].add(i)
         for m, (prints, owners) in self.short.items():
-            grams = kernels.gram_hashes(words, m)
+            grams = kernels.shingle_hashes(words, m)
             if not len(grams):
                 continue
             lo, hi = np.searchsorted(prints, grams, "left"), np.searchsorted(prints, grams, "right")

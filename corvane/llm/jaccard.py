@@ -63,29 +63,40 @@ ROUNDS = (2, 16, None)
 INDEX_ROWS, RUN_BLOCK = 1_000_000, 512
 #: Bits of the map that says which texts may be wanted; 4 MB for any input.
 WANTED_BITS = 1 << 25
+#: Sets that may share half of their 128-bit names; far more than chance gives.
+SHARED = 10_000
 #: Bytes of sketches that are compared at once.
 COMPARED = 1 << 23
 
-_SIGNED = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("hash", pa.int64()), ("node", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary())])
+_SIGNED = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("hash", pa.int64()), ("check", pa.int64()), ("node", pa.int64()), ("twin", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary())])
 
 
 def token_sets(texts: list[bytes]) -> list[np.ndarray]:
     """Each text's distinct shingle hashes, ascending."""
     words, at = kernels.words_of(texts, kernels.SPACED_WORD)
-    grams = kernels.gram_hashes(words, SHINGLE)
+    grams = kernels.shingle_hashes(words, SHINGLE)
     out = []
     for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
         if b - a >= SHINGLE:
             own = np.sort(grams[a : b - SHINGLE + 1])
             out.append(own[np.concatenate([[True], own[1:] != own[:-1]])])
         else:
-            out.append(kernels.gram_hashes(words[a:b], b - a) if b > a else grams[:0])
+            out.append(kernels.shingle_hashes(words[a:b], b - a) if b > a else grams[:0])
     return out
 
 
-def node_of(tokens: np.ndarray) -> int | None:
-    """A set's 64-bit name; None for the empty set."""
-    return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True) if len(tokens) else None
+def names_of(tokens: np.ndarray) -> tuple[int | None, int | None]:
+    """A set's name of 128 bits in two halves; None for the empty set."""
+    if not len(tokens):
+        return None, None
+    digest = hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
+
+
+def node_of(tokens: np.ndarray, shared: frozenset[int] = frozenset()) -> int | None:
+    """The first half of a set's name, or the second where sets are known to share the first."""
+    node, twin = names_of(tokens)
+    return twin if node in shared else node
 
 
 def sketch_bits(n: int) -> int:
@@ -107,7 +118,7 @@ def folded(sketches: np.ndarray, words: int) -> np.ndarray:
     return sketches
 
 
-def _unseen(seen: set[int], name: int | None) -> bool:
+def _unseen(seen: set, name) -> bool:
     """Whether a task meets a name for the first time, or so long after the last that it has forgotten."""
     if name is None or name in seen:
         return False
@@ -124,17 +135,18 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def often() -> pa.RecordBatch:
         token, count = np.unique(np.concatenate(held), return_counts=True)
         token, count = token[count >= SEEN], count[count >= SEEN]
-        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(token), np.int32)), pa.nulls(len(token), pa.int64()), pa.nulls(len(token), pa.int64()), pa.array(token.view(np.int64)), pa.array(count.astype(np.int64)), pa.nulls(len(token), pa.binary())], schema=_SIGNED)
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(token), np.int32)), pa.nulls(len(token), pa.int64()), pa.nulls(len(token), pa.int64()), pa.nulls(len(token), pa.int64()), pa.array(token.view(np.int64)), pa.nulls(len(token), pa.int64()), pa.array(count.astype(np.int64)), pa.nulls(len(token), pa.binary())], schema=_SIGNED)
 
     for batch in batches:
         texts = utf8(batch.column("text"))
         for part in blocks(map(len, texts)):
             sets = token_sets(texts[part])
-            ids, hashes = (batch.column(c).slice(part.start, len(sets)) for c in ("doc_id", "hash"))
-            nodes, sketches = [node_of(s) for s in sets], []
-            for node, tokens in zip(nodes, sets):
-                sketches.append(sketch_of(tokens, sketch_bits(len(tokens))) if _unseen(seen, node) else None)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int32)), ids, hashes, pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sketches, pa.binary())], schema=_SIGNED)
+            ids, hashes, checks = (batch.column(c).slice(part.start, len(sets)) for c in ("doc_id", "hash", "check"))
+            names, sketches = [names_of(s) for s in sets], []
+            for name, tokens in zip(names, sets):
+                sketches.append(sketch_of(tokens, sketch_bits(len(tokens))) if _unseen(seen, None if name[0] is None else name) else None)
+            nodes, twins = zip(*names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int32)), ids, hashes, checks, pa.array(nodes, pa.int64()), pa.array(twins, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sketches, pa.binary())], schema=_SIGNED)
             held += sets
             size += sum(map(len, sets))
             if size >= COUNTED:
@@ -175,7 +187,7 @@ def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + counts, counts)
 
 
-def _index_rows(frequent, buckets: int):
+def _index_rows(frequent, buckets: int, shared: frozenset[int] = frozenset()):
     """Blobs of index rows for each bucket of tokens: 32 bits of the token, position and group; and the groups with name, size and members."""
 
     def emit(rows: list[tuple[np.ndarray, int, int]]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +228,7 @@ def _index_rows(frequent, buckets: int):
             for part in blocks(map(len, texts)):
                 for tokens in token_sets(texts[part]):
                     n = len(tokens)
-                    node = node_of(tokens)
+                    node = node_of(tokens, shared)
                     if _unseen(seen, node):
                         rows.append((ordered(tokens, frequent.value)[: prefix_length(n)], node, n))
                         held += prefix_length(n)
@@ -341,17 +353,17 @@ def _distinct(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, n
 
 
 def _texts(wanted):
-    """hash, packed: texts whose hash the map ``wanted`` may hold, compressed, once a task as a rule."""
+    """hash, check, packed: texts whose hash the map ``wanted`` may hold, compressed, once a task as a rule."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set = set()
         squeeze = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             place = batch.column("hash").to_numpy() & (len(wanted.value) * 8 - 1)
             held = pa.array((wanted.value[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1)
-            hashes, texts = batch.column("hash").filter(held).to_pylist(), utf8(batch.column("text").filter(held))
-            own = [i for i, h in enumerate(hashes) if _unseen(seen, h)]
-            yield pa.RecordBatch.from_pydict({"hash": pa.array([hashes[i] for i in own], pa.int64()), "packed": pa.array([squeeze(texts[i]) for i in own], pa.binary())})
+            hashes, checks, texts = batch.column("hash").filter(held).to_pylist(), batch.column("check").filter(held).to_pylist(), utf8(batch.column("text").filter(held))
+            own = [i for i, h in enumerate(zip(hashes, checks)) if _unseen(seen, h)]
+            yield pa.RecordBatch.from_pydict({"hash": pa.array([hashes[i] for i in own], pa.int64()), "check": pa.array([checks[i] for i in own], pa.int64()), "packed": pa.array([squeeze(texts[i]) for i in own], pa.binary())})
 
     return run
 
@@ -454,7 +466,7 @@ def ends_of(pairs: DataFrame) -> DataFrame:
 
 
 def texts_of(wanted: DataFrame, hashed: DataFrame) -> DataFrame:
-    """node, packed, n: a text of each node of ``wanted`` (node, hash), from ``hashed`` (hash, text).
+    """node, packed, n: a text of each node of ``wanted`` (node, hash, check), from ``hashed`` (hash, check, text).
 
     The map of the wanted hashes has WANTED_BITS bits whatever their number; it lets few others through, and the join decides.
     """
@@ -464,13 +476,13 @@ def texts_of(wanted: DataFrame, hashed: DataFrame) -> DataFrame:
     for part, own in zip(parts.column("part").to_pylist(), parts.column("bits").to_pylist()):
         bits[(part - 1) * len(own) : part * len(own)] = np.frombuffer(own, np.uint8)
     held = wanted.sparkSession.sparkContext.broadcast(bits)
-    texts = hashed.select("hash", "text").transform(mapped, _texts(held), "hash long, packed binary").hint("merge").join(wanted, "hash")
-    return stored(texts.groupBy("hash", "node").agg(F.min("packed").alias("packed")).select("node", "packed", F.lit(0).alias("n")), "texts")
+    texts = hashed.select("hash", "check", "text").transform(mapped, _texts(held), "hash long, check long, packed binary").hint("merge").join(wanted, ["hash", "check"])
+    return stored(texts.groupBy("hash", "check", "node").agg(F.min("packed").alias("packed")).select("node", "packed", F.lit(0).alias("n")), "texts")
 
 
 def verify(pairs: DataFrame, nodes: DataFrame, hashed: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes that link, decided on the whole sets. ``nodes`` has node and its first row."""
-    wanted = stored(ends_of(pairs).join(nodes.select("node", F.col("first.hash").alias("hash")).hint("merge"), "node"), "wanted")
+    wanted = stored(ends_of(pairs).join(nodes.select("node", F.col("first.hash").alias("hash"), F.col("first.check").alias("check")).hint("merge"), "node"), "wanted")
     texts = texts_of(wanted, hashed)
     met = both_sides(pairs, texts, "packed").select("a", "b", "x", "y")
     links = stored(met.transform(mapped, _linked, "a long, b long"), "links")
@@ -593,13 +605,26 @@ def classes(docs: DataFrame) -> DataFrame:
     return rows.union(signed.where("node IS NULL").select("doc_id", "n", F.col("doc_id").alias("component_id")))
 
 
+def shared_halves(named: DataFrame) -> frozenset[int]:
+    """First halves of names that sets with different second halves have; hardly any in a corpus of any size."""
+    halves = named.where("node IS NOT NULL").groupBy("node").agg(F.min("twin").alias("low"), F.max("twin").alias("high")).where("low <> high")
+    shared = frozenset(r["node"] for r in halves.limit(SHARED + 1).collect())
+    if len(shared) > SHARED:
+        raise ValueError("too many sets share half of their names")
+    return shared
+
+
 def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """doc_id, hash of the text, node and n of each row; and label and first row (smallest doc_id, null last) of each node."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    hashed = docs.withColumn("hash", F.xxhash64("text"))
-    made = stored(hashed.transform(mapped, _sign, "kind int, doc_id long, hash long, node long, n long, sketch binary"), "signed")
-    signed = made.where("kind = 0").select("doc_id", "hash", "node", "n")
+    hashed = docs.withColumn("hash", F.xxhash64("text")).withColumn("check", F.xxhash64(F.lit(1), "text"))
+    made = stored(hashed.transform(mapped, _sign, "kind int, doc_id long, hash long, check long, node long, twin long, n long, sketch binary"), "signed")
+    named = made.where("kind = 0")
+    shared = shared_halves(named)
+    if shared:
+        named = named.withColumn("node", F.when(F.col("node").isin(*shared), F.col("twin")).otherwise(F.col("node")))
+    signed = named.select("doc_id", "hash", "check", "node", "n")
     # At most FREQUENT tokens with their counts come to the driver and go to the tasks.
     often = made.where("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "node").limit(FREQUENT).toArrow()
     listed, times = np.asarray(often.column("node"), np.int64).view(np.uint64), np.asarray(often.column("n"), np.float64)
@@ -607,9 +632,9 @@ def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     frequent = spark.sparkContext.broadcast((listed[by], np.log2(times[by]).astype(np.int8)))
     tokens = signed.agg(F.sum("n")).first()[0] or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // (DENOMINATOR * INDEX_ROWS)))
-    index = docs.select("text").transform(mapped, _index_rows(frequent, tasks), _INDEX).repartitionById(tasks, F.col("bucket").cast("int"))
+    index = docs.select("text").transform(mapped, _index_rows(frequent, tasks, shared), _INDEX).repartitionById(tasks, F.col("bucket").cast("int"))
     found = stored(index.transform(mapped, _runs, _FOUND), "candidates")
-    nodes = stored(made.where("kind = 0 AND node IS NOT NULL").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "hash")).alias("first"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "nodes")
+    nodes = stored(named.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "hash", "check")).alias("first"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "nodes")
     pairs = near_pairs(found.where("kind = 0").select("a", "b").distinct(), nodes)
     runs = stored(found.where("kind = 1").select("run", "a", F.col("b").alias("grp"), "n").distinct(), "runs")
     links = verify(pairs, nodes, hashed)
@@ -634,10 +659,11 @@ def representatives(docs: DataFrame) -> DataFrame:
     their own, so those with null doc_id all stay.
     """
     signed, nodes = _labelled(docs)
-    first = nodes.groupBy("label").agg(F.min("first").alias("first")).select("first.doc_id", "first.hash", F.lit(False).alias("own"))
-    wordless = signed.where("node is null").select("doc_id", "hash", F.col("doc_id").isNull().alias("own")).distinct()
-    made = first.union(wordless).select(F.col("doc_id").alias("__corvane_id"), F.col("hash").alias("__corvane_hash"), "own").withColumnRenamed("own", "__corvane_own")
-    rows = docs.withColumn("__corvane_text", F.xxhash64(F.col("text").cast("string")))
-    named = rows.join(made, F.col("doc_id").cast("long").eqNullSafe(F.col("__corvane_id")) & (F.col("__corvane_text") == F.col("__corvane_hash")))
+    first = nodes.groupBy("label").agg(F.min("first").alias("first")).select("first.doc_id", "first.hash", "first.check", F.lit(False).alias("own"))
+    wordless = signed.where("node is null").select("doc_id", "hash", "check", F.col("doc_id").isNull().alias("own")).distinct()
+    made = first.union(wordless).select(F.col("doc_id").alias("__corvane_id"), F.col("hash").alias("__corvane_hash"), F.col("check").alias("__corvane_check"), "own").withColumnRenamed("own", "__corvane_own")
+    text = F.col("text").cast("string")
+    rows = docs.withColumn("__corvane_text", F.xxhash64(text)).withColumn("__corvane_second", F.xxhash64(F.lit(1), text))
+    named = rows.join(made, F.col("doc_id").cast("long").eqNullSafe(F.col("__corvane_id")) & (F.col("__corvane_text") == F.col("__corvane_hash")) & (F.col("__corvane_second") == F.col("__corvane_check")))
     named = named.withColumn("__corvane_row", F.when(F.col("__corvane_own"), F.monotonically_increasing_id()))
-    return named.dropDuplicates(["doc_id", "__corvane_text", "__corvane_row"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return named.dropDuplicates(["doc_id", "__corvane_text", "__corvane_second", "__corvane_row"]).select(*[F.col(f"`{c}`") for c in docs.columns])

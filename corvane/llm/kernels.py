@@ -67,16 +67,40 @@ def spans(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[0::2], edge[1::2]
 
 
-def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span's bytes, independent of where the span lies."""
-    n = len(buf)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(BYTE_VALUES[buf] * powers(BASE, n), out=total[1:])
-    return mix((total[ends] - total[starts]) * powers(BASE_INVERSE, n + 1)[starts] + (ends - starts).astype(np.uint64))
+#: What of the last eight bytes of a span counts.
+_TAIL = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+
+
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each span's bytes, independent of where the span lies.
+
+    Eight bytes at a time go through a mixer that isn't linear, so that spans of one pattern don't collide.
+    """
+    size = np.asarray(ends - starts, np.int64)
+    lanes = np.ndarray((len(buf) + 1,), "<u8", np.concatenate([buf, np.zeros(8, np.uint8)]), strides=(1,))
+    out = mix(size.astype(np.uint64) * BASE + np.uint64(seed))
+    live, at, left = np.arange(len(size)), np.asarray(starts, np.int64), size
+    while len(live):
+        lane = lanes[at] & _TAIL[np.minimum(left, 8)]
+        out[live] = mix(out[live] * BASE ^ mix(lane + BASE))
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    return out
+
+
+def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each k consecutive word hashes, mixed word by word; empty if there are fewer."""
+    n = len(words) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out = np.full(n, k, np.uint64)
+    for j in range(k):
+        out = mix(out * BASE ^ words[j : j + n])
+    return out
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
-    """A hash of each k consecutive word hashes; empty if there are fewer."""
+    """A rolling (polynomial) hash of each k consecutive values; empty if there are fewer. It only says where to cut."""
     n = len(words) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)

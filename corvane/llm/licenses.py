@@ -8,8 +8,11 @@ template the matches are chained in order of both text and template, so that a
 chain covers as many words as can be (dynamic programming, not greedily), into
 covered spans, and a template whose chain covers enough of it gives a label.
 
-Defined results: null and empty texts have no words, no label and score 0;
-repeated rows are documents of their own; other columns are ignored; texts of
+A run that one template holds doesn't hide a shorter one of another: each
+template's longest match is noted at every place, down the suffix links.
+
+Defined results: null and empty texts have no words, no label and score 0; an
+empty table gives no rows; repeated rows are documents of their own; other columns are ignored; texts of
 any length are streamed whole.
 """
 
@@ -181,8 +184,8 @@ def chained(matches: list[tuple[int, int, int]], gap: int) -> tuple[list[int], l
 
 
 class Scanner:
-    def __init__(self, least: int = LEAST, covered: float = COVERED, gap: int = GAP):
-        self.automaton = Automaton(TEMPLATES, PHRASES)
+    def __init__(self, least: int = LEAST, covered: float = COVERED, gap: int = GAP, templates: tuple[tuple[str, tuple[str, ...]], ...] | None = None):
+        self.automaton = Automaton(TEMPLATES if templates is None else dict(templates), PHRASES)
         self.least, self.covered, self.gap = least, covered, gap
 
     def scan(self, text: bytes) -> dict:
@@ -209,16 +212,24 @@ class Scanner:
         return {"n_words": n, "places": sorted(places), "spans": sorted(spans, key=lambda s: (s[1], s[2], s[0]))}
 
     def _run(self, numbers: list[int], base: int, places: list, matches: dict) -> None:
-        """Stream a run of known words; note phrases and the matches that are not part of longer ones."""
-        stats = self.automaton.statistics(numbers)
-        phrases = self.automaton.phrases
-        for i, (state, held) in enumerate(stats):
-            for phrase, size in phrases[state]:
+        """Stream a run of known words; note phrases, and for each template the matches that neither side extends."""
+        automaton, least = self.automaton, self.least
+        held_before: dict[tuple[int, int], int] = {}
+        for i, (state, held) in enumerate([*automaton.statistics(numbers), (0, 0)]):
+            for phrase, size in automaton.phrases[state]:
                 if size <= held:
                     places.append((base + i + 1 - size, phrase))
-            if held >= self.least and (i + 1 == len(stats) or stats[i + 1][1] <= held):
-                for template, end in self.automaton.ends[state]:
-                    matches.setdefault(template, []).append((base + i + 1 - held, end - held, held))
+            # The longest run ending here for each place of a template: those of the state, then of its suffixes.
+            ending: dict[tuple[int, int], int] = {}
+            while state and held >= least:
+                for place in automaton.ends[state]:
+                    ending.setdefault(place, held)
+                state = automaton.link[state]
+                held = automaton.length[state]
+            for (template, end), size in held_before.items():
+                if (template, end + 1) not in ending:
+                    matches.setdefault(template, []).append((base + i - size, end - size, size))
+            held_before = ending
 
     def _chains(self, template: int, found: list[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
         """Chains of matches (text start, template start, words) that cover the most, best first and apart in the text."""
@@ -269,14 +280,13 @@ class Scanner:
         return {k: pa.array(c, t) for (k, t), c in zip(kinds.items(), columns)}
 
 
-def _digest(texts: list[bytes]) -> dict[str, pa.Array]:
-    return Lazy(Scanner).get().digest(texts)
-
-
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans (label, start, end, share).
 
-    score is 1 where a base phrase stands, else the largest covered share of a template.
+    score is 1 where a base phrase stands, else the largest covered share of a template. ``templates`` are whole
+    licences or notices by label, in place of ``TEMPLATES``; they go to all tasks, each of which makes one automaton.
     """
+    own = None if templates is None else tuple((label, tuple(texts)) for label, texts in templates.items())
+    scanner = Lazy(Scanner, LEAST, COVERED, GAP, own)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.transform(mapped, by_block(_digest), "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,start:long,end:long,share:double>>")
+    return source.transform(mapped, by_block(lambda texts: scanner.get().digest(texts)), "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,start:long,end:long,share:double>>")

@@ -130,8 +130,8 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = utf8(batch.column("text"))
         for part in blocks(map(len, texts)):
             row, cell = features(texts[part])
-            cells = np.split(cell, np.searchsorted(row, np.arange(1, part.stop - part.start)))
-            yield pa.RecordBatch.from_pydict({"grade": batch.column("grade").slice(part.start, part.stop - part.start), "cells": pa.array([c.tolist() for c in cells], pa.list_(pa.int32()))})
+            cells = np.split(cell.astype(np.int32), np.searchsorted(row, np.arange(1, part.stop - part.start)))
+            yield pa.RecordBatch.from_pydict({"grade": batch.column("grade").slice(part.start, part.stop - part.start), "cells": pa.array([c.tobytes() for c in cells], pa.binary())})
 
 
 def fit(docs: DataFrame, ratings: DataFrame, n_grades: int, sample: int = SAMPLE) -> Model:
@@ -142,15 +142,18 @@ def fit(docs: DataFrame, ratings: DataFrame, n_grades: int, sample: int = SAMPLE
         return Model(np.zeros(1 << BITS, np.float32), np.zeros(0))
     below = int(min(1.0, 2 * sample / total) * (2**53 - 1))
     # Twice as many as wanted by rate, then exactly so many by rank; bounded by the sample's size, so it may be broadcast.
+    # Ids may repeat in ``docs``, so what the join gives is ranked and cut again.
     draw = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("quality")), 11)
     picked = rated.where(draw <= below).orderBy(draw, "doc_id", "grade").limit(sample)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select("grade", "text").transform(mapped, _sampled, "grade int, cells array<int>").collect()
+    met = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
+    met = met.orderBy(draw, "doc_id", "grade", F.xxhash64("text")).limit(sample)
+    rows = met.select("grade", "text").transform(mapped, _sampled, "grade int, cells binary").collect()
     rows.sort(key=lambda r: (r["grade"], r["cells"]))
     if not rows:
         return Model(np.zeros(1 << BITS, np.float32), np.zeros(0))
     grade = np.clip(np.array([r["grade"] for r in rows]), 0, n_grades - 1)
-    row = np.repeat(np.arange(len(rows)), [len(r["cells"]) for r in rows])
-    return fit_rows(row, np.concatenate([np.array(r["cells"], np.int64) for r in rows]), grade, n_grades)
+    cells = [np.frombuffer(r["cells"], np.int32).astype(np.int64) for r in rows]
+    return fit_rows(np.repeat(np.arange(len(rows)), [len(c) for c in cells]), np.concatenate(cells), grade, n_grades)
 
 
 def score(docs: DataFrame, model: Model, select: float = SELECT) -> DataFrame:

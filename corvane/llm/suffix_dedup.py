@@ -20,7 +20,7 @@ else is found and cut, in four steps.
    several shards; their windows' sorted fingerprints are then merged by binary
    search, each shard's within the others'.
 
-Texts are named by 64-bit hashes. Texts that occur twice or more are repeated
+Texts are named by 128-bit hashes. Texts that occur twice or more are repeated
 as a whole and are only partners of others.
 
 Defined results: null is the empty text; texts under LENGTH bytes keep all;
@@ -52,8 +52,9 @@ HOT_HASHES = 100_000
 BLOCK = 1 << 20
 
 
-def name_of(text: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
+def name_of(text: bytes) -> bytes:
+    """128 bits, so that no two texts of any corpus share them."""
+    return hashlib.blake2b(text, digest_size=16).digest()
 
 
 def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
@@ -94,15 +95,15 @@ def _anchors(buf: np.ndarray, base: int, starts: np.ndarray, length: int, gram:
     return own, hashes[at[new]].view(np.int64), first[whole[new]] - starts[own], first[whole[last]] - starts[own]
 
 
-_SCANNED = "kind int, doc_id long, name long, n long, sha binary, bucket long, hash binary, owner binary, first binary, last binary"
+_SCANNED = "kind int, doc_id long, name binary, n long, sha binary, bucket long, hash binary, owner binary, first binary, last binary"
 
 
 def _scan(buckets: int, length: int, gram: int):
     """Kind 0: a row a document. Kind 1: anchors settled here (hash, first, last of one text). Kind 2: anchors for a bucket."""
-    schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("name", pa.int64()), ("n", pa.int64()), ("sha", pa.binary()), ("bucket", pa.int64()), ("hash", pa.binary()), ("owner", pa.binary()), ("first", pa.binary()), ("last", pa.binary())])
+    schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("name", pa.binary()), ("n", pa.int64()), ("sha", pa.binary()), ("bucket", pa.int64()), ("hash", pa.binary()), ("owner", pa.binary()), ("first", pa.binary()), ("last", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         for batch in batches:
             texts, ids = utf8(batch.column("text")), batch.column("doc_id").to_pylist()
             for part in blocks(map(len, texts), BLOCK):
@@ -117,12 +118,17 @@ def _scan(buckets: int, length: int, gram: int):
                         names.append(name)
                         fresh.append(t)
                 if fresh:
-                    rows += _dealt(np.array(names, np.int64), *anchors(fresh, length, gram), buckets)
+                    rows += _dealt(_owners(b"".join(names)), *anchors(fresh, length, gram), buckets)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     return run
 
 
+def _owners(names: bytes) -> np.ndarray:
+    """Names as rows of two numbers."""
+    return np.frombuffer(names, np.int64).reshape(-1, 2)
+
+
 def _dealt(names: np.ndarray, text, hashes, first, last, buckets: int) -> list[tuple]:
     rows = []
     by = np.argsort(hashes, kind="stable")
@@ -134,7 +140,7 @@ def _dealt(names: np.ndarray, text, hashes, first, last, buckets: int) -> list[t
     own = np.flatnonzero(twice)
     own = own[np.argsort(text[own], kind="stable")]
     for part in np.split(own, np.flatnonzero(np.diff(text[own])) + 1) if len(own) else []:
-        rows.append((1, None, int(names[text[part[0]]]), None, None, None, hashes[part].tobytes(), None, first[part].tobytes(), last[part].tobytes()))
+        rows.append((1, None, names[text[part[0]]].tobytes(), None, None, None, hashes[part].tobytes(), None, first[part].tobytes(), last[part].tobytes()))
     # One place of each hash goes on; a last window below 0 marks a hash that is settled.
     one = np.flatnonzero(new)
     mark = np.where(twice[one], -1 - last[one], last[one]).astype(np.int32)
@@ -149,38 +155,38 @@ def _dealt(names: np.ndarray, text, hashes, first, last, buckets: int) -> list[t
     return rows
 
 
-_ANCHORS = "name long, hash binary, first binary, last binary"
+_ANCHORS = "name binary, hash binary, first binary, last binary"
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Anchors of a task's buckets whose hash stands at two places or more, by text."""
-    parts = [(np.frombuffer(r["hash"], np.int64), np.frombuffer(r["owner"], np.int64), np.frombuffer(r["first"], np.int32), np.frombuffer(r["last"], np.int32)) for batch in batches for r in batch.select(["hash", "owner", "first", "last"]).to_pylist()]
+    parts = [(np.frombuffer(r["hash"], np.int64), _owners(r["owner"]), np.frombuffer(r["first"], np.int32), np.frombuffer(r["last"], np.int32)) for batch in batches for r in batch.select(["hash", "owner", "first", "last"]).to_pylist()]
     if not parts:
         return
     hashes, owner, first, mark = (np.concatenate([p[i] for p in parts]) for i in range(4))
     del parts
     settled = mark < 0
     last = np.where(settled, -1 - mark, mark)
-    by = np.lexsort((first, owner, hashes))
+    by = np.lexsort((first, owner[:, 1], owner[:, 0], hashes))
     hashes, owner, first, last, settled = hashes[by], owner[by], first[by], last[by], settled[by]
     run = np.cumsum(np.concatenate([[True], hashes[1:] != hashes[:-1]])) - 1
-    place = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1]) | (first[1:] != first[:-1])])
+    place = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1]).any(1) | (first[1:] != first[:-1])])
     places = np.bincount(run, weights=place)
     keep = place & ((places[run] > 1) | (np.bincount(run, weights=settled)[run] > 0))
     hashes, owner, first, last = hashes[keep], owner[keep], first[keep], last[keep]
-    by = np.argsort(owner, kind="stable")
+    by = np.lexsort((owner[:, 1], owner[:, 0]))
     hashes, owner, first, last = hashes[by], owner[by], first[by], last[by]
-    cut = np.append(np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else [], len(owner)).astype(np.int64)
+    cut = np.append(np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]).any(1)])) if len(owner) else [], len(owner)).astype(np.int64)
     for k in range(0, len(cut) - 1, 5000):
         spans = [slice(a, b) for a, b in zip(cut[k : k + 5000].tolist(), cut[k + 1 : k + 5001].tolist())]
-        yield pa.RecordBatch.from_arrays([pa.array([int(owner[s.start]) for s in spans], pa.int64()), *(pa.array([x[s].tobytes() for s in spans], pa.binary()) for x in (hashes, first, last))], names=["name", "hash", "first", "last"])
+        yield pa.RecordBatch.from_arrays([pa.array([owner[s.start].tobytes() for s in spans], pa.binary()), *(pa.array([x[s].tobytes() for s in spans], pa.binary()) for x in (hashes, first, last))], names=["name", "hash", "first", "last"])
 
 
 def _texts(length: int):
     """name, raw: each text of at least ``length`` bytes, once a task as a rule."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         for batch in batches:
             names, kept = [], []
             for t in utf8(batch.column("text")):
@@ -190,20 +196,20 @@ def _texts(length: int):
                     seen.add(name)
                     names.append(name)
                     kept.append(t)
-            yield pa.RecordBatch.from_pydict({"name": pa.array(names, pa.int64()), "raw": pa.array(kept, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"name": pa.array(names, pa.binary()), "raw": pa.array(kept, pa.binary())})
 
     return run
 
 
-_CONTEXTS = "kind int, name long, hash long, context binary, bytes binary, weight long, first int"
-_CONTEXT_SCHEMA = pa.schema([("kind", pa.int32()), ("name", pa.int64()), ("hash", pa.int64()), ("context", pa.binary()), ("bytes", pa.binary()), ("weight", pa.int64()), ("first", pa.int32())])
+_CONTEXTS = "kind int, name binary, hash long, context binary, bytes binary, weight long, first int"
+_CONTEXT_SCHEMA = pa.schema([("kind", pa.int32()), ("name", pa.binary()), ("hash", pa.int64()), ("context", pa.binary()), ("bytes", pa.binary()), ("weight", pa.int64()), ("first", pa.int32())])
 
 
 def _contexts(length: int):
     """Kind 0: a context with the weight it has in this stretch. Kind 1: a place of a context. Kind 2: a text (bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         held: dict[bytes, list] = {}
         size = 0
 
@@ -217,9 +223,12 @@ def _contexts(length: int):
                 rows = []
                 more = [batch.column(c)[part.start : part.stop].to_pylist() for c in ("name", "copies", "parts")]
                 for raw, name, copies, parts in zip(raws[part], *more):
-                    if name in seen:  # dealt from several tasks
-                        continue
-                    seen.add(name)
+                    if copies > 1:  # dealt from several tasks; once is enough, and more does no harm
+                        if name in seen:
+                            continue
+                        if len(seen) >= 500_000:
+                            seen.clear()
+                        seen.add(name)
                     rows.append((2, name, None, None, raw, copies, None))
                     found = set()
                     for p in parts:
@@ -476,7 +485,7 @@ def find(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: i
     copies = rows.groupBy("name").agg(F.count("*").alias("copies"))
     dealt = scanned.where("kind = 2").select("bucket", "hash", "owner", "first", "last").repartition(tasks, "bucket").transform(mapped, _repeated, _ANCHORS)
     found = scanned.where("kind = 1").select("name", "hash", "first", "last").union(dealt).groupBy("name").agg(F.collect_list(F.struct("hash", "first", "last")).alias("parts")).join(copies, "name")
-    made = stored(docs.select("text").transform(mapped, _texts(length), "name long, raw binary").join(found, "name").transform(mapped, _contexts(length), _CONTEXTS), "contexts")
+    made = stored(docs.select("text").transform(mapped, _texts(length), "name binary, raw binary").join(found, "name").transform(mapped, _contexts(length), _CONTEXTS), "contexts")
     contexts = made.where("kind = 0").select("hash", "context", "bytes", "weight")
     # Only hashes with more contexts than a shard holds are salted. They go to all tasks if they are few; beyond that
     # it is a join on the hash, whose skewed side Spark may split.
@@ -488,7 +497,7 @@ def find(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: i
     spans = verdicts.where("kind = 0").select("context", "spans").union(across)
     places = made.where("kind = 1").select("name", "context", "first").join(spans, "context")
     by_text = places.groupBy("name").agg(F.collect_list(F.struct("first", "spans")).alias("found"))
-    cut = made.where("kind = 2 and weight < 2").select("name", F.col("bytes").alias("raw")).join(by_text, "name").transform(mapped, _cut, "name long, n_removed long, n_spans long, kept binary, spans array<struct<s:int,e:int>>")
+    cut = made.where("kind = 2 and weight < 2").select("name", F.col("bytes").alias("raw")).join(by_text, "name").transform(mapped, _cut, "name binary, n_removed long, n_spans long, kept binary, spans array<struct<s:int,e:int>>")
     whole = (F.col("copies") > 1) & (F.col("n") >= length)
     out = rows.join(copies, "name").join(cut, "name", "left")
     return out.select(

@@ -24,6 +24,8 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Distinct pre-tokens kept; beyond it the table starts anew, which only costs time.
 KEPT_WORDS = 400_000
 
+SECOND = 0x5851F42D4C957F2D
+
 # Classes of bytes: 0 space, 1 letter, 2 digit, 3 symbol, 4 not for the vectorised path.
 _CLASS = np.full(256, 4, np.uint8)
 _CLASS[[9, 10, 13, 32]] = 0
@@ -67,6 +69,7 @@ class Encoder:
     def _reset(self) -> None:
         self.keys = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]  # sorted: all but the newest, the newest
         self.at = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        self.checks = np.zeros(0, np.uint64)  # a second hash of each word: a hit must agree in both
         self.offset = np.zeros(1, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
@@ -103,16 +106,20 @@ class Encoder:
         buf, starts = kernels.concatenated(texts)
         buf = _LOW[buf]
         s, e = _pieces(buf)
-        h = kernels.span_hashes(buf, s, e)
+        h, second = kernels.span_hashes(buf, s, e), kernels.span_hashes(buf, s, e, SECOND)
         unique, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+        if (second != second[first][inverse]).any():  # words that share one hash only
+            return self._by_library(texts)
         if len(self.offset) > KEPT_WORDS:
             self._reset()
         entry = self._find(unique)
         missing = np.flatnonzero(entry < 0)
         if len(missing):
             raw = buf.tobytes()
-            self._learn(unique[missing], [raw[s[i] : e[i]].decode("utf-8") for i in first[missing]])
+            self._learn(unique[missing], second[first[missing]], [raw[s[i] : e[i]].decode("utf-8") for i in first[missing]])
             entry = self._find(unique)
+        if (self.checks[entry] != second[first]).any():
+            return self._by_library(texts)
         entry = entry[inverse]
         begin = self.offset[entry]
         length = self.offset[entry + 1] - begin
@@ -130,7 +137,7 @@ class Encoder:
                 out[hit] = at[i[hit]]
         return out
 
-    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+    def _learn(self, keys: np.ndarray, checks: np.ndarray, words: list[str]) -> None:
         """Encode new pre-tokens; every one ends with the one id that has the word's end."""
         lines = [" ".join(words[i : i + 50]) for i in range(0, len(words), 50)]
         ids = np.concatenate([np.array(x.ids, np.uint32) for x in self.words.encode_batch_fast(lines, add_special_tokens=False)])
@@ -140,6 +147,7 @@ class Encoder:
         base, n = self.offset[-1], len(self.offset) - 1
         self.offset = np.concatenate([self.offset, base + ends])
         self.ids = np.concatenate([self.ids, ids])
+        self.checks = np.concatenate([self.checks, checks])
         new_keys = np.concatenate([self.keys[1], keys])
         new_at = np.concatenate([self.at[1], np.arange(n, n + len(words))])
         if len(new_keys) > max(50_000, len(self.keys[0]) // 4):

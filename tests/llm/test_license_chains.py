@@ -56,3 +56,48 @@ def test_many_copies_end_soon():
     scanner = licenses.Scanner()
     text = " ".join([licenses.TEMPLATES["mit"][0]] * 2000)
     assert len(scanner.scan(text.encode())["spans"]) == 2000
+
+
+def maximal_matches(text, sequence, least):
+    """(text start, template start, words) of all runs that neither side extends, by trying all pairs."""
+    out = []
+    for i, j in itertools.product(range(len(text)), range(len(sequence))):
+        if text[i] == sequence[j] and not (i and j and text[i - 1] == sequence[j - 1]):
+            n = 0
+            while i + n < len(text) and j + n < len(sequence) and text[i + n] == sequence[j + n]:
+                n += 1
+            if n >= least:
+                out.append((i, j, n))
+    return sorted(out)
+
+
+def test_each_template_has_all_its_matches():
+    rng = random.Random(8)
+    for _ in range(150):
+        vocabulary = ["w%d" % i for i in range(rng.randint(2, 5))]
+        line = lambda most: [rng.choice(vocabulary) for _ in range(rng.randint(1, most))]
+        templates = [line(14) for _ in range(rng.randint(1, 5))]
+        scanner = licenses.Scanner(least=3, templates=(("x", tuple(map(" ".join, templates))),))
+        text = line(40)
+        if rng.random() < 0.5:
+            text[len(text) // 2 : len(text) // 2] = rng.choice(templates)
+        own = [w.encode() for w in text]
+        found = {}
+        numbers = [scanner.automaton.number.get(w, 0) for w in own]
+        if all(numbers):
+            scanner._run(numbers, 0, [], found)
+            for t, sequence in enumerate(templates):
+                assert sorted(found.get(t, [])) == maximal_matches(text, sequence, 3)
+
+
+def test_a_longer_run_of_another_template_hides_nothing():
+    words = ["one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen"]
+    scanner = licenses.Scanner(templates=(("short", (" ".join(words),)), ("long", (" ".join(["zero", *words[:12], "other"]),))))
+    got = scanner.scan(" ".join(["zero", *words[:12]]).encode())
+    assert {s[0] for s in got["spans"]} == {"short", "long"}
+
+
+def test_templates_are_data(spark):
+    df = spark.createDataFrame([(1, "you may use this freely for any good purpose at all"), (2, "MIT license")], "doc_id long, text string")
+    rows = {r.doc_id: r for r in licenses.scan(df, {"own": ["You may use this freely, for any good purpose at all."]}).collect()}
+    assert rows[1].labels == "own" and rows[1].score == 1.0 and rows[2].labels == "mit"
