@@ -1,14 +1,20 @@
 """Secret scans: fixed patterns, and character Markov models for what they miss.
 
 Two first-order Markov models over characters, one of random strings and
-one of ordinary identifiers, are trained from labelled samples. A candidate
+one of ordinary identifiers and words, are trained from labelled samples: keys as
+generators make them; identifiers, and with ``fit`` words of the corpus in all its
+languages, from a bounded sample of its texts. A candidate
 token is a secret if its log-likelihood ratio per character is above a
 threshold. Candidates are runs of ``[A-Za-z0-9+/_=-]`` of 20 characters or more, of any
 length; of a run that is not a secret as a whole, its parts between ``/`` and ``=`` and all
 its windows of 20 characters are candidates. Base spans are cut out of a run; what is left of
 it is scored for itself, beside an access key or a hex string also if it is shorter.
 
-Defined results: null and empty texts have no spans; repeated rows are
+Not secrets by themselves are runs of digits only (numbers, unless a key is assigned
+them), UUIDs (identifiers), and runs of one character or of the alphabet.
+
+Defined results: null and empty texts have no spans; an empty table gives no rows, and
+nothing is learned from it; repeated rows are
 documents of their own; other columns are ignored; texts of any length are
 scanned whole; positions are code points, ends exclusive. ``redact`` leaves a column
 ``n_chars`` that holds no numbers as it is.
@@ -26,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Lazy, by_block, mapped
+from .common import by_block, mapped
 from .decontam import merged
 
 # The base patterns and the least lengths.
@@ -41,6 +47,9 @@ _ASSIGN_HINTS = ("passw", "secret", "token", "key")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 PART = re.compile(r"[A-Za-z0-9+_-]{20,}")
 WINDOW = 20
+UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
+#: Texts that words are learned from, and words of each, at most.
+TEXTS, TEXT_WORDS = 1024, 64
 #: Log-likelihood ratio per character (nats) from which a candidate is a secret.
 THRESHOLD = 0.35
 
@@ -102,6 +111,7 @@ class Markov:
         # Neither kind of sample repeats one character, so that repeats (rules, padding) speak for neither.
         same = np.arange(len(ALPHABET))
         self.ratio[same, same] = np.minimum(self.ratio[same, same], 0)
+        self.ratio[same[:-1], same[1:]] = np.minimum(self.ratio[same[:-1], same[1:]], 0)  # so do alphabets
 
     def _fit(self, samples: list[str], smoothing: float) -> np.ndarray:
         n = len(ALPHABET)
@@ -141,6 +151,8 @@ class Scanner:
 
     def parts(self, token: str) -> list[tuple[int, int]]:
         """Where a candidate run is a secret: all of it, or the parts and windows that are, joined where they meet."""
+        if token.isdigit() or UUID.fullmatch(token):
+            return []
         if self.model.score(token) >= self.threshold:
             return [(0, len(token))]
         found = [m.span() for m in PART.finditer(token) if self.model.score(m.group()) >= self.threshold]
@@ -198,29 +210,42 @@ def _line(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
 
-def _digest(texts: list[bytes]) -> dict[str, pa.Array]:
-    return Lazy(Scanner).get().digest(texts)
+def fit(docs: DataFrame, texts: int = TEXTS) -> Scanner:
+    """A scanner that knows words of ``docs``: of ``texts`` texts at most, drawn by hash, TEXT_WORDS letters-only words each.
+
+    Runs long enough to be candidates are not learned from.
+    """
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+    n = source.count()
+    draw = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11)
+    some = source.where(draw <= int(min(1.0, 2 * texts / max(1, n)) * (2**53 - 1)))
+    words = F.array_distinct(F.regexp_extract_all("text", F.lit(f"(?<![A-Za-z0-9+/_=-])([A-Za-z]{{5,{WINDOW - 1}}})(?![A-Za-z0-9+/_=-])"), F.lit(1)))
+    picked = some.select(draw.alias("draw"), F.slice(F.array_sort(F.transform(words, lambda w: F.struct(F.xxhash64(w).alias("h"), w.alias("w")))), 1, TEXT_WORDS)["w"].alias("words"))
+    rows = picked.orderBy("draw", F.array_join("words", " ")).limit(texts).collect()
+    return Scanner(extra_ordinary=tuple(sorted({w for r in rows for w in r["words"]})))
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
+def scan(docs: DataFrame, scanner: Scanner | None = None) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, by ``scanner`` or one that knows identifiers only."""
+    held = docs.sparkSession.sparkContext.broadcast(Scanner() if scanner is None else scanner)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.transform(mapped, by_block(_digest), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return source.transform(mapped, by_block(lambda texts: held.value.digest(texts)), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def _numeric(kind: pa.DataType) -> bool:
     return pa.types.is_integer(kind) or pa.types.is_floating(kind)
 
 
-def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
+def redact(docs: DataFrame, mark: str = "[secret]", scanner: Scanner | None = None) -> DataFrame:
     """``docs`` with secrets replaced in ``text`` (and ``n_chars``, if there, where the text changes); null stays null."""
 
+    held = docs.sparkSession.sparkContext.broadcast(Scanner() if scanner is None else scanner)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Lazy(Scanner).get()
         for batch in batches:
             names = batch.schema.names
             old = batch.column("text").to_pylist()
-            new = [t if t is None else scanner.redacted(t, mark) for t in old]
+            new = [t if t is None else held.value.redacted(t, mark) for t in old]
             columns = {"text": new}
             if "n_chars" in names and _numeric(batch.column("n_chars").type):
                 columns["n_chars"] = [n if a == b else len(b) for n, a, b in zip(batch.column("n_chars").to_pylist(), old, new)]

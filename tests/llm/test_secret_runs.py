@@ -59,3 +59,30 @@ def test_what_base_spans_leave(scanner):
     assert covered(scanner, text, 2, 2 + 30) and covered(scanner, text, text.index(second), text.index(second) + 30) and covered(scanner, text, len(text) - 30, len(text))
     assert [k for k, _, _ in scanner.spans("commit-" + "0123456789abcdef" * 2)[1]] == ["hex"]
     assert "markov" not in {k for k, _, _ in scanner.spans("request_handler/request_session/token=abcdef")[1]}
+
+
+# Words and keys that no generator of the library made.
+COMPOUNDS = """Bundesausbildungsfoerderungsgesetz Donaudampfschifffahrtsgesellschaft Freundschaftsbeziehungen Wirtschaftspruefungsgesellschaft
+Geschwindigkeitsbegrenzung Rechtsschutzversicherungsgesellschaften Arbeitsunfaehigkeitsbescheinigung Verantwortungsbewusstsein
+Betaeubungsmittelverordnung Naturwissenschaftlerinnen Lebensmittelunvertraeglichkeit Zusammengehoerigkeitsgefuehl Datenschutzgrundverordnung
+Unabhaengigkeitserklaerung anticonstitutionnellement internationalisation electroencefalografista desproporcionadamente
+interdisciplinariedad contrarrevolucionario electroencephalographically counterrevolutionaries uncharacteristically""".split()
+KEYS = ["wJalrXUtnFEMIK7MDENGbPxRfiCYEXAMPLEKEY", "xvqzkwjptmbgrdylhfcnsuaoei", "JBSWY3DPEHPK3PXPKRUGS4ZANFZSAYJA", "Zx81-kQp_02mLrTvYw93BnHd", "9f8Kd2LmQ0pXz7RtVbN4sWcY", "bXlzdXBlcnNlY3JldHZhbHVlMTIzNDU2"]
+
+
+def test_words_of_the_corpus_are_ordinary(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    scanner = secret_scan.fit(docs)
+    assert sum(bool(scanner.parts(w)) for w in COMPOUNDS) <= len(COMPOUNDS) // 10
+    assert all(scanner.parts(k) for k in KEYS)
+    for plain in ("123e4567-e89b-42d3-a456-426614174000", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "12345678901234567890", "48151623428151623427", "a" * 40):
+        assert not scanner.parts(plain), plain
+    assert scanner.spans("token=12345678901234567890")[1] == [("assign", 0, 26)]
+
+
+def test_nothing_to_learn_from(spark):
+    docs = spark.createDataFrame([(1, None), (None, ""), (2, "x")], "doc_id long, text string")
+    for df in (docs, docs.where("doc_id = 9")):
+        scanner = secret_scan.fit(df)
+        assert scanner.parts(KEYS[0]) and secret_scan.scan(df, scanner).count() == df.count()
+    assert len(secret_scan.fit(spark.range(30).selectExpr("id AS doc_id", "'certain repeated words' AS text"), texts=5).model.ratio) == len(secret_scan.ALPHABET) + 1
