@@ -74,8 +74,8 @@ class Engine:
     def dataset(self, setup: str) -> DataFrame:
         """The rows of a setup's file, numbered from 0 in file order; read and numbered on the first call, until ``forget``."""
         if (setup,) not in self._tables:
-            df = readers.read_dataset(self.spark, self.setups[setup]["dataset"], self.data_dir)
-            self._tables[(setup,)] = sampling.with_row_index(df.withColumn("__at", F.monotonically_increasing_id()), "__at").drop("__at")
+            df = readers.read_ordered(self.spark, self.setups[setup]["dataset"], self.data_dir)
+            self._tables[(setup,)] = sampling.with_row_index(df, "__order").drop("__order")
         return self._tables[(setup,)]
 
     def forget(self) -> None:

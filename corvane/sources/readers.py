@@ -18,14 +18,15 @@ FORMAT_KEYS = {"csv_file": "csv", "parquet_file": "parquet", "json_file": "json"
 MISSING = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, na_as_null: bool = True, multi_line: bool = True, in_splits: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, na_as_null: bool = True, multi_line: bool = True, in_splits: bool = True, order: str | None = None) -> DataFrame:
     """Quoted fields may hold newlines and doubled quotes; blank cells and the usual marks of missing cells are null.
 
     Large files are read by a task for each split, wherever their fields have newlines. ``in_splits=False`` reads each file
     by one task with Spark's own reader; ``multi_line=False`` too, in splits, for files without newlines in fields.
+    ``order`` names a further column by which rows read in splits are in the order of the files.
     """
     if multi_line and in_splits:
-        df = split_csv.read(spark, path, schema)
+        df = split_csv.read(spark, path, schema, order=order)
     else:
         reader = spark.read.options(header=True, multiLine=multi_line, quote='"', escape='"', emptyValue="", nullValue="", inferSchema=schema is None)
         df = reader.schema(schema).csv(path) if schema else reader.csv(path)
@@ -85,6 +86,16 @@ def read_dataset(spark: SparkSession, dataset: dict, root: str = "") -> DataFram
     return READERS[kind](spark, path)
 
 
+def read_ordered(spark: SparkSession, dataset: dict, root: str = "", order: str = "__order") -> DataFrame:
+    """The dataset with a column by which rows are in the order of the files, however these are split among tasks."""
+    kind, path = dataset_file(dataset, root)
+    if kind == "csv":
+        return read_csv(spark, path, order=order)
+    df = READERS[kind](spark, path)
+    place = ["_metadata.row_index"] if kind == "parquet" else ["_metadata.file_block_start", F.monotonically_increasing_id()]
+    return df.select("*", F.struct("_metadata.file_path", *[p.alias("at") if not isinstance(p, str) else p for p in place]).alias(order))
+
+
 def in_chunks(df: DataFrame, rows: int = 10_000) -> DataFrame:
     """``df`` with its partitions cut to about so many rows, for sources that hand out large ones."""
     return df.repartition(max(1, -(-df.count() // rows)))

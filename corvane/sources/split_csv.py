@@ -99,34 +99,34 @@ def _ends(sep: str):
     return run
 
 
-_RECORDS = "kind int, file long, split long, value string"
+_RECORDS = "kind int, file long, split long, at long, value string"
 
 
 def _records(sep: str):
     """Kind 0 and 1: a split's fragments; 2: a record; 3: the first record of a file."""
-    schema = pa.schema([("kind", pa.int32()), ("file", pa.int64()), ("split", pa.int64()), ("value", pa.string())])
+    schema = pa.schema([("kind", pa.int32()), ("file", pa.int64()), ("split", pa.int64()), ("at", pa.int64()), ("value", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, made, rows, first = None, None, [], False
+        now, made, rows, first, at = None, None, [], False, 0
 
         def batch() -> pa.RecordBatch:
-            columns = list(zip(*rows)) or [()] * 4
+            columns = list(zip(*rows)) or [()] * 5
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
         for file, split, inside, line in _by_split(batches, ("file", "split", "inside", "value")):
             if (file, split) != now:
                 if made:
-                    rows += [(k, *now, v) for k, v in made.fragments()]
-                now, made, first = (file, split), Assembler(bool(inside), sep), split == 0
-            record = made.add(line)
+                    rows += [(k, *now, at, v) for k, v in made.fragments()]
+                now, made, first, at = (file, split), Assembler(bool(inside), sep), split == 0, 0
+            record, at = made.add(line), at + 1
             if record is not None and record not in ("", "\r"):
-                rows.append((3 if first else 2, file, split, record))
+                rows.append((3 if first else 2, file, split, at, record))
                 first = False
                 if len(rows) >= 2000:
                     yield batch()
                     rows = []
         if made:
-            rows += [(k, *now, v) for k, v in made.fragments()]
+            rows += [(k, *now, at + 1, v) for k, v in made.fragments()]
         yield batch()
 
     return run
@@ -151,41 +151,50 @@ def split_states(spark: SparkSession, path: str | list[str], sep: str = ",") ->
 
 
 def records(spark: SparkSession, path: str | list[str], sep: str = ",") -> DataFrame:
-    """value and first (whether it is its file's first) of each CSV record; newlines inside fields stay."""
+    """file, split and at (in their order the records are the file's), value and first (whether it is the file's first record)."""
     # Only splits that begin inside a field, a row of 24 bytes each; a broadcast keeps each split's lines in order.
     inside = split_states(spark, path, sep).where("inside")
     lines = _lines(spark, path).join(F.broadcast(inside), ["file", "split"], "left").select("file", "split", F.coalesce("inside", F.lit(False)).alias("inside"), "value")
     made = lines.mapInArrow(_records(sep), _RECORDS)
-    whole = made.where("kind >= 2").select("value", (F.col("kind") == 3).alias("first"))
+    whole = made.where("kind >= 2").select("file", "split", "at", "value", (F.col("kind") == 3).alias("first"))
     # A fragment of kind 1 begins a record; those of kind 0 after it go on.
     parts = made.where("kind < 2").selectExpr("*", "sum(kind) OVER (PARTITION BY file ORDER BY split, kind) AS record")
-    stitched = parts.groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("split", "kind", "value"))).alias("parts"))
+    stitched = parts.groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("split", "kind", "at", "value"))).alias("parts"))
     # Where the first record of a file is in fragments, it is the one that begins in the first split and nothing whole comes before.
     early = made.where("kind = 3").select("file").distinct().withColumn("had_first", F.lit(True))
-    joined = stitched.join(early, "file", "left").select(F.array_join(F.transform("parts", lambda p: p["value"]), "\n").alias("value"), (F.col("had_first").isNull() & (F.col("record") == 1)).alias("first"))
+    begin = F.col("parts")[0]
+    joined = stitched.join(early, "file", "left").select("file", begin["split"].alias("split"), begin["at"].alias("at"), F.array_join(F.transform("parts", lambda p: p["value"]), "\n").alias("value"), (F.col("had_first").isNull() & (F.col("record") == 1)).alias("first"))
     return whole.union(joined)
 
 
-def _parsed(strings: DataFrame, options: dict, schema: T.StructType | None = None) -> DataFrame:
-    """The records ``strings`` (value) by Spark's CSV parser, which takes a Dataset of strings as it takes files."""
-    spark = strings.sparkSession
-    reader = spark.read.options(**{"quote": '"', "escape": '"', "emptyValue": "", "nullValue": ""} | options)
-    reader = reader if schema is None else reader.schema(schema)
-    dataset = getattr(strings.select("value")._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
-    return DataFrame(reader._jreader.csv(dataset), spark)
+def _reader(spark: SparkSession, options: dict):
+    return spark.read.options(**options)._jreader
 
 
-def read(spark: SparkSession, path: str | list[str], schema: T.StructType | None = None, sep: str = ",", **options) -> DataFrame:
-    """The table of CSV files with a header each; without ``schema`` the records are made once more to infer types."""
-    options = {"sep": sep, **options}
-    rows = records(spark, path, sep).select(F.regexp_replace("value", "\r\\z", "").alias("value"), "first")
+def _as_dataset(strings: DataFrame):
+    """The column ``value`` as a Dataset of strings, which Spark's CSV reader takes as it takes files."""
+    return getattr(strings.select("value")._jdf, "as")(strings.sparkSession._jvm.org.apache.spark.sql.Encoders.STRING())
+
+
+def read(spark: SparkSession, path: str | list[str], schema: T.StructType | None = None, sep: str = ",", order: str | None = None, **options) -> DataFrame:
+    """The table of CSV files with a header each; without ``schema`` the records are made once more to infer types.
+
+    ``order`` names a further column by which the rows are in the order of the files.
+    """
+    options = {"sep": sep, "quote": '"', "escape": '"', "emptyValue": "", "nullValue": ""} | options
+    rows = records(spark, path, sep).withColumn("value", F.regexp_replace("value", "\r\\z", ""))
     body = rows.where("NOT first")
-    if schema is not None:
-        return _parsed(body, options, schema)
-    header = rows.where("first").limit(1)
-    if header.isEmpty():
-        raise ValueError(f"{path} has no header")
-    names = _parsed(header, options | {"header": True}).columns
-    found = _parsed(body, options | {"inferSchema": True})
-    kinds = {f.name: f.dataType for f in found.schema.fields}
-    return _parsed(body, options, T.StructType([T.StructField(n, kinds.get(f"_c{i}", T.StringType())) for i, n in enumerate(names)]))
+    if schema is None:
+        header = rows.where("first").limit(1)
+        if header.isEmpty():
+            raise ValueError(f"{path} has no header")
+        names = DataFrame(_reader(spark, options | {"header": True}).csv(_as_dataset(header)), spark).columns
+        found = DataFrame(_reader(spark, options | {"inferSchema": True}).csv(_as_dataset(body)), spark)
+        kinds = {f.name: f.dataType for f in found.schema.fields}
+        schema = T.StructType([T.StructField(n, kinds.get(f"_c{i}", T.StringType())) for i, n in enumerate(names)])
+    # Field by place: from_csv wants names of its own, as those of a header may repeat or hold anything.
+    by_place = T.StructType([T.StructField(f"_c{i}", f.dataType) for i, f in enumerate(schema.fields)])
+    row = F.from_csv("value", by_place.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), options).alias("row")
+    kept = [F.struct("file", "split", "at").alias("order")] if order else []
+    cells = [F.col(f"row._c{i}").alias(f.name) for i, f in enumerate(schema.fields)]
+    return body.select(row, *kept).select(*cells, *([F.col("order").alias(order)] if order else []))

@@ -89,6 +89,10 @@ def test_equal_to_the_reader_of_one_task(spark, small_splits, tmp_path):
         assert split.dtypes == whole.dtypes
         assert sorted(split.collect(), key=repr) == sorted(whole.collect(), key=repr)
     assert split.count() == len(ROWS)
+    one = f"{tmp_path}/one"
+    df.coalesce(1).write.options(header=True, quote='"', escape='"').csv(one)
+    in_order = readers.read_csv(spark, one, df.schema, order="at").orderBy("at").drop("at").collect()
+    assert [tuple(r) for r in in_order] == [tuple(r) for r in readers.read_csv(spark, one, df.schema, in_splits=False).collect()]
 
 
 def test_line_ends_headers_and_unclosed_fields(spark, small_splits, tmp_path):
