@@ -46,9 +46,9 @@ def examples(numbered: DataFrame, request: TrainingRequest, prompt: Prompt, ques
     return made.where(F.regexp_replace("output", r"(?U)^\s+|\s+$", "") != "")
 
 
-def split_examples(made: DataFrame, request: TrainingRequest, seed: int = sampling.SEED) -> DataFrame:
+def split_examples(made: DataFrame, request: TrainingRequest, seed: int = sampling.SEED, method: str = "exact") -> DataFrame:
     """Examples renumbered in row order, with their split."""
-    return sampling.split(sampling.with_row_index(made, "row_index"), request.train, request.validation, seed)
+    return sampling.split(sampling.with_row_index(made, "row_index"), request.train, request.validation, seed, method=method)
 
 
 def formatted(split: DataFrame, style: str) -> DataFrame:

@@ -15,11 +15,11 @@ from ..functions.dialect import Dialect, DuckSql, SparkSql
 from ..functions.ngram import NGRAM_METRICS, ngram_scores
 from ..functions.registry import MetricRegistry, metric_sql, module_scores, shared_columns
 from ..functions.task_metrics import MODULES
-from ..operators import paths, prompts, prune, sampling
+from ..operators import paths, permute, prompts, prune, sampling
 from ..operators.training import TrainingRequest, examples, formatted, split_examples
-from ..plans import evaluate, grid, inference, summary
+from ..plans import evaluate, grid, inference, states, summary
 from ..sources import readers, sinks
-from ..sources.shared import new_path
+from ..sources.shared import new_path, written
 from ..streaming import live
 from .cases import CASES
 
@@ -346,6 +346,16 @@ def sampling_head_and_tail(spark, sf_dir):
     return sampling.head(docs, 7, "doc_id").select("doc_id", F.lit("head").alias("taken")).union(sampling.tail(docs, 9, "doc_id").select("doc_id", F.lit("tail")))
 
 
+_ROWS = "(SELECT count(*) FROM documents)"
+
+
+@query(f"SELECT doc_id, row_idx, {permute.duck_sql('row_idx', _ROWS, sampling.SEED)} AS shuffled_idx FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS row_idx FROM documents)")
+def sampling_permuted(spark, sf_dir):
+    """Where a keyed permutation sends each row; the first of them are a sample."""
+    docs = numbered_documents(spark, sf_dir)
+    return docs.select("doc_id", "row_idx", permute.permuted("row_idx", docs.count(), sampling.SEED).alias("shuffled_idx"))
+
+
 @query()
 def sampling_exact(spark, sf_dir):
     return sampling.sample(numbered_documents(spark, sf_dir), 50).select("doc_id", "row_idx", "sample_idx")
@@ -385,11 +395,20 @@ def prompts_chat_text(spark, sf_dir):
     return rows.select("conv_id", "turn", prompts.chat_format("text", F.col("text"), F.col("answer")).alias("text"))
 
 
-@query()
+SPLIT = TrainingRequest("documents", "explain", max_samples=500, train=0.85, validation=0.1)
+_SPLIT_ROWS = "(SELECT count(*) FROM made)"
+
+
+@query(f"""WITH kept AS (SELECT * FROM documents WHERE lang IS DISTINCT FROM 'fr' ORDER BY doc_id DESC LIMIT {SPLIT.max_samples}),
+made AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_idx, 'Explain ' || text || ' from ' || source || '.' || chr(10) AS input, lang AS output FROM kept WHERE trim(coalesce(lang, '')) <> ''),
+shuffled AS (SELECT *, {permute.duck_sql('row_idx', _SPLIT_ROWS, sampling.SEED)} AS shuffled_idx FROM made)
+SELECT CASE WHEN shuffled_idx < CAST(floor(n * {SPLIT.train}) AS BIGINT) THEN 'train' WHEN shuffled_idx < CAST(floor(n * {SPLIT.train}) AS BIGINT) + greatest(1, CAST(floor(n * {SPLIT.validation}) AS BIGINT)) THEN 'validation' ELSE 'unused' END AS split,
+       shuffled_idx, sha256(input) AS user_sha, output AS assistant FROM shuffled, (SELECT count(*) AS n FROM made)""")
 def training_split(spark, sf_dir):
-    request = TrainingRequest("documents", "explain", max_samples=500, train=0.85, validation=0.1)
-    made = examples(numbered_documents(spark, sf_dir), request, ZERO, ["text", "source"], "lang", {"lang": ["fr"]})
-    return formatted(split_examples(made, request), "messages")
+    made = examples(numbered_documents(spark, sf_dir), SPLIT, ZERO, ["text", "source"], "lang", {"lang": ["fr"]})
+    out = formatted(split_examples(made, SPLIT, method="permuted"), "messages")
+    said = lambda role: F.element_at(F.filter("messages", lambda m: m["role"] == role), 1)["content"]
+    return out.select("split", "shuffled_idx", F.sha2(said("user"), 256).alias("user_sha"), said("assistant").alias("assistant"))
 
 
 # ---- grids --------------------------------------------------------------------------------------------------
@@ -529,6 +548,28 @@ def large_five_stats(spark, sf_dir):
     return rounded(evaluate.five_stats(rows, ["l_returnflag", "l_linestatus"]), "mean", "std", places=4)
 
 
+@query("SELECT l_returnflag, l_linestatus, round(avg(l_extendedprice), 4) AS mean, round(stddev_pop(l_extendedprice), 4) AS std, min(l_extendedprice) AS min, max(l_extendedprice) AS max, median(l_extendedprice) AS median FROM lineitem GROUP BY ALL")
+def large_merged_stats(spark, sf_dir):
+    """The same from states of five batches, which are stored and merged, with medians from the merged sketch's bracket."""
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", F.col("l_extendedprice").alias("value"), (F.col("l_suppkey") % 5).alias("batch"))
+    by, path = ["l_returnflag", "l_linestatus"], new_path(spark, "states")
+    for batch in range(5):
+        states.append(rows.where(F.col("batch") == batch), by, path, str(batch))
+    return rounded(states.five_stats(rows, by, of=states.current(spark, path, by)), "mean", "std", places=4)
+
+
+@query(f"{_STATS_SQL} SELECT setup, prompt, model, metric, {_rounded_sql(evaluate.STATS)} FROM stats")
+def core_merged_stats(spark, sf_dir):
+    """Statistics of experiments whose responses came in two batches."""
+    by, keys = ["setup", "prompt", "model", "metric"], ["doc_id", "setup", "prompt", "model"]
+    scored = token_scores(responses(spark, sf_dir), keys).where("generation_failed = 0").drop("generation_failed")
+    long = written(evaluate.long_form(scored, keys, TOKEN_METRICS), "scores")
+    path = new_path(spark, "states")
+    for batch, part in enumerate((long.where("doc_id % 2 = 0"), long.where("doc_id % 2 = 1"))):
+        states.append(part, by, path, str(batch))
+    return rounded(states.five_stats(long, by, of=states.current(spark, path, by)), *evaluate.STATS)
+
+
 @query("""SELECT metric, experiment_name, mean, rank FROM (SELECT l_returnflag AS metric, CAST(l_suppkey AS VARCHAR) AS experiment_name, round(avg(l_quantity), 6) AS mean,
 row_number() OVER (PARTITION BY l_returnflag ORDER BY round(avg(l_quantity), 6) DESC, CAST(l_suppkey AS VARCHAR)) AS rank FROM lineitem GROUP BY l_returnflag, l_suppkey)""")
 def large_ranked(spark, sf_dir):

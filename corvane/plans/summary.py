@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import sampling
+
 # Metrics that have their own place in reports, by priority, and those of the global statistics.
 STANDARD_METRICS = ["f1_score", "bleu", "rouge1_f", "rouge2_f", "rougeL_f", "semantic_similarity", "exact_match", "precision", "recall", "jaccard"]
 PRIORITY = ["f1_score", "semantic_similarity", "rouge1_f", "bleu", "exact_match", "rougeL_f", "jaccard", "precision", "recall", "rouge2_f"]
@@ -55,8 +57,8 @@ def pruning_totals(runs: DataFrame) -> DataFrame:
 
 
 def ranked(stats: DataFrame, value: str = "mean", tie: str = "experiment_name") -> DataFrame:
-    """Rank from 1 within each metric, largest first, ties by name."""
-    return stats.withColumn("rank", F.row_number().over(Window.partitionBy("metric").orderBy(F.desc_nulls_last(value), tie)))
+    """Rank from 1 within each metric, largest first, ties by name. A metric's rows are ranked by as many tasks as they fill."""
+    return sampling.numbered_within(stats, ["metric"], [F.desc_nulls_last(value), F.col(tie)], "rank").withColumn("rank", F.col("rank") + 1)
 
 
 def compared(stats: DataFrame, experiments: list[str]) -> DataFrame:
