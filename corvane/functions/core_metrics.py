@@ -49,9 +49,10 @@ def token_metric(d: Dialect, metric: str) -> str:
     return f"CASE WHEN NOT ok THEN {d.num(0.0)} WHEN r = '' AND e = '' THEN {one} WHEN r = '' OR e = '' THEN {d.num(0.0)} ELSE {value} END"
 
 
-def made_once(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+def made_once(df: DataFrame, columns: dict[str, str | Column]) -> DataFrame:
     """``df`` with further columns. They go through a generator of one row, so that no projection after it takes them in and makes them again for each use."""
-    return df.select("*", F.inline(F.array(F.struct(*[F.expr(sql).alias(name) for name, sql in columns.items()])))) if columns else df
+    made = [(F.expr(c) if isinstance(c, str) else c).alias(name) for name, c in columns.items()]
+    return df.select("*", F.inline(F.array(F.struct(*made)))) if columns else df
 
 
 def with_prepared(responses: DataFrame, keys: list[str], more: dict[str, Column] | None = None) -> DataFrame:
@@ -68,11 +69,15 @@ def with_prepared(responses: DataFrame, keys: list[str], more: dict[str, Column]
     return base.drop("response", "expected_output", "question_values", "success")
 
 
-def token_scores(responses: DataFrame, keys: list[str], more: dict[str, Column] | None = None) -> DataFrame:
-    """keys, the five token metrics, generation_failed and the columns of ``more``."""
+def token_scores(responses: DataFrame, keys: list[str], more: dict[str, Column] | None = None, further=None) -> DataFrame:
+    """keys, the five token metrics, generation_failed and the columns of ``more``.
+
+    ``further`` takes the frame with the prepared columns, adds columns to it and returns metrics (by name) over all of them.
+    """
     d = SparkSql()
     df = made_once(made_once(with_prepared(responses, keys, more), token_columns(d)), count_columns(d))
-    return df.select("k.*", *[F.expr(token_metric(d, m)).alias(m) for m in TOKEN_METRICS], F.when(F.col("ok"), 0.0).otherwise(1.0).alias("generation_failed"), *(["x.*"] if more else []))
+    df, metrics = further(df) if further else (df, {})
+    return df.select("k.*", *[F.expr(token_metric(d, m)).alias(m) for m in TOKEN_METRICS], *[c.alias(m) for m, c in metrics.items()], F.when(F.col("ok"), 0.0).otherwise(1.0).alias("generation_failed"), *(["x.*"] if more else []))
 
 
 def cosine_similarity(a: Column | str, b: Column | str) -> Column:

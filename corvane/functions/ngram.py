@@ -1,4 +1,4 @@
-"""BLEU and ROUGE of a response against one reference, as Arrow-batched Pandas UDFs.
+"""BLEU and ROUGE of one response against one reference, in plain Python; :mod:`ngram_sql` scores whole columns.
 
 BLEU follows Papineni et al. 2002 as standardised by Post 2018: 13a
 tokenisation, clipped counts up to four-grams, exponential smoothing, effective
@@ -14,15 +14,10 @@ import re
 from collections import Counter
 from functools import lru_cache
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
 NGRAM_METRICS = ["bleu", "rouge1_f", "rouge2_f", "rougeL_f"]
 
 # The steps of 13a tokenisation.
-_ENTITIES = [("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")]
+ENTITIES = [("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")]
 _TOKEN_STEPS = [
     (re.compile(r"([\{-\~\[-\` -\&\(-\+\:-\@\/])"), r" \1 "),
     (re.compile(r"([^0-9])([\.,])"), r"\1 \2 "),
@@ -33,7 +28,7 @@ _TOKEN_STEPS = [
 
 def tokens_13a(text: str) -> list[str]:
     text = text.replace("<skipped>", "").replace("-\n", "").replace("\n", " ")
-    for entity, char in _ENTITIES:
+    for entity, char in ENTITIES:
         text = text.replace(entity, char)
     text = f" {text} "
     for pattern, by in _TOKEN_STEPS:
@@ -190,27 +185,3 @@ def rouge(response: str, reference: str) -> tuple[float, float, float]:
         a, b = _grams(ours, n), _grams(theirs, n)
         out.append(_f(sum((a & b).values()), sum(a.values()), sum(b.values())))
     return out[0], out[1], _f(common_subsequence(ours, theirs), len(ours), len(theirs))
-
-
-def _row(response: str | None, reference: str | None, ok: bool | None) -> tuple[float, ...]:
-    if not ok:
-        return (0.0,) * 4
-    response, reference = (response or "").strip(), (reference or "").strip()
-    if not response or not reference:
-        return (float(response == reference),) * 4
-    return bleu(response, reference), *rouge(response, reference)
-
-
-@F.pandas_udf(T.StructType([T.StructField(m, T.DoubleType()) for m in NGRAM_METRICS]))
-def _scored(response: pd.Series, reference: pd.Series, ok: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_row(*x) for x in zip(response, reference, ok)], columns=NGRAM_METRICS)
-
-
-def ngram_columns() -> Column:
-    """A struct of the n-gram metrics of response, expected_output and success."""
-    return _scored("response", "expected_output", "success")
-
-
-def ngram_scores(responses: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, bleu, rouge1_f, rouge2_f, rougeL_f."""
-    return responses.select(F.struct(*keys).alias("k"), ngram_columns().alias("s")).select("k.*", "s.*")

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core_metrics import TOKEN_METRICS, cosine_similarity, token_scores
-from ..functions.ngram import NGRAM_METRICS, ngram_columns
+from ..functions.ngram import NGRAM_METRICS
+from ..functions.ngram_sql import with_ngram_metrics
 from ..functions.registry import MetricRegistry
 
 STATS = ["mean", "std", "min", "max", "median"]
@@ -24,12 +25,9 @@ def paired(documents: DataFrame) -> DataFrame:
 def scores(responses: DataFrame, keys: list[str], with_ngrams: bool = True, vectors: tuple[str, str] | None = None) -> DataFrame:
     """keys and the core metrics, side by side; semantic similarity if two vector columns are named."""
     more = {}
-    if with_ngrams:
-        more["ngrams"] = ngram_columns()
     if vectors:
         more["semantic_similarity"] = F.when(F.coalesce(F.col("success"), F.lit(False)), cosine_similarity(*vectors)).otherwise(0.0)
-    out = token_scores(responses, keys, more)
-    return out.select("*", "ngrams.*").drop("ngrams") if with_ngrams else out
+    return token_scores(responses, keys, more, with_ngram_metrics if with_ngrams else None)
 
 
 def long_form(scored: DataFrame, keys: list[str], metrics: list[str] | None = None) -> DataFrame:

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.core_metrics import TOKEN_METRICS, cosine_similarity, count_columns, prepared_columns, token_columns, token_metric, token_scores
 from ..functions.dialect import Dialect, DuckSql, SparkSql
-from ..functions.ngram import NGRAM_METRICS, ngram_scores
+from ..functions.ngram import NGRAM_METRICS
+from ..functions.ngram_sql import Stems, ngram_scores
 from ..functions.registry import MetricRegistry, metric_sql, module_scores, shared_columns
 from ..functions.task_metrics import MODULES
 from ..operators import paths, permute, prompts, prune, sampling
@@ -131,9 +132,44 @@ def core_batch_counts(spark, sf_dir):
     return evaluate.batch_counts(token_scores(responses(spark, sf_dir), KEYS.split(", ")), ["setup", "prompt", "model"])
 
 
-@query()
+def _duck_ngrams() -> str:
+    """n-gram metrics by relations: every gram a row, counted by side; stems of distinct words joined."""
+    # The patterns of BLEU's tokenisation, in this engine's syntax.
+    text = "' ' || replace(replace(replace(replace(replace(replace(replace(t, '<skipped>', ''), '-' || chr(10), ''), chr(10), ' '), '&quot;', '\"'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>') || ' '"
+    for pattern, by in ((r"([\{-~\[-` -&\(-\+:-@/])", r" \1 "), (r"([^0-9])([\.,])", r"\1 \2 "), (r"([\.,])([^0-9])", r" \1 \2"), (r"([0-9])(-)", r"\1 \2 ")):
+        text = f"regexp_replace({text}, '{pattern}', '{by}', 'g')"
+    d = DuckSql()
+    grams = lambda source, kind, n: f"SELECT doc_id, side, '{kind}{n}' AS kind, unnest(list_transform(range(1, len(ws) - {n - 2}), lambda i: array_to_string(ws[i:i + {n - 1}], ' '))) AS gram FROM {source} WHERE len(ws) >= {n}"
+    orders = [f"coalesce(max(hits) FILTER (kind = 'b{n}'), 0) AS h{n}, coalesce(max(ours) FILTER (kind = 'b{n}'), 0) AS t{n}" for n in range(1, 5)]
+    zero = lambda n: " + ".join(f"CASE WHEN t{k} > 0 AND h{k} = 0 THEN 1 ELSE 0 END" for k in range(1, n + 1))
+    logs = " + ".join(f"CASE WHEN t{n} <= 0 THEN 0 WHEN h{n} > 0 THEN ln(h{n} / t{n}) ELSE -ln(pow(2, {zero(n)}) * t{n}) END" for n in range(1, 5))
+    bleu = f"CASE WHEN h1 + h2 + h3 + h4 = 0 THEN 0.0 ELSE exp(least(0.0, 1 - m / t1) + ({logs}) / least(t1, 4)) END"
+    rouge = lambda n: f"coalesce(max(2.0 * hits / (ours + theirs)) FILTER (kind = 'r{n}'), 0.0)"
+    guard = lambda v: f"round(CASE WHEN NOT ok THEN 0.0 WHEN r = '' AND e = '' THEN 1.0 WHEN r = '' OR e = '' THEN 0.0 ELSE {v} END, 6)"
+    return f"""
+WITH p AS MATERIALIZED ({_duck_stages(_RESPONSES, prepared_columns(d))}),
+sides AS (SELECT doc_id, 'a' AS side, r AS t FROM p WHERE ok UNION ALL SELECT doc_id, 'b', e FROM p WHERE ok),
+tokens AS MATERIALIZED (SELECT doc_id, side, {d.words('x')} AS ws FROM (SELECT doc_id, side, {text} AS x FROM sides)),
+plain AS MATERIALIZED (SELECT doc_id, side, regexp_extract_all(lower(t), '[a-z0-9]+') AS ws FROM sides),
+stems AS MATERIALIZED (SELECT word, {Stems(spark=False).stem('word')} AS stem FROM (SELECT DISTINCT unnest(ws) AS word FROM plain)),
+stemmed AS MATERIALIZED (SELECT doc_id, side, list(stem ORDER BY i) AS ws FROM (SELECT doc_id, side, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM plain) JOIN stems USING (word) GROUP BY doc_id, side),
+grams AS ({' UNION ALL '.join([*(grams('tokens', 'b', n) for n in range(1, 5)), grams('stemmed', 'r', 1), grams('stemmed', 'r', 2)])}),
+counted AS (SELECT doc_id, kind, gram, count(*) FILTER (side = 'a') AS a, count(*) FILTER (side = 'b') AS b FROM grams GROUP BY doc_id, kind, gram),
+totals AS (SELECT doc_id, kind, sum(least(a, b)) AS hits, sum(a) AS ours, sum(b) AS theirs FROM counted GROUP BY doc_id, kind),
+wide AS (SELECT doc_id, {', '.join(orders)}, coalesce(max(theirs) FILTER (kind = 'b1'), 0) AS m, {rouge(1)} AS r1, {rouge(2)} AS r2 FROM totals GROUP BY doc_id)
+SELECT p.doc_id, {guard(bleu)} AS bleu, {guard('coalesce(r1, 0.0)')} AS rouge1_f, {guard('coalesce(r2, 0.0)')} AS rouge2_f FROM p LEFT JOIN wide ON wide.doc_id = p.doc_id"""
+
+
+@query(_duck_ngrams())
 def core_ngram_scores(spark, sf_dir):
-    return rounded(ngram_scores(responses(spark, sf_dir), ["doc_id"]), *NGRAM_METRICS)
+    """BLEU, ROUGE-1 and ROUGE-2, in the JVM."""
+    return rounded(ngram_scores(spread_responses(spark, sf_dir), ["doc_id"], with_subsequence=False), *NGRAM_METRICS[:3])
+
+
+@query()
+def core_subsequence_scores(spark, sf_dir):
+    """ROUGE-L, by longest common subsequences of whole texts."""
+    return rounded(ngram_scores(spread_responses(spark, sf_dir), ["doc_id"]).select("doc_id", "rougeL_f"), "rougeL_f")
 
 
 @query("SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS semantic_similarity FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
@@ -160,6 +196,11 @@ def case_rows(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "doc_id long, response string, expected_output string, question_values array<string>, success boolean")
 
 
+def spread_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses dealt to all tasks by their id: a small table is one row group, and what follows is far dearer than moving it."""
+    return responses(spark, sf_dir).repartition("doc_id")
+
+
 def task_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hand-written cases, and the responses of all languages and of none."""
     return responses(spark, sf_dir).select("doc_id", "response", "expected_output", "question_values", "success").unionByName(case_rows(spark))
