@@ -155,7 +155,7 @@ class SparkSql(Dialect):
         return f"regexp_count({s}, {self._whole(word)})"
 
     def _whole(self, word: str) -> str:
-        quoted, end = chr(92) + "Q", chr(92) + "E"
+        quoted, end = r"\Q", r"\E"
         return f"concat({self.lit(f'(?={quoted}')}, {word}, {self.lit(f'{end}){BORDER}{quoted}')}, {word}, {self.lit(end + BORDER)})"
 
     def filter(self, a: str, f: Callable[[str], str]) -> str:
@@ -231,7 +231,7 @@ class DuckSql(Dialect):
         return s
 
     def matches(self, s: str, pattern: str) -> str:
-        return f"regexp_matches({self.ascii(s) if chr(92) + 'b' in pattern else s}, {self.rx(pattern)})"
+        return f"regexp_matches({self.ascii(s) if r'\b' in pattern else s}, {self.rx(pattern)})"
 
     def first(self, s: str, pattern: str, group: int = 1) -> str:
         return f"regexp_extract({s}, {self.rx(pattern)}, {group})"
@@ -240,7 +240,7 @@ class DuckSql(Dialect):
         return f"regexp_extract_all({s}, {self.rx(pattern)}, {group})"
 
     def replace(self, s: str, pattern: str, by: str) -> str:
-        return f"regexp_replace({self.ascii(s) if chr(92) + 'b' in pattern else s}, {self.rx(pattern)}, {self.lit(by)}, 'g')"
+        return f"regexp_replace({self.ascii(s) if r'\b' in pattern else s}, {self.rx(pattern)}, {self.lit(by)}, 'g')"
 
     def split(self, s: str, pattern: str) -> str:
         return f"regexp_split_to_array({s}, {self.rx(pattern)})"

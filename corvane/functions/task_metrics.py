@@ -359,7 +359,8 @@ def _(d: Dialect) -> str:
 @named("ecqa_freeflow", "single_paragraph_format")
 def _(d: Dialect) -> str:
     capital = d.filter(d.part(d.lines("even"), 1), lambda x: d.matches(d.strip(x), r"^\p{Lu}"))
-    breaks = f"({d.size(d.every("even", chr(92) + 'n' + chr(92) + 's*' + chr(92) + 'n'))} + floor({d.size(capital)} / 2))"
+    blank_lines = d.size(d.every("even", r"\n\s*\n"))
+    breaks = f"({blank_lines} + floor({d.size(capital)} / 2))"
     return d.when(f"r = '' OR {d.any_match('r', LIST_MARKS)}", d.num(0.0), d.ladder(breaks, [(0, 1.0), (1, 0.7), (2, 0.4)], 0.2))
 
 

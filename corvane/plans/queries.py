@@ -132,7 +132,7 @@ def core_batch_counts(spark, sf_dir):
     return evaluate.batch_counts(token_scores(responses(spark, sf_dir), KEYS.split(", ")), ["setup", "prompt", "model"])
 
 
-def _duck_ngrams() -> str:
+def _duck_ngrams(places: int = 6) -> str:
     """n-gram metrics by relations: every gram a row, counted by side; stems of distinct words joined."""
     # The patterns of BLEU's tokenisation, in this engine's syntax.
     text = "' ' || replace(replace(replace(replace(replace(replace(replace(t, '<skipped>', ''), '-' || chr(10), ''), chr(10), ' '), '&quot;', '\"'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>') || ' '"
@@ -145,7 +145,7 @@ def _duck_ngrams() -> str:
     logs = " + ".join(f"CASE WHEN t{n} <= 0 THEN 0 WHEN h{n} > 0 THEN ln(h{n} / t{n}) ELSE -ln(pow(2, {zero(n)}) * t{n}) END" for n in range(1, 5))
     bleu = f"CASE WHEN h1 + h2 + h3 + h4 = 0 THEN 0.0 ELSE exp(least(0.0, 1 - m / t1) + ({logs}) / least(t1, 4)) END"
     rouge = lambda n: f"coalesce(max(2.0 * hits / (ours + theirs)) FILTER (kind = 'r{n}'), 0.0)"
-    guard = lambda v: f"round(CASE WHEN NOT ok THEN 0.0 WHEN r = '' AND e = '' THEN 1.0 WHEN r = '' OR e = '' THEN 0.0 ELSE {v} END, 6)"
+    guard = lambda v: f"round(CASE WHEN NOT ok THEN 0.0 WHEN r = '' AND e = '' THEN 1.0 WHEN r = '' OR e = '' THEN 0.0 ELSE {v} END, {places})"
     return f"""
 WITH p AS MATERIALIZED ({_duck_stages(_RESPONSES, prepared_columns(d))}),
 sides AS (SELECT doc_id, 'a' AS side, r AS t FROM p WHERE ok UNION ALL SELECT doc_id, 'b', e FROM p WHERE ok),
@@ -300,10 +300,12 @@ def summary_top_metrics(spark, sf_dir):
     return summary.top_metrics(experiment_stats(spark, sf_dir), 3)
 
 
-@query("SELECT 'answer_correctness' AS metric UNION ALL SELECT 'follows_format_instruction' UNION ALL SELECT 'answer_extractability'")
+@query("SELECT DISTINCT 'events_' || event_type AS metric FROM events UNION SELECT DISTINCT lower(l_returnflag) FROM lineitem")
 def summary_custom_metrics(spark, sf_dir):
-    long = MetricRegistry().long_scores(case_rows(spark).withColumn("setup", F.lit("ecqa_choice")), "setup", ["doc_id"])
-    return summary.custom_metrics(long.where("value IS NOT NULL"))
+    """Metrics of measurements in two tables beside the standard ones."""
+    events = table(spark, sf_dir, "events").select(F.explode(F.array(F.concat(F.lit("events_"), "event_type"), F.lit("f1_score"))).alias("metric"))
+    lines = table(spark, sf_dir, "lineitem").select(F.explode(F.array(F.lower("l_returnflag"), F.lit("bleu"))).alias("metric"))
+    return summary.custom_metrics(events.union(lines))
 
 
 @query(f"{_STATS_SQL} SELECT metric FROM (SELECT DISTINCT metric FROM stats) WHERE metric IN ('f1_score', 'jaccard')")
@@ -312,10 +314,11 @@ def summary_shared_metrics(spark, sf_dir):
     return summary.shared_metrics(experiment_stats(spark, sf_dir), wanted)
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def summary_missing(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct()
-    return summary.not_there(table(spark, sf_dir, "customer"), orders, "c_custkey")
+    """Customers without an urgent order."""
+    urgent = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")).distinct()
+    return summary.not_there(table(spark, sf_dir, "customer"), urgent, "c_custkey")
 
 
 @query(f"{_STATS_SQL} SELECT setup, prompt, model, CAST(1 AS BIGINT) AS num_experiments, metric, round(mean, 4) AS mean FROM stats")
@@ -481,17 +484,36 @@ def grid_few_shot_row(spark, sf_dir):
     return grid.plan(models, grid.triplets(listed, setups), few_shot_row=7).select("model", "prompt", "experiment_name")
 
 
-_ALL_LONG = " UNION ALL ".join(f"SELECT setup, prompt, model, '{m}' AS metric, {m} AS value FROM valid" for m in [*TOKEN_METRICS, "answer_length"])
+#: Which task metrics the responses of each language get, in place of a configuration.
+LANGUAGE_MODULES = {"en": "ecqa_choice", "de": "pubmedqa_free", "fr": "gmeg", "es": "ecare_explanation"}
 
 
-@query(f"""WITH valid AS MATERIALIZED (SELECT s.*, CAST(length(t.text) AS DOUBLE) AS answer_length FROM ({_SCORES}) s JOIN documents t USING (doc_id) WHERE generation_failed = 0), long AS ({_ALL_LONG})
-SELECT setup, prompt, model, metric, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(min(value), 6) AS min, round(max(value), 6) AS max, round(median(value), 6) AS median FROM long GROUP BY setup, prompt, model, metric""")
+def _duck_evaluation() -> str:
+    """Core, n-gram and task metrics, similarity and a function, each row by row, then statistics over all."""
+    d = DuckSql()
+    parts = [f"SELECT doc_id, '{m}' AS metric, {m} AS value FROM ({_SCORES})" for m in TOKEN_METRICS]
+    parts += [f"SELECT doc_id, '{m}', {m} FROM ngrams" for m in NGRAM_METRICS[:3]]
+    parts.append("SELECT a.doc_id, 'semantic_similarity', coalesce(list_cosine_similarity(v.embedding::DOUBLE[], w.embedding::DOUBLE[]), 0.0) FROM rows a LEFT JOIN embeddings v ON v.vec_id = a.doc_id % 97 LEFT JOIN embeddings w ON w.vec_id = a.doc_id % 89")
+    parts.append("SELECT doc_id, 'answer_length', CAST(length(response) AS DOUBLE) FROM rows")
+    for setup, module in LANGUAGE_MODULES.items():
+        source = _duck_stages(f"SELECT * FROM rows WHERE setup = '{setup}'", [*prepared_columns(d), *shared_columns(d, module)])
+        scored = f"SELECT doc_id, {', '.join(f'{metric_sql(d, module, m)} AS {m}' for m in MODULES[module])} FROM ({source})"
+        parts.append(f"SELECT doc_id, metric, value FROM (UNPIVOT ({scored}) ON {', '.join(MODULES[module])} INTO NAME metric VALUE value)")
+    stats = ", ".join(f"round({f}(value), 6) AS {name}" for f, name in (("avg", "mean"), ("stddev_pop", "std"), ("min", "min"), ("max", "max"), ("median", "median")))
+    return f"WITH rows AS MATERIALIZED ({_RESPONSES}), ngrams AS MATERIALIZED ({_duck_ngrams(15)}), long AS ({' UNION ALL '.join(parts)}) SELECT setup, prompt, model, metric, {stats} FROM long JOIN rows USING (doc_id) WHERE success GROUP BY setup, prompt, model, metric"
+
+
+@query(_duck_evaluation())
 def evaluate_end_to_end(spark, sf_dir):
-    """Core metrics and a registered function of all responses, to statistics of each experiment."""
-    registry = MetricRegistry()
+    """Core, n-gram and task metrics, similarity of vectors and a registered function of all responses, to statistics of each experiment."""
+    registry = MetricRegistry(LANGUAGE_MODULES)
     registry.register("answer_length", lambda r: len(r["response"]))
-    rows = responses(spark, sf_dir)
-    return rounded(evaluate.evaluate(rows, registry, ["setup", "prompt", "model"], "doc_id", with_ngrams=False), "mean", "std", "median").withColumns({c: F.round(c, 6) for c in ("min", "max")})
+    vectors = table(spark, sf_dir, "embeddings").where("vec_id < 97").select("vec_id", "embedding")
+    rows = spread_responses(spark, sf_dir)
+    for name, every in (("given", 97), ("wanted", 89)):
+        rows = rows.join(vectors.select(F.col("vec_id").alias(f"{name}_id"), F.col("embedding").alias(name)), F.col("doc_id") % every == F.col(f"{name}_id"), "left")
+    found = evaluate.evaluate(rows, registry, ["setup", "prompt", "model"], "doc_id", vectors=("given", "wanted"))
+    return rounded(found.where("metric <> 'rougeL_f'"), *evaluate.STATS)
 
 
 @query(f"WITH {_DIMENSIONS} SELECT setup, prompt, mode FROM prompts WHERE setup IN ('de', 'en') AND mode = 'zero-shot'")
