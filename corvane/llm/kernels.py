@@ -88,6 +88,17 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int
     return out
 
 
+def span_keys(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit numbers that tell spans without zero bytes apart: the bytes and 0 up to eight bytes, else two hashes."""
+    size = np.asarray(ends - starts, np.int64)
+    lanes = np.ndarray((len(buf) + 1,), "<u8", np.concatenate([buf, np.zeros(8, np.uint8)]), strides=(1,))
+    key, check = lanes[starts] & _TAIL[np.minimum(size, 8)], np.zeros(len(size), np.uint64)
+    long = np.flatnonzero(size > 8)
+    key[long] = span_hashes(buf, starts[long], ends[long])
+    check[long] = span_hashes(buf, starts[long], ends[long], seed)
+    return key, check
+
+
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """A hash of each k consecutive word hashes, mixed word by word; empty if there are fewer."""
     n = len(words) - k + 1

@@ -69,7 +69,7 @@ class Encoder:
     def _reset(self) -> None:
         self.keys = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]  # sorted: all but the newest, the newest
         self.at = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
-        self.checks = np.zeros(0, np.uint64)  # a second hash of each word: a hit must agree in both
+        self.checks = np.zeros(0, np.uint64)  # the second number of each word: a hit must agree in both
         self.offset = np.zeros(1, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
@@ -106,7 +106,7 @@ class Encoder:
         buf, starts = kernels.concatenated(texts)
         buf = _LOW[buf]
         s, e = _pieces(buf)
-        h, second = kernels.span_hashes(buf, s, e), kernels.span_hashes(buf, s, e, SECOND)
+        h, second = kernels.span_keys(buf, s, e, SECOND)
         unique, first, inverse = np.unique(h, return_index=True, return_inverse=True)
         if (second != second[first][inverse]).any():  # words that share one hash only
             return self._by_library(texts)
