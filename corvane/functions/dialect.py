@@ -126,7 +126,15 @@ class Dialect:
         return f"{s} IN ({', '.join(self.lit(v) for v in values)})"
 
 
+#: The characters of ``SPACE``.
+SPACES = "".join(chr(c) for c in [*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+
+
 class SparkSql(Dialect):
+    def strip(self, s: str) -> str:
+        """Goes from both ends, not through the text."""
+        return self.trim(s, SPACES)
+
     def lit(self, text: str) -> str:
         return '"' + text.replace("\\", "\\\\").replace('"', '\\"').replace("\n", "\\n") + '"'
 

@@ -1,10 +1,7 @@
-"""BLEU, ROUGE-1 and ROUGE-2 of whole columns as expressions of the JVM, and ROUGE-L on the same tokens.
+"""BLEU and ROUGE of whole columns: counts by Arrow batch (``ngram_batch``), scores from them as expressions of the JVM.
 
-Tokens and their stems are arrays; n-grams are arrays of 64-bit hashes. How many n-grams two texts share, each as often as
-in the text that has it less often, is found from their common n-grams alone: where one of the texts has none of these
-twice, it is their number; elsewhere the occurrences of each are numbered and the numbered ones are intersected.
-Porter's rules are one expression, in SQL that other engines read too, over the table of distinct words. Only the longest common subsequence of
-ROUGE-L runs in Python, on Arrow batches of token hashes (``subsequence``).
+Each response is counted in its own task; no word or n-gram is shuffled, so that frequent ones can't gather in a task.
+Porter's rules are also one expression, in SQL that other engines read too, over a table of words.
 """
 
 from __future__ import annotations
@@ -13,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .core_metrics import made_once, with_prepared
-from .ngram import ENTITIES, Porter
-from .subsequence import of_batch
+from .core_metrics import with_prepared
+from .ngram import Porter
+from .ngram_batch import COUNTS, of_batch
 
 # ---- stems ----------------------------------------------------------------------------------------------------------
 
@@ -116,96 +113,16 @@ class Stems:
         return self.let(word, "w0", f"CASE WHEN length(w0) <= 3 THEN w0 ELSE coalesce(CASE w0 {irregular} END, {body}) END")
 
 
-# ---- tokens and n-grams ---------------------------------------------------------------------------------------------
-
-
-def tokens_13a(text: Column) -> Column:
-    """The tokens of BLEU's standard tokenisation, hashed."""
-    text = F.replace(F.replace(F.replace(text, F.lit("<skipped>"), F.lit("")), F.lit("-\n"), F.lit("")), F.lit("\n"), F.lit(" "))
-    for entity, char in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    text = F.concat(F.lit(" "), text, F.lit(" "))
-    # The patterns of the tokenisation.
-    for pattern, by in ((r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", " $1 "), (r"([^0-9])([\.,])", "$1 $2 "), (r"([\.,])([^0-9])", " $1 $2"), (r"([0-9])(-)", "$1 $2 ")):
-        text = F.regexp_replace(text, pattern, by)
-    words = F.filter(F.split(text, r"(?U)[\s\x1c-\x1f]+"), lambda x: x != "")
-    return F.transform(words, lambda x: F.xxhash64(x))
-
-
-def grams(tokens: str, n: int) -> Column:
-    """Hashes of the n consecutive tokens from each place on; ``tokens`` names a column of hashes."""
-    if n == 1:
-        return F.col(tokens)
-    t = F.col(tokens)
-    made = F.transform(F.sequence(F.lit(0), F.size(t) - n), lambda i: F.xxhash64(*[F.get(t, i + k) for k in range(n)]))
-    return F.when(F.size(t) >= n, made).otherwise(F.array().cast("array<bigint>"))
-
-
-def let(value: Column, body) -> Column:
-    return F.transform(F.array(value), body)[0]
-
-
-def _numbered(values: Column) -> Column:
-    """Each value with the number of its occurrence, hashed."""
-
-    def of_sorted(s: Column) -> Column:
-        begin = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (F.get(s, i - 1) != x), i).otherwise(-1)), lambda i: i >= 0)
-        run = lambda b, j, begins: F.transform(F.sequence(F.lit(0), F.coalesce(F.get(begins, j + 1), F.size(s)) - b - 1), lambda r: F.xxhash64(F.get(s, b), r))
-        return let(begin, lambda begins: F.flatten(F.transform(begins, lambda b, j: run(b, j, begins))))
-
-    return let(F.array_sort(values), of_sorted)
-
-
-def shared(a: str, b: str) -> Column:
-    """How many values two columns of hashes share, each as often as the side that has it less often."""
-
-    def by_common(c: Column) -> Column:
-        own = [F.filter(F.col(x), lambda v: F.array_contains(c, v)) for x in (a, b)]
-        counted = let(own[0], lambda x: let(own[1], lambda y: F.when((F.size(x) == F.size(c)) | (F.size(y) == F.size(c)), F.size(c)).otherwise(F.size(F.array_intersect(_numbered(x), _numbered(y))))))
-        return F.when(F.size(c) == 0, F.lit(0)).otherwise(counted)
-
-    return let(F.array_intersect(a, b), by_common)
-
-
 # ---- scores ---------------------------------------------------------------------------------------------------------
 
-def token_columns() -> dict[str, Column]:
-    """Over the prepared ok, r and e: both sides' BLEU tokens, hashed, and their words."""
-    text = {"a": F.when(F.col("ok"), F.col("r")).otherwise(""), "b": F.when(F.col("ok"), F.col("e")).otherwise("")}
-    words = {f"ng_w{x}": F.regexp_extract_all(F.lower(t), F.lit("([a-z0-9]+)"), F.lit(1)) for x, t in text.items()}
-    return {f"ng_{x}": tokens_13a(t) for x, t in text.items()} | words
-
-
-def with_stems(df: DataFrame) -> DataFrame:
-    """``df`` with the stems of ng_wa and ng_wb as ng_sa and ng_sb, hashed.
-
-    Stems are made once for each distinct word of the whole table, and come back to the rows as a map of the words that
-    they change. Rows are known by a 128-bit hash of their words, so that neither keys nor an order are needed.
-    """
-    key = ["ng_k1", "ng_k2"]
-    keyed = made_once(df, {k: F.xxhash64(F.lit(i), "ng_wa", "ng_wb") for i, k in enumerate(key)})
-    used = keyed.select(*key, F.explode(F.array_distinct(F.concat("ng_wa", "ng_wb"))).alias("word")).where(F.length("word") > 3)
-    table = made_once(used.select("word").distinct(), {"stem": Stems(spark=True).stem("word")}).where("stem <> word")
-    maps = used.join(table, "word").groupBy(*key).agg(F.map_from_entries(F.collect_set(F.struct("word", "stem"))).alias("ng_stems"))
-    named = keyed.join(maps, key, "left")
-    stem = lambda words: F.transform(words, lambda w: F.xxhash64(F.coalesce(F.try_element_at("ng_stems", w), w)))
-    return made_once(named, {"ng_sa": stem("ng_wa"), "ng_sb": stem("ng_wb")}).drop(*key, "ng_stems", "ng_wa", "ng_wb")
-
-
-def stages() -> list[dict[str, Column]]:
-    """n-grams of the tokens and stems, then how many both sides share."""
-    pairs = {f"ng_{x}{n}": grams(f"ng_{x}", n) for x in "ab" for n in (2, 3, 4)} | {f"ng_s{x}2": grams(f"ng_s{x}", 2) for x in "ab"}
-    hits = {"ng_h1": shared("ng_a", "ng_b")} | {f"ng_h{n}": shared(f"ng_a{n}", f"ng_b{n}") for n in (2, 3, 4)} | {"ng_r1": shared("ng_sa", "ng_sb"), "ng_r2": shared("ng_sa2", "ng_sb2")}
-    return [pairs, hits]
-
 
-def common_subsequence(a: str, b: str) -> Column:
-    """Length of the longest common subsequence of two columns of hashes."""
+def counts(with_subsequence: bool) -> Column:
+    """Over the prepared ok, r and e: what the metrics read, as one struct."""
 
-    def of_columns(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array(of_batch(a, b), pa.int32())
+    def of_columns(ok: pa.Array, r: pa.Array, e: pa.Array) -> pa.Array:
+        return of_batch(ok, r, e, with_subsequence)
 
-    return F.arrow_udf(of_columns, "int")(a, b)
+    return F.arrow_udf(of_columns, ", ".join(f"{c} int" for c in COUNTS))("ok", "r", "e")
 
 
 def _guarded(value: Column) -> Column:
@@ -214,41 +131,36 @@ def _guarded(value: Column) -> Column:
 
 
 def bleu() -> Column:
-    n, m = F.size("ng_a"), F.size("ng_b")
+    n, m = F.col("grams.n_a"), F.col("grams.n_b")
     total, zeros = F.lit(0.0), F.lit(0)
     for k in range(1, 5):
-        places, hits = n - k + 1, F.col(f"ng_h{k}")
+        places, hits = n - k + 1, F.col(f"grams.h{k}")
         zeros = zeros + F.when((places > 0) & (hits == 0), 1).otherwise(0)
         # A count of zero is smoothed by a half, a quarter and so on.
         total = total + F.when(places <= 0, 0.0).when(hits > 0, F.log(hits / places)).otherwise(-F.log(F.pow(F.lit(2.0), zeros) * places))
     orders = F.least(n, F.lit(4))
-    any_hit = F.col("ng_h1") + F.col("ng_h2") + F.col("ng_h3") + F.col("ng_h4") > 0
+    any_hit = F.col("grams.h1") + F.col("grams.h2") + F.col("grams.h3") + F.col("grams.h4") > 0
     brevity = F.least(F.lit(0.0), 1 - m / F.greatest(n, F.lit(1)))
     return _guarded(F.when(any_hit, F.exp(brevity + total / F.greatest(orders, F.lit(1)))).otherwise(0.0))
 
 
 def rouge(n: int) -> Column:
-    sizes = F.size("ng_sa") + F.size("ng_sb") if n == 1 else F.size("ng_sa2") + F.size("ng_sb2")
-    return _guarded(2 * F.col(f"ng_r{n}") / F.greatest(sizes, F.lit(1)))
+    """F of stems or of pairs of them."""
+    sizes = [F.greatest(F.col(f"grams.{c}") - (n - 1), F.lit(0)) for c in ("n_sa", "n_sb")]
+    return _guarded(2 * F.col(f"grams.r{n}") / F.greatest(sizes[0] + sizes[1], F.lit(1)))
 
 
 def rouge_l() -> Column:
-    return _guarded(2 * F.col("ng_rl") / F.greatest(F.size("ng_sa") + F.size("ng_sb"), F.lit(1)))
+    return _guarded(2 * F.col("grams.rl") / F.greatest(F.col("grams.n_sa") + F.col("grams.n_sb"), F.lit(1)))
 
 
 def with_ngram_metrics(prepared: DataFrame, with_subsequence: bool = True) -> tuple[DataFrame, dict[str, Column]]:
     """``prepared`` (ok, r, e) with what the metrics read, and the metrics."""
-    prepared = with_stems(made_once(prepared, token_columns()))
-    for stage in stages():
-        prepared = made_once(prepared, stage)
-    out = {"bleu": bleu(), "rouge1_f": rouge(1), "rouge2_f": rouge(2)}
-    if with_subsequence:
-        prepared = prepared.withColumn("ng_rl", common_subsequence("ng_sa", "ng_sb"))
-        out["rougeL_f"] = rouge_l()
-    return prepared, out
+    out = {"bleu": bleu(), "rouge1_f": rouge(1), "rouge2_f": rouge(2)} | ({"rougeL_f": rouge_l()} if with_subsequence else {})
+    return prepared.withColumn("grams", counts(with_subsequence)), out
 
 
 def ngram_scores(responses: DataFrame, keys: list[str], with_subsequence: bool = True) -> DataFrame:
-    """keys, bleu, rouge1_f, rouge2_f and, unless it is left out, rougeL_f, the only one that runs Python."""
+    """keys, bleu, rouge1_f, rouge2_f and, unless it is left out, rougeL_f."""
     df, metrics = with_ngram_metrics(with_prepared(responses, keys), with_subsequence)
     return df.select("k.*", *[c.alias(m) for m, c in metrics.items()])

@@ -198,7 +198,12 @@ def case_rows(spark: SparkSession) -> DataFrame:
 
 def spread_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Responses dealt to all tasks by their id: a small table is one row group, and what follows is far dearer than moving it."""
-    return responses(spark, sf_dir).repartition("doc_id")
+    return dealt(responses(spark, sf_dir))
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """By doc_id to a fixed number of tasks: one that is left to sizes comes to little more tasks than cores, and the last of them run alone."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
 
 
 def task_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
