@@ -16,9 +16,12 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from itertools import count
+from re import _parser
 
 SPACE = r"\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 WORD = r"\p{L}\p{N}_"
+#: ``SPACE`` as a Java class that most characters leave after two comparisons: a table of small ones, and a range around the others.
+JAVA_SPACE = "[" + "".join(rf"\x{{{c:x}}}" for c in [*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0]) + r"[\x{1680}-\x{3000}&&[\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]]]"
 
 
 #: A border of words where lookaround exists, before and after characters of words, and anywhere.
@@ -42,7 +45,7 @@ def portable(pattern: str, borders: bool = False) -> str:
         two = pattern[i : i + 2]
         if two in (r"\s", r"\w"):
             body = SPACE if two == r"\s" else WORD
-            out.append(body if inside else f"[{body}]")
+            out.append(body if inside else JAVA_SPACE if borders and two == r"\s" else f"[{body}]")
             i += 2
             continue
         if two[0] == "\\":
@@ -58,6 +61,42 @@ def portable(pattern: str, borders: bool = False) -> str:
     return "".join(out)
 
 
+def required(pattern: str) -> list[frozenset[str]]:
+    """Sets of texts of each of which one stands in whatever a pattern matches; none for patterns that Python does not read."""
+    try:
+        parsed = _parser.parse(pattern)
+    except (re.error, OverflowError):
+        return []
+    return [] if parsed.state.flags & re.IGNORECASE else _required(parsed)
+
+
+def _required(parts) -> list[frozenset[str]]:
+    out, run = [], ""
+    for op, value in parts:
+        if op is _parser.LITERAL:
+            run += chr(value)
+            continue
+        if run:
+            out.append(frozenset([run]))
+            run = ""
+        if op is _parser.SUBPATTERN:
+            out += _required(value[3]) if not (value[1] or value[2]) else []
+        elif op in (_parser.MAX_REPEAT, _parser.MIN_REPEAT) and value[0] > 0:
+            out += _required(value[2])
+        elif op is _parser.IN and len(value) <= 3 and all(kind is _parser.LITERAL for kind, _ in value):
+            out.append(frozenset(chr(c) for _, c in value))
+        elif op is _parser.BRANCH:
+            found = [max(_required(branch), key=_rarity, default=None) for branch in value[1]]
+            if None not in found:
+                out.append(frozenset().union(*found))
+    return out + ([frozenset([run])] if run else [])
+
+
+def _rarity(texts: frozenset[str]) -> int:
+    """How long they are at least; a mark counts as much as three letters."""
+    return min(len(t) if t.isalnum() else len(t) + 2 for t in texts)
+
+
 class Dialect:
     """What both engines write alike."""
 
@@ -141,8 +180,29 @@ class SparkSql(Dialect):
     def rx(self, pattern: str) -> str:
         return self.lit("(?d)" + portable(pattern, True))
 
+    def let(self, value: str, body: Callable[[str], str]) -> str:
+        """``body`` over a value that is made once, however often it is used."""
+        if re.fullmatch(r"\w+", value):
+            return body(value)
+        x = self.name()
+        return f"get(transform(array({value}), {x} -> {body(x)}), 0)"
+
+    def ladder(self, x: str, steps: list[tuple[float, float]], rest: float, op: str = "<=") -> str:
+        return self.let(x, lambda v: super(SparkSql, self).ladder(v, steps, rest, op))
+
+    def any_match(self, s: str, patterns: list[str]) -> str:
+        return self.let(s, lambda v: super(SparkSql, self).any_match(v, patterns))
+
+    def count_match(self, s: str, patterns: list[str]) -> str:
+        return self.let(s, lambda v: super(SparkSql, self).count_match(v, patterns))
+
     def matches(self, s: str, pattern: str) -> str:
-        return f"rlike({s}, {self.rx(pattern)})"
+        """A text without what a match must hold is not searched for the pattern, which is far dearer."""
+        wanted = sorted((t for t in required(pattern) if _rarity(t) > 1 and len(t) <= 6), key=_rarity, reverse=True)[:3]
+        # Whether there is a match does not hang on how far a word goes at its ends.
+        shorter = re.sub(r"(?<!\\)\\w\+$", r"\\w", re.sub(r"^\\b\\w\+", r"\\w", pattern))
+        held = [self.any_sub(s, sorted(t)) for t in wanted]
+        return f"({' AND '.join([*held, f'rlike({s}, {self.rx(shorter)})'])})"
 
     def first(self, s: str, pattern: str, group: int = 1) -> str:
         return f"regexp_extract({s}, {self.rx(pattern)}, {group})"
@@ -157,10 +217,10 @@ class SparkSql(Dialect):
         return f"split({s}, {self.rx(pattern)}, -1)"
 
     def has_word(self, s: str, word: str) -> str:
-        return f"rlike({s}, {self._whole(word)})"
+        return f"(contains({s}, {word}) AND rlike({s}, {self._whole(word)}))"
 
     def count_word(self, s: str, word: str) -> str:
-        return f"regexp_count({s}, {self._whole(word)})"
+        return f"CASE WHEN NOT contains({s}, {word}) THEN 0 ELSE regexp_count({s}, {self._whole(word)}) END"
 
     def _whole(self, word: str) -> str:
         quoted, end = r"\Q", r"\E"
