@@ -208,7 +208,7 @@ def dealt(rows: DataFrame) -> DataFrame:
 
 def task_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hand-written cases, and the responses of all languages and of none."""
-    return responses(spark, sf_dir).select("doc_id", "response", "expected_output", "question_values", "success").unionByName(case_rows(spark))
+    return spread_responses(spark, sf_dir).select("doc_id", "response", "expected_output", "question_values", "success").unionByName(case_rows(spark))
 
 
 _TASK_ROWS = f"SELECT doc_id, response, expected_output, question_values, success FROM ({_RESPONSES}) UNION ALL {_duck_cases()}"
