@@ -566,10 +566,10 @@ def source_csv_round_trip(spark, sf_dir):
 
 @query("SELECT doc_id, lang, sha256(text) AS text_sha FROM documents")
 def source_csv_parallel(spark, sf_dir):
-    """Whole texts with their newlines and quotes, written as few CSV files and read by a task for each split."""
+    """Whole texts with their newlines and quotes, written as CSV files, one for each split of the table, and read by a task for each of their splits."""
     path = new_path(spark, "csv")
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    docs.coalesce(4).write.options(header=True, quote='"', escape='"').csv(path)
+    docs.write.options(header=True, quote='"', escape='"').csv(path)
     return readers.read_csv(spark, path, docs.schema).select("doc_id", "lang", F.sha2("text", 256).alias("text_sha"))
 
 
