@@ -211,7 +211,9 @@ class SparkSql(Dialect):
         return f"regexp_extract_all({s}, {self.rx(pattern)}, {group})"
 
     def replace(self, s: str, pattern: str, by: str) -> str:
-        return f"regexp_replace({s}, {self.rx(pattern)}, {self.lit(by)})"
+        made = f"regexp_replace({s}, {self.rx(pattern)}, {self.lit(by)})"
+        held = max(required(pattern.removeprefix("(?i)")), key=_rarity, default=None) if pattern.startswith("(?i)") else None
+        return self.when(self.let(f"lower({s})", lambda low: self.any_sub(low, sorted(t.lower() for t in held))), made, s) if held else made
 
     def split(self, s: str, pattern: str) -> str:
         return f"split({s}, {self.rx(pattern)}, -1)"

@@ -46,3 +46,11 @@ def test_a_text_is_split_once_for_a_ladder(module):
 def test_task_rows_are_dealt_to_all_tasks(spark, sf_dir):
     """A table of one row group was scored by one task."""
     assert queries.task_rows(spark, sf_dir).rdd.getNumPartitions() > 8
+
+
+def test_replacements_in_either_case(spark):
+    texts = ["E.G. this, i.e. that Dr. X vs.", "nodr. Etc.etc.", "", "none", "e.g"]
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    d = SparkSql()
+    assert d.replace("s", rules.ABBREVIATIONS, "").startswith("CASE WHEN")
+    assert df.where(f"{d.replace('s', rules.ABBREVIATIONS, '')} <> regexp_replace(s, {d.rx(rules.ABBREVIATIONS)}, '')").count() == 0
