@@ -22,6 +22,8 @@ SPACE = r"\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\
 WORD = r"\p{L}\p{N}_"
 #: ``SPACE`` as a Java class that most characters leave after two comparisons: a table of small ones, and a range around the others.
 JAVA_SPACE = "[" + "".join(rf"\x{{{c:x}}}" for c in [*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0]) + r"[\x{1680}-\x{3000}&&[\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]]]"
+#: Those of ``JAVA_SPACE`` that are neither a blank nor a newline, which few texts hold.
+ODD_SPACE = JAVA_SPACE.replace(r"\x{20}", "").replace(r"\x{a}", "")
 
 
 #: A border of words where lookaround exists, before and after characters of words, and anywhere.
@@ -106,6 +108,9 @@ class Dialect:
     def name(self) -> str:
         return f"x{next(self._names)}"
 
+    def let(self, value: str, body: Callable[[str], str]) -> str:
+        return body(value)
+
     def num(self, value: float) -> str:
         return f"CAST({value!r} AS DOUBLE)"
 
@@ -174,6 +179,20 @@ class SparkSql(Dialect):
         """Goes from both ends, not through the text."""
         return self.trim(s, SPACES)
 
+    def words(self, s: str) -> str:
+        """Split at blanks, which takes no pattern, once the other spaces are blanks."""
+
+        def made(x: str) -> str:
+            even = self.when(f"rlike({x}, {self.lit(ODD_SPACE)})", f"regexp_replace({x}, {self.lit(JAVA_SPACE)}, ' ')", f"replace({x}, {self.lit(chr(10))}, ' ')")
+            return f"array_remove(split({even}, ' ', -1), '')"
+
+        return self.let(s, made)
+
+    def sentences(self, s: str, longer_than: int = 0) -> str:
+        """Split at single points, which takes no pattern: the empty parts between neighbouring ends go by their length."""
+        parts = f"split(replace(replace({s}, '!', '.'), '?', '.'), {self.lit(chr(92) + '.')}, -1)"
+        return self.filter(self.map(parts, self.strip), lambda x: f"length({x}) > {longer_than}")
+
     def lit(self, text: str) -> str:
         return '"' + text.replace("\\", "\\\\").replace('"', '\\"').replace("\n", "\\n") + '"'
 

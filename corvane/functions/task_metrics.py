@@ -447,8 +447,8 @@ def _(d: Dialect) -> list[dict[str, str]]:
 @named("ecqa_positive", "simple_atomic_sentences")
 def _(d: Dialect) -> str:
     def score(x: str) -> str:
-        marks = " - ".join(d.weight(d.matches(f"lower({x})", p), v) for p, v in COMPLEX)
-        return d.floor0(f"{d.num(1.0)} - {marks} - {d.ladder(d.size(d.words(x)), [(25, 0.3), (20, 0.2), (15, 0.1)], 0.0, '>')}")
+        kept = lambda low: f"{d.num(1.0)} - {' - '.join(d.weight(d.matches(low, p), v) for p, v in COMPLEX)}"
+        return d.floor0(f"{d.let(f'lower({x})', kept)} - {d.ladder(d.size(d.words(x)), [(25, 0.3), (20, 0.2), (15, 0.1)], 0.0, '>')}")
 
     return mean_over_sentences(d, score)
 
