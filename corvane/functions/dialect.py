@@ -162,6 +162,14 @@ class Dialect:
     def lines(self, s: str) -> str:
         return self.split(s, r"\n")
 
+    def squeezed(self, s: str) -> str:
+        """Each run of blanks and tabs as one blank."""
+        return self.replace(s, r"[ \t]+", " ")
+
+    def if_held(self, s: str, x: str, condition: str) -> str:
+        """A condition that is met only where s holds x."""
+        return condition
+
     def position(self, s: str, pattern: str) -> str:
         """Characters before the first match (0 also without one)."""
         return f"length({self.first(s, f'(?s)^(.*?)(?:{pattern})')})"
@@ -193,6 +201,16 @@ class SparkSql(Dialect):
         parts = f"split(replace(replace({s}, '!', '.'), '?', '.'), {self.lit(chr(92) + '.')}, -1)"
         return self.filter(self.map(parts, self.strip), lambda x: f"length({x}) > {longer_than}")
 
+    def lines(self, s: str) -> str:
+        return f"split({s}, {self.lit(chr(10))}, -1)"
+
+    def squeezed(self, s: str) -> str:
+        """A blank that stands alone is left, so that most texts need no pattern."""
+        return self.when(f"contains({s}, '  ') OR contains({s}, {self.lit(chr(9))})", self.replace(s, r"[ \t]{2,}|\t", " "), s)
+
+    def if_held(self, s: str, x: str, condition: str) -> str:
+        return f"contains({s}, {x}) AND ({condition})"
+
     def lit(self, text: str) -> str:
         return '"' + text.replace("\\", "\\\\").replace('"', '\\"').replace("\n", "\\n") + '"'
 

@@ -352,7 +352,7 @@ SHALLOW = [r"is\s+(not\s+)?correct", r"is\s+(not\s+)?the\s+answer", r"""(doesn't
 def _(d: Dialect) -> str:
     offered = d.map(d.part("qv", 1, 1), lambda x: d.strip(f"lower({x})"))
     quoted = lambda x: " OR ".join(f"contains(ru, concat({d.lit(a)}, {x}, {d.lit(b)}))" for a in "\"'" for b in "\"'")
-    met = d.size(d.filter(offered, lambda x: f"{d.has_word('ru', x)} OR {quoted(x)}"))
+    met = d.size(d.filter(offered, lambda x: d.if_held("ru", x, f"{d.has_word('ru', x)} OR {quoted(x)}")))
     return d.when(f"{d.size('qv')} < 3", d.num(0.0), f"{met} / {d.num(1.0)} / ({d.size('qv')} - 2)")
 
 
@@ -372,7 +372,7 @@ def asked_words(d: Dialect) -> str:
 @shared("ecqa_freeflow")
 def _(d: Dialect) -> list[dict[str, str]]:
     again = f"{d.size(d.filter('said', lambda x: d.holds('asked', x)))} / {d.num(1.0)} / greatest(1, {d.size('said')})"
-    return [{"said": d.words("ru"), "asked": asked_words(d), "even": d.replace("r", r"[ \t]+", " ")}, {"again": again}]
+    return [{"said": d.words("ru"), "asked": asked_words(d), "even": d.squeezed("r")}, {"again": again}]
 
 
 @named("ecqa_freeflow", "explanation_depth")
