@@ -27,8 +27,10 @@ ODD_SPACE = JAVA_SPACE.replace(r"\x{20}", "").replace(r"\x{a}", "")
 
 
 #: A border of words where lookaround exists, before and after characters of words, and anywhere.
-BEGIN, END = rf"(?<![{WORD}])", rf"(?![{WORD}])"
-BORDER = rf"(?:(?<=[{WORD}]){END}|{BEGIN}(?=[{WORD}]))"
+#: Java looks behind by code units unless a letter of two of them stands in the pattern; the one added here is among \p{L} anyway.
+BEHIND = WORD + "\U0001d400"
+BEGIN, END = rf"(?<![{BEHIND}])", rf"(?![{WORD}])"
+BORDER = rf"(?:(?<=[{BEHIND}]){END}|{BEGIN}(?=[{WORD}]))"
 
 
 def border(before: str, after: str) -> str:
@@ -170,6 +172,10 @@ class Dialect:
         """A condition that is met only where s holds x."""
         return condition
 
+    def says_one(self, s: str, words: str) -> str:
+        """Does one of the words, all of at least four letters, digits and underscores, stand whole in s?"""
+        return f"{self.size(self.common(self.every(s, r'\w{4,}'), words))} > 0"
+
     def position(self, s: str, pattern: str) -> str:
         """Characters before the first match (0 also without one)."""
         return f"length({self.first(s, f'(?s)^(.*?)(?:{pattern})')})"
@@ -211,6 +217,11 @@ class SparkSql(Dialect):
     def if_held(self, s: str, x: str, condition: str) -> str:
         return f"contains({s}, {x}) AND ({condition})"
 
+    def says_one(self, s: str, words: str) -> str:
+        """Looks for the few words, instead of taking all words from the text."""
+        x = self.name()
+        return f"exists({words}, {x} -> {self.has_word(s, x)})"
+
     def lit(self, text: str) -> str:
         return '"' + text.replace("\\", "\\\\").replace('"', '\\"').replace("\n", "\\n") + '"'
 
@@ -299,7 +310,7 @@ class SparkSql(Dialect):
         return f"aggregate({a}, CAST(0 AS DOUBLE), ({x}, {y}) -> {x} + {y})"
 
     def sort(self, a: str) -> str:
-        return f"array_sort({a})"
+        return f"sort_array({a})"
 
     def repeated(self, a: str, times: int) -> str:
         """Does a value occur at least so often in a sorted array of no nulls? Equal values are neighbours."""

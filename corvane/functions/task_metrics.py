@@ -164,7 +164,7 @@ def _(d: Dialect) -> list[dict[str, str]]:
 def _(d: Dialect) -> str:
     long_words = lambda s: d.every(s, r"\w{4,}")
     asked = d.joint(long_words(f"lower({d.at('qv', 0)})"), long_words(f"lower({d.at('qv', 1)})"))
-    shared = f"CASE WHEN {d.size('qv')} >= 2 THEN {d.size(d.common(long_words('rl'), asked))} > 0 ELSE FALSE END"
+    shared = f"CASE WHEN {d.size('qv')} >= 2 THEN {d.says_one('rl', asked)} ELSE FALSE END"
     return f"CASE WHEN NOT {d.any_sub('rl', JUSTIFYING)} THEN {d.num(0.0)} WHEN length(r) < 20 THEN {d.num(0.3)} WHEN {shared} THEN {d.num(1.0)} ELSE {d.num(0.7)} END"
 
 
