@@ -560,8 +560,8 @@ def grid_by_model(spark, sf_dir):
 @query("SELECT s_suppkey, s_name FROM supplier")
 def source_csv_round_trip(spark, sf_dir):
     path = new_path(spark, "csv")
-    table(spark, sf_dir, "supplier").select("s_suppkey", "s_name").write.options(header=True, quote='"', escape='"').csv(path)
-    return readers.read_csv(spark, path).select(F.col("s_suppkey").cast("long"), "s_name")
+    sinks.write_csv(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), path)
+    return readers.read_csv(spark, path, exact=True).select(F.col("s_suppkey").cast("long"), "s_name")
 
 
 @query("SELECT doc_id, lang, sha256(text) AS text_sha FROM documents")
@@ -569,8 +569,8 @@ def source_csv_parallel(spark, sf_dir):
     """Whole texts with their newlines and quotes, written as CSV files, one for each split of the table, and read by a task for each of their splits."""
     path = new_path(spark, "csv")
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    docs.write.options(header=True, quote='"', escape='"').csv(path)
-    return readers.read_csv(spark, path, docs.schema).select("doc_id", "lang", F.sha2("text", 256).alias("text_sha"))
+    sinks.write_csv(docs, path)
+    return readers.read_csv(spark, path, docs.schema, exact=True).select("doc_id", "lang", F.sha2("text", 256).alias("text_sha"))
 
 
 @query("SELECT conv_id, turn, role, text FROM conversations")

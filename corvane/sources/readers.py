@@ -18,19 +18,21 @@ FORMAT_KEYS = {"csv_file": "csv", "parquet_file": "parquet", "json_file": "json"
 MISSING = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, na_as_null: bool = True, multi_line: bool = True, in_splits: bool = True, order: str | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, na_as_null: bool = True, multi_line: bool = True, in_splits: bool = True, order: str | None = None, exact: bool = False) -> DataFrame:
     """Quoted fields may hold newlines and doubled quotes; blank cells and the usual marks of missing cells are null.
 
     Large files are read by a task for each split, wherever their fields have newlines. ``in_splits=False`` reads each file
     by one task with Spark's own reader; ``multi_line=False`` too, in splits, for files without newlines in fields.
     ``order`` names a further column by which rows read in splits are in the order of the files.
+    ``exact`` gives back the values that ``sinks.write_csv`` wrote: only its nulls are null, and only newlines end lines.
     """
     if multi_line and in_splits:
-        df = split_csv.read(spark, path, schema, order=order)
+        df = split_csv.read(spark, path, schema, order=order, exact=exact)
     else:
-        reader = spark.read.options(header=True, multiLine=multi_line, quote='"', escape='"', emptyValue="", nullValue="", inferSchema=schema is None)
+        more = {"lineSep": "\n", **split_csv.exact_options()} if exact else {}
+        reader = spark.read.options(header=True, multiLine=multi_line, quote='"', escape='"', emptyValue="", inferSchema=schema is None, **{"nullValue": ""} | more)
         df = reader.schema(schema).csv(path) if schema else reader.csv(path)
-    if not na_as_null:
+    if exact or not na_as_null:
         return df
     blank = lambda f: F.when(F.col(f"`{f.name}`").isin(MISSING), None).otherwise(F.col(f"`{f.name}`")).alias(f.name)
     return df.select(*[blank(f) if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`") for f in df.schema.fields])

@@ -1,4 +1,4 @@
-"""Responses, evaluations and summaries as partitioned Parquet, and as JSON documents."""
+"""Responses, evaluations and summaries as partitioned Parquet, and as JSON documents; tables as CSV."""
 
 from __future__ import annotations
 
@@ -34,6 +34,11 @@ def write_documents(documents: DataFrame, path: str, mode: str = "overwrite") ->
     documents.write.mode(mode).json(path)
 
 
+def write_csv(df: DataFrame, path: str) -> None:
+    """Files with a header each that ``readers.read_csv(exact=True)`` reads back: nulls as blank fields, empty texts as quoted ones, blanks at the ends of a text kept."""
+    df.write.options(header=True, quote='"', escape='"', nullValue="", emptyValue='""', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, lineSep="\n").csv(path)
+
+
 def summary_document(summary: DataFrame, best: DataFrame, counts: DataFrame) -> DataFrame:
     """One row with the whole summary as JSON text; a summary is as small as its groups."""
     results = summary.agg(F.array_sort(F.collect_list(F.struct("setup", "prompt", "model", "num_experiments", "metric", "mean"))).alias("results"))

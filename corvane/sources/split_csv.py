@@ -11,11 +11,15 @@ most. The records are parsed by Spark's own CSV parser.
 
 A quote opens a field only at the field's start, and is doubled inside; elsewhere
 it is a character like others.
+
+Spark plans a scan's splits when it runs, from settings and from the cores that it
+has by then. All scans of one read go through one RDD, whose splits are planned once.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -133,13 +137,15 @@ def _records(sep: str):
 
 
 def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """file (a number by name), split (its first byte) and value of each physical line, each split's in order."""
-    return spark.read.option("lineSep", "\n").text(path).select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), "value")
+    """file (a number by name), split (its first byte) and value of each physical line, each split's in order; the splits are those planned here, however often it is read."""
+    scan = spark.read.option("lineSep", "\n").text(path).select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.col("value").cast("binary").alias("value"))._jdf
+    # Bytes, which rows of an RDD hold as they are.
+    return DataFrame(spark._jsparkSession.createDataFrame(scan.toJavaRDD(), scan.schema()), spark).withColumn("value", F.col("value").cast("string"))
 
 
-def split_states(spark: SparkSession, path: str | list[str], sep: str = ",") -> DataFrame:
+def split_states(lines: DataFrame, sep: str = ",") -> DataFrame:
     """file, split, inside: in which state each split begins."""
-    ends = _lines(spark, path).mapInArrow(_ends(sep), "file long, split long, outside boolean, inside boolean")
+    ends = lines.mapInArrow(_ends(sep), "file long, split long, outside boolean, inside boolean")
     # One row a split; a file's splits meet in one row, 20 bytes for each.
     files = ends.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("split", "outside", "inside"))).alias("ends"))
     begun = F.aggregate(
@@ -153,8 +159,9 @@ def split_states(spark: SparkSession, path: str | list[str], sep: str = ",") ->
 def records(spark: SparkSession, path: str | list[str], sep: str = ",") -> DataFrame:
     """file, split and at (in their order the records are the file's), value and first (whether it is the file's first record)."""
     # Only splits that begin inside a field, a row of 24 bytes each; a broadcast keeps each split's lines in order.
-    inside = split_states(spark, path, sep).where("inside")
-    lines = _lines(spark, path).join(F.broadcast(inside), ["file", "split"], "left").select("file", "split", F.coalesce("inside", F.lit(False)).alias("inside"), "value")
+    scanned = _lines(spark, path)
+    inside = split_states(scanned, sep).where("inside")
+    lines = scanned.join(F.broadcast(inside), ["file", "split"], "left").select("file", "split", F.coalesce("inside", F.lit(False)).alias("inside"), "value")
     made = lines.mapInArrow(_records(sep), _RECORDS)
     whole = made.where("kind >= 2").select("file", "split", "at", "value", (F.col("kind") == 3).alias("first"))
     # A fragment of kind 1 begins a record; those of kind 0 after it go on.
@@ -167,6 +174,11 @@ def records(spark: SparkSession, path: str | list[str], sep: str = ",") -> DataF
     return whole.union(joined)
 
 
+def exact_options() -> dict[str, str]:
+    """Options of Spark's reader: a field is null where it is blank and unquoted, and no text stands for null; a zero byte is a character like others."""
+    return {"nullValue": f"null-{uuid.uuid4().hex}", "charToEscapeQuoteEscaping": '"'}
+
+
 def _reader(spark: SparkSession, options: dict):
     return spark.read.options(**options)._jreader
 
@@ -176,13 +188,15 @@ def _as_dataset(strings: DataFrame):
     return getattr(strings.select("value")._jdf, "as")(strings.sparkSession._jvm.org.apache.spark.sql.Encoders.STRING())
 
 
-def read(spark: SparkSession, path: str | list[str], schema: T.StructType | None = None, sep: str = ",", order: str | None = None, **options) -> DataFrame:
+def read(spark: SparkSession, path: str | list[str], schema: T.StructType | None = None, sep: str = ",", order: str | None = None, exact: bool = False, **options) -> DataFrame:
     """The table of CSV files with a header each; without ``schema`` the records are made once more to infer types.
 
-    ``order`` names a further column by which the rows are in the order of the files.
+    ``order`` names a further column by which the rows are in the order of the files. ``exact`` reads what ``sinks.write_csv`` wrote.
     """
-    options = {"sep": sep, "quote": '"', "escape": '"', "emptyValue": "", "nullValue": ""} | options
-    rows = records(spark, path, sep).withColumn("value", F.regexp_replace("value", "\r\\z", ""))
+    options = {"sep": sep, "quote": '"', "escape": '"', "emptyValue": "", "nullValue": ""} | (exact_options() if exact else {}) | options
+    rows = records(spark, path, sep)
+    if not exact:
+        rows = rows.withColumn("value", F.regexp_replace("value", "\r\\z", ""))
     body = rows.where("NOT first")
     if schema is None:
         header = rows.where("first").limit(1)
@@ -194,7 +208,10 @@ def read(spark: SparkSession, path: str | list[str], schema: T.StructType | None
         schema = T.StructType([T.StructField(n, kinds.get(f"_c{i}", T.StringType())) for i, n in enumerate(names)])
     # Field by place: from_csv wants names of its own, as those of a header may repeat or hold anything.
     by_place = T.StructType([T.StructField(f"_c{i}", f.dataType) for i, f in enumerate(schema.fields)])
-    row = F.from_csv("value", by_place.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), options).alias("row")
+    # from_csv ends lines at U+FFFF; where a text holds it, something that no text holds stands for it.
+    end, mark = F.lit("\uffff"), F.lit(f"end-{uuid.uuid4().hex}")
+    row = F.from_csv(F.replace("value", end, mark), by_place.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), options).alias("row")
     kept = [F.struct("file", "split", "at").alias("order")] if order else []
-    cells = [F.col(f"row._c{i}").alias(f.name) for i, f in enumerate(schema.fields)]
+    parsed = [(F.col(f"row._c{i}"), f) for i, f in enumerate(schema.fields)]
+    cells = [(F.replace(c, mark, end) if isinstance(f.dataType, T.StringType) else c).alias(f.name) for c, f in parsed]
     return body.select(row, *kept).select(*cells, *([F.col("order").alias(order)] if order else []))
